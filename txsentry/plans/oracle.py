@@ -73,6 +73,14 @@ _NEEDS = {"raw_transactions": ["transactions"], "scored": ["transactions"],
           "geo_dim": ["transactions"]}
 
 
+def sround(expr: str, digits: int) -> str:
+    """DuckDB rounding that matches Spark's ``round`` on DOUBLE: half-up on the
+    shortest decimal text of the value (DuckDB's own ``round`` scales the
+    binary value, which differs at ties such as 28.349999999999998)."""
+    return (f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 18)), {digits}) "
+            f"AS DOUBLE)")
+
+
 def with_views(body: str, *extra_ctes: str, views: tuple[str, ...] = ("transactions",)) -> str:
     """Prefix ``body`` with the fixture views it names plus its own CTEs."""
     names: list[str] = []
