@@ -60,3 +60,23 @@ def exact_median(df: DataFrame, group: list[str], value: str, tiebreak: str,
     hi = F.ceil((F.col("_n") - 1) / 2)
     mids = pos.filter((F.col("_pos") == lo) | (F.col("_pos") == hi))
     return mids.groupBy(*group).agg(F.avg(value).alias("median"))
+
+
+def prefix_sum(df: DataFrame, order: list[str], value: str, out: str = "_cum",
+               num_partitions: int | None = None) -> DataFrame:
+    """Add ``out``: running (inclusive) sum of ``value`` in ``order``
+    (``order`` must make rows unique).  The running part is per range
+    partition; each partition then adds the total of all earlier ones (a
+    table of one row per partition, broadcast)."""
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    s = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    totals = s.groupBy("_pid").agg(F.sum(value).alias("_ptotal"))
+    offsets = totals.select("_pid", (F.sum("_ptotal").over(Window.orderBy("_pid"))
+                                     - F.col("_ptotal")).alias("_poff"))
+    w = (Window.partitionBy("_pid").orderBy(*order)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = s.withColumn("_local", F.sum(value).over(w))
+    return (local.join(F.broadcast(offsets), "_pid")
+            .withColumn(out, F.col("_local") + F.coalesce(F.col("_poff"), F.lit(0)))
+            .drop("_pid", "_local", "_poff"))

@@ -1 +1,145 @@
-"""Registered queries."""
+"""Registered audit-log queries.
+
+The audit rows are the stand-in predictions of the whole feed (risk tier,
+decision and reasons from the scored view).  A1 and A2 write to a fresh
+table in the session's shared work folder and read it back.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from txsentry.functions import risk as R
+from txsentry.operators import audit as A
+from txsentry.operators import reasons as X
+from txsentry.operators import risk as risk_ops
+from txsentry.plans.catalog import query
+from txsentry.plans.oracle import with_views
+from txsentry.plans.q_reasons import _RULES_SQL
+from txsentry.session import scratch_path
+from txsentry.sources.tables import scored
+
+_S = "least(1.0, greatest(0.0, 0.6 * fraud_probability + 0.4 * anomaly_score))"
+_LEVEL = (f"CASE WHEN {_S} <= 0.2 THEN 'low' WHEN {_S} <= 0.5 THEN 'medium' "
+          f"WHEN {_S} <= 0.75 THEN 'high' ELSE 'critical' END")
+_DECISION = (f"CASE WHEN {_S} <= 0.2 THEN 'ALLOW' WHEN {_S} <= 0.5 THEN 'REVIEW' ELSE 'BLOCK' END")
+_AUDIT = f"""
+audit AS (
+ SELECT CAST(id AS VARCHAR) AS id, transaction_id, user_id,
+   round(round(fraud_probability, 6), 4) AS fraud_probability,
+   round(round(anomaly_score, 6), 4) AS anomaly_score,
+   {_LEVEL} AS risk_level, {_DECISION} AS decision, created_at,
+   amount, country, is_international, timestamp, {_S} AS combined
+ FROM scored),
+recent AS (SELECT * FROM audit ORDER BY created_at DESC, id DESC)"""
+_TS = "'%Y-%m-%d %H:%M:%S'"
+
+
+def _sql(body: str) -> str:
+    return with_views(body, _RULES_SQL, _AUDIT, views=("scored",))
+
+
+def _predictions(spark, sf_dir):
+    """Response-shaped predictions: rounded scores, tier, decision, reasons."""
+    p = X.with_top_reasons(risk_ops.assess(scored(spark, sf_dir)))
+    return p.withColumns({"fraud_probability": R.rounded("fraud_probability"),
+                          "anomaly_score": R.rounded("anomaly_score")})
+
+
+def _audit(spark, sf_dir):
+    return A.audit_rows(_predictions(spark, sf_dir), id_col="id")
+
+
+@query("audit_append", _sql(f"""
+SELECT a.id, a.transaction_id, a.user_id, a.fraud_probability, a.anomaly_score, a.risk_level,
+       a.decision, strftime(a.created_at, {_TS}) AS created_at, CAST(t.k AS INT) AS n_reasons
+FROM audit a JOIN (SELECT transaction_id, count(*) AS k FROM top3 GROUP BY transaction_id) t
+  USING (transaction_id)"""))
+def q_audit_append(spark, sf_dir):
+    path = scratch_path(spark, "audit")
+    A.audit_append(_audit(spark, sf_dir), path)
+    back = A.read_audit(spark, path)
+    return back.select("id", "transaction_id", "user_id", "fraud_probability", "anomaly_score",
+                       "risk_level", "decision",
+                       F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+                       F.json_array_length("top_reasons").alias("n_reasons"))
+
+
+@query("keyed_store", _sql("""
+SELECT transaction_id, decision, round(combined, 6) AS risk_score FROM audit"""))
+def q_keyed_store(spark, sf_dir):
+    pred = _predictions(spark, sf_dir)
+    rows = pred.select("transaction_id", "user_id", "amount",
+                       F.col("combined_score").alias("risk_score"), "decision",
+                       F.to_json("top_reasons").alias("explanation"),
+                       F.col("created_at").alias("timestamp"))
+    path = scratch_path(spark, "keyed")
+    first, _ = A.keyed_store(rows, None, order="timestamp")
+    first.write.mode("append").parquet(path)
+    # A retry of every blocked transaction, sent twice an hour later: all
+    # of it is a duplicate and goes to quarantine, nothing is inserted.
+    retry = rows.filter(F.col("decision") == "BLOCK") \
+                .withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 1 HOUR"))
+    insert, _dups = A.keyed_store(retry.unionByName(retry), spark.read.parquet(path),
+                                  order="timestamp")
+    insert.write.mode("append").parquet(path)
+    store = spark.read.parquet(path)
+    return store.select("transaction_id", "decision", "risk_score")
+
+
+@query("audit_recent", _sql(f"""
+SELECT id, transaction_id, decision, strftime(created_at, {_TS}) AS created_at
+FROM recent LIMIT 20"""))
+def q_audit_recent(spark, sf_dir):
+    r = A.recent(_audit(spark, sf_dir), 20)
+    return r.select("id", "transaction_id", "decision",
+                    F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+@query("audit_parse_json", _sql("""
+SELECT a.transaction_id, a.amount, a.country, CAST(a.is_international AS INT) AS is_international,
+  strftime(a.timestamp, '%Y-%m-%d %H:%M:%S.%f') AS event_time,
+  CAST(t.k AS INT) AS n_reasons, f.feature AS first_reason
+FROM audit a
+JOIN (SELECT transaction_id, count(*) AS k FROM top3 GROUP BY transaction_id) t USING (transaction_id)
+JOIN (SELECT transaction_id, feature FROM top3 WHERE rank = 1) f USING (transaction_id)"""))
+def q_audit_parse_json(spark, sf_dir):
+    p = A.parse_json(_audit(spark, sf_dir))
+    return p.select("transaction_id", F.col("payload.amount").alias("amount"),
+                    F.col("payload.country").alias("country"),
+                    F.col("payload.is_international").cast("int").alias("is_international"),
+                    F.date_format("payload.timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+                     .alias("event_time"),
+                    F.size("reasons").alias("n_reasons"),
+                    F.col("reasons")[0]["feature"].alias("first_reason"))
+
+
+@query("audit_stats", _sql("""
+SELECT count(*) AS window_size, count(*) FILTER (WHERE decision = 'BLOCK') AS blocks,
+  count(*) FILTER (WHERE decision = 'REVIEW') AS reviews,
+  count(*) FILTER (WHERE decision = 'ALLOW') AS allows
+FROM (SELECT * FROM recent LIMIT 100) r"""))
+def q_audit_stats(spark, sf_dir):
+    return A.decision_window_stats(_audit(spark, sf_dir), 100)
+
+
+@query("dashboard_stats", _sql("""
+SELECT count(*) AS total, count(*) FILTER (WHERE decision = 'ALLOW') AS allowed,
+  count(*) FILTER (WHERE decision = 'REVIEW') AS review,
+  count(*) FILTER (WHERE decision = 'BLOCK') AS blocked
+FROM (SELECT * FROM recent LIMIT 15) r"""))
+def q_dashboard_stats(spark, sf_dir):
+    return A.dashboard_stats(_audit(spark, sf_dir), 15)
+
+
+@query("audit_lookup", _sql("""
+SELECT id, transaction_id, decision FROM audit WHERE user_id = 'user_7'"""))
+def q_audit_lookup(spark, sf_dir):
+    return A.lookup(_audit(spark, sf_dir), user_id="user_7").select(
+        "id", "transaction_id", "decision")
+
+
+@query("audit_table_view", _sql(f"""
+SELECT strftime(created_at, {_TS}) AS time, id, transaction_id, risk_level, decision FROM audit"""))
+def q_audit_table_view(spark, sf_dir):
+    return A.table_view(_audit(spark, sf_dir))
