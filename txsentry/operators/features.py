@@ -110,8 +110,9 @@ class FeatureModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         std = self.getOrDefault(self.stds)[column]
         return (F.col(column) - F.lit(mean)) / F.lit(std if std else 1.0)
 
-    def feature_columns(self, df: DataFrame, default_ts=None) -> DataFrame:
-        keep = tuple(self.getOrDefault(self.keepCols))
+    def feature_columns(self, df: DataFrame, default_ts=None,
+                        keep: tuple[str, ...] = ()) -> DataFrame:
+        keep = tuple(self.getOrDefault(self.keepCols)) + tuple(keep)
         base = base_features(df, default_ts, keep=keep)
         carry = [c for c in base.columns if c not in FEATURE_COLUMNS and c != "amount"]
         out = {c: self.code_expr(c) for c in CATEGORICAL_COLS}
@@ -120,7 +121,11 @@ class FeatureModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         return enc.select(*carry, *[F.col(c).cast("double").alias(c) for c in FEATURE_COLUMNS])
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        feats = self.feature_columns(df)
+        return self.assemble(df)
+
+    def assemble(self, df: DataFrame, default_ts=None, keep: tuple[str, ...] = ()) -> DataFrame:
+        """Feature columns plus the ``features`` vector (carrying ``keep``)."""
+        feats = self.feature_columns(df, default_ts, keep)
         return VectorAssembler(inputCols=FEATURE_COLUMNS,
                                outputCol=self.getOrDefault(self.outputCol)).transform(feats)
 

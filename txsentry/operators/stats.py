@@ -2,17 +2,23 @@
 
 ``Window.partitionBy(label).orderBy(key)`` or an exact ``median`` put a
 whole group into one task (one buffer); with a group holding a third of the
-rows that is a third of the data in one task.  ``group_positions`` instead
-range-partitions on (group, order) — a distributed sort that splits a large
-group over many tasks — and turns per-task row ids into positions with a
-small per-(task, group) offset table.
+rows that is a third of the data in one task.  Here rows are first cut into
+value buckets (boundaries: approximate quantiles of the order column,
+computed once and kept as literals), ranked inside (group, bucket) windows,
+and shifted by the sizes of the earlier buckets of their group (a small
+per-(group, bucket) table).  A large group is spread over all buckets, and
+because the boundaries are literals every re-evaluation of the plan (task
+retry, lost executor) gives the same buckets and positions.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+DEFAULT_BUCKETS = 256
+
 
 def portable_key(x, seed: int = 42):
     """Deterministic pseudo-random order key of a BIGINT id (two Lehmer steps
@@ -23,31 +29,39 @@ def portable_key(x, seed: int = 42):
     return (((k + F.lit(seed * 7919)) % p) * a) % p
 
 
+def value_buckets(df: DataFrame, column: str, out: str = "_vb",
+                  n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Add ``out``: the index of ``column``'s value among approximate
+    quantile boundaries (monotone in the value; the column must be non-null)."""
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    row = df.agg(F.percentile_approx(F.col(column).cast("double"), probs, 10 * n_buckets)
+                 .alias("q")).first()
+    qs = sorted({float(v) for v in (row["q"] or []) if v is not None})
+    splits = [float("-inf")] + qs + [float("inf")]
+    tmp = df.withColumn("_vb_in", F.col(column).cast("double"))
+    out_df = Bucketizer(splits=splits, inputCol="_vb_in", outputCol=out,
+                        handleInvalid="keep").transform(tmp)
+    return out_df.withColumn(out, F.col(out).cast("int")).drop("_vb_in")
+
+
 def group_positions(df: DataFrame, group: list[str], order: list[str],
-                    num_partitions: int | None = None, few_groups: bool = True) -> DataFrame:
+                    few_groups: bool = True, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Add ``_pos`` (0-based position of the row in its group, in ``order``;
-    ``order`` must make rows unique) and ``_n`` (group size).
-
-    The offset table has one row per (task, group) pair, at most
-    ``num_partitions + number of groups``; with ``few_groups`` it is
-    broadcast, otherwise joined normally.
-    """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.repartitionByRange(n, *group, *order)
-           .sortWithinPartitions(*group, *order)
-           .withColumns({"_pid": F.spark_partition_id(),
-                         "_mid": F.monotonically_increasing_id()}))
-    summ = s.groupBy("_pid", *group).agg(F.min("_mid").alias("_first"),
-                                          F.count(F.lit(1)).alias("_cnt"))
+    ``order`` must make rows unique, its first column numeric) and ``_n``
+    (group size).  The offset table has one row per (group, bucket); with
+    ``few_groups`` it is broadcast."""
+    b = value_buckets(df, order[0], "_vb", n_buckets)
+    w = Window.partitionBy(*group, "_vb").orderBy(*order)
+    local = b.withColumn("_lpos", F.row_number().over(w) - 1)
+    sizes = b.groupBy(*group, "_vb").agg(F.count(F.lit(1)).alias("_cnt"))
     wg = Window.partitionBy(*group)
-    summ = summ.withColumns({
-        "_off": F.sum("_cnt").over(wg.orderBy("_pid")) - F.col("_cnt"),
-        "_n": F.sum("_cnt").over(wg)})
-    right = F.broadcast(summ) if few_groups else summ
-    out = s.join(right, ["_pid", *group])
-    return out.withColumn("_pos", F.col("_off") + F.col("_mid") - F.col("_first")) \
-              .drop("_pid", "_mid", "_first", "_cnt", "_off")
+    offsets = sizes.select(*group, "_vb",
+                           (F.sum("_cnt").over(wg.orderBy("_vb")) - F.col("_cnt")).alias("_off"),
+                           F.sum("_cnt").over(wg).alias("_n"))
+    right = F.broadcast(offsets) if few_groups else offsets
+    out = local.join(right, [*group, "_vb"])
+    return out.withColumn("_pos", F.col("_off") + F.col("_lpos")) \
+              .drop("_vb", "_lpos", "_off")
 
 
 def exact_median(df: DataFrame, group: list[str], value: str, tiebreak: str,
@@ -63,20 +77,18 @@ def exact_median(df: DataFrame, group: list[str], value: str, tiebreak: str,
 
 
 def prefix_sum(df: DataFrame, order: list[str], value: str, out: str = "_cum",
-               num_partitions: int | None = None) -> DataFrame:
+               n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Add ``out``: running (inclusive) sum of ``value`` in ``order``
-    (``order`` must make rows unique).  The running part is per range
-    partition; each partition then adds the total of all earlier ones (a
-    table of one row per partition, broadcast)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
-    totals = s.groupBy("_pid").agg(F.sum(value).alias("_ptotal"))
-    offsets = totals.select("_pid", (F.sum("_ptotal").over(Window.orderBy("_pid"))
-                                     - F.col("_ptotal")).alias("_poff"))
-    w = (Window.partitionBy("_pid").orderBy(*order)
+    (``order`` must make rows unique, its first column numeric).  Running
+    sums are per value bucket; each bucket then adds the totals of the
+    earlier buckets (one row per bucket, broadcast)."""
+    b = value_buckets(df, order[0], "_vb", n_buckets)
+    w = (Window.partitionBy("_vb").orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = s.withColumn("_local", F.sum(value).over(w))
-    return (local.join(F.broadcast(offsets), "_pid")
-            .withColumn(out, F.col("_local") + F.coalesce(F.col("_poff"), F.lit(0)))
-            .drop("_pid", "_local", "_poff"))
+    local = b.withColumn("_local", F.sum(value).over(w))
+    totals = b.groupBy("_vb").agg(F.sum(value).alias("_btotal"))
+    offsets = totals.select("_vb", (F.sum("_btotal").over(Window.orderBy("_vb"))
+                                    - F.col("_btotal")).alias("_boff"))
+    return (local.join(F.broadcast(offsets), "_vb")
+            .withColumn(out, F.col("_local") + F.coalesce(F.col("_boff"), F.lit(0)))
+            .drop("_vb", "_local", "_boff"))

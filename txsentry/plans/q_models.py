@@ -1 +1,131 @@
-"""Registered queries."""
+"""Registered model queries (M1-M8, Q7).
+
+Training and forest queries are checked rows-only (a fitted model has no
+SQL form); tests check their properties against brute force.  The score
+normalisation (M6, M7) is also registered over the stand-in anomaly column
+so its arithmetic gets an exact SQL check.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from txsentry.operators import iforest as IF
+from txsentry.operators.features import FeatureEncoder
+from txsentry.operators import models as M
+from txsentry.plans import scoring as P
+from txsentry.plans.catalog import query
+from txsentry.plans.oracle import sround, with_views
+from txsentry.plans.q_prepare import _KEY_SQL
+from txsentry.schema import FEATURE_COLUMNS
+from txsentry.session import scratch_path
+from txsentry.sources import files as S
+from txsentry.sources.tables import scored, transactions
+
+# Fewer rounds / trees than the parity settings (300) keep the check quick.
+QUERY_ROUNDS = 20
+QUERY_RF_TREES = 30
+
+
+def _split_features(spark, sf_dir):
+    tx = transactions(spark, sf_dir)
+    parts = P.split(tx)
+    train_rows = parts.filter(F.col("is_test") == 0)
+    model = FeatureEncoder(keepCols=["is_fraud", "is_test"]).fit(train_rows)
+    return model, parts, train_rows
+
+
+@query("train_gbt")
+def q_train_gbt(spark, sf_dir):
+    enc, parts, train_rows = _split_features(spark, sf_dir)
+    clf = M.train_gbt(enc.transform(train_rows), QUERY_ROUNDS)
+    test = enc.transform(parts.filter(F.col("is_test") == 1))
+    return M.fraud_probability(clf, test).select("transaction_id", "is_fraud",
+                                                 "fraud_probability")
+
+
+@query("train_rf")
+def q_train_rf(spark, sf_dir):
+    enc, parts, train_rows = _split_features(spark, sf_dir)
+    clf = M.train_rf(enc.transform(train_rows), QUERY_RF_TREES)
+    test = enc.transform(parts.filter(F.col("is_test") == 1))
+    return M.fraud_probability(clf, test).select("transaction_id", "is_fraud",
+                                                 "fraud_probability")
+
+
+@query("fraud_probability")
+def q_fraud_probability(spark, sf_dir):
+    enc, parts, train_rows = _split_features(spark, sf_dir)
+    clf = M.train_gbt(enc.transform(train_rows), QUERY_ROUNDS)
+    return M.fraud_probability(clf, enc.transform(parts)).select(
+        "transaction_id", "fraud_probability")
+
+
+@query("train_iforest")
+def q_train_iforest(spark, sf_dir):
+    enc, parts, train_rows = _split_features(spark, sf_dir)
+    forest = IF.fit(enc.feature_columns(train_rows), FEATURE_COLUMNS)
+    return spark.createDataFrame(forest.nodes, IF.NODE_SCHEMA)
+
+
+@query("iforest_score")
+def q_iforest_score(spark, sf_dir):
+    enc, parts, train_rows = _split_features(spark, sf_dir)
+    forest = IF.fit(enc.feature_columns(train_rows), FEATURE_COLUMNS)
+    feats = enc.feature_columns(parts)
+    return feats.select("transaction_id", forest.raw_score(spark).alias("raw_score"))
+
+
+_BOUNDS = f"""
+train_scores AS (
+  SELECT anomaly_score FROM (
+    SELECT anomaly_score, row_number() OVER (PARTITION BY is_fraud ORDER BY {_KEY_SQL},
+             transaction_id) <= ceil(0.2 * count(*) OVER (PARTITION BY is_fraud)) AS is_test
+    FROM scored) s WHERE NOT is_test),
+bounds AS (SELECT min(anomaly_score) AS score_min, max(anomaly_score) AS score_max
+           FROM train_scores)"""
+
+
+def _stand_in_bounds(spark, sf_dir):
+    parts = P.split(scored(spark, sf_dir))
+    b = IF.score_bounds(parts.filter(F.col("is_test") == 0), "anomaly_score")
+    return parts, b
+
+
+@query("anomaly_bounds", with_views("SELECT score_min, score_max FROM bounds", _BOUNDS,
+                                    views=("scored",)))
+def q_anomaly_bounds(spark, sf_dir):
+    return _stand_in_bounds(spark, sf_dir)[1]
+
+
+@query("anomaly_score", with_views(f"""
+SELECT transaction_id, {sround('''CASE WHEN score_max = score_min THEN 0.0
+  ELSE least(1.0, greatest(0.0, 1.0 - (anomaly_score - score_min) / (score_max - score_min))) END''',
+                                   6)} AS anomaly
+FROM scored, bounds""", _BOUNDS, views=("scored",)))
+def q_anomaly_score(spark, sf_dir):
+    parts, b = _stand_in_bounds(spark, sf_dir)
+    bounds = b.first()  # one row: the fitted bounds become literals, as in a model
+    return parts.select("transaction_id", F.round(IF.normalized_anomaly(
+        F.col("anomaly_score"), bounds["score_min"], bounds["score_max"]), 6).alias("anomaly"))
+
+
+@query("score_transactions")
+def q_score_transactions(spark, sf_dir):
+    tx = transactions(spark, sf_dir)
+    scorer, _ = P.train(spark, tx, max_iter=QUERY_ROUNDS)
+    pred = P.score(scorer, tx)
+    return pred.select("transaction_id", "fraud_probability", "anomaly_score", "risk_level",
+                       "decision", F.size("top_reasons").alias("n_reasons"))
+
+
+@query("training_summary")
+def q_training_summary(spark, sf_dir):
+    out = scratch_path(spark, "training")
+    meta = P.training_summary(spark, transactions(spark, sf_dir), out + "/models",
+                              dataset_path=sf_dir, max_iter=QUERY_ROUNDS)
+    back = S.write_metadata(spark, meta, out + "/metadata.json")
+    return back.select("model_version", "dataset_rows", "fraud_ratio",
+                       F.col("metrics.supervised_auc").alias("supervised_auc"),
+                       F.col("metrics.supervised_f1").alias("supervised_f1"),
+                       F.col("algorithms.supervised").alias("supervised_algorithm"))
