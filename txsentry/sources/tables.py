@@ -43,9 +43,14 @@ def _pick(values: list[str], one_based_index: Column) -> Column:
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled transaction feed, one row per event (3.5% fraud)."""
-    ev = read_table(spark, sf_dir, "events")
-    cust = read_table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("nk"))
+    return transactions_from(read_table(spark, sf_dir, "events"),
+                             read_table(spark, sf_dir, "customer"))
+
+
+def transactions_from(ev: DataFrame, customer: DataFrame) -> DataFrame:
+    """The feed from an events table or stream and the customer table (a
+    stream-static inner join when ``ev`` is a stream)."""
+    cust = customer.select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("nk"))
     # Inner equi-join on the customer key: customer grows with the data, so
     # no forced broadcast; AQE broadcasts it at run time when it is small.
     t = ev.join(cust, "user_id").withColumn("dev", (F.col("event_id") * 7919 + 13) % 1000)
@@ -82,7 +87,11 @@ def tx_number(tx_id: Column) -> Column:
 
 def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed as raw request text with missing, malformed and out-of-domain values."""
-    t = transactions(spark, sf_dir).withColumn("n", tx_number(F.col("transaction_id")))
+    return raw_from(transactions(spark, sf_dir))
+
+
+def raw_from(tx: DataFrame) -> DataFrame:
+    t = tx.withColumn("n", tx_number(F.col("transaction_id")))
     n = F.col("n")
     return t.select(
         "transaction_id",
@@ -107,7 +116,11 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed with deterministic stand-in scores, an id and a created_at."""
-    t = transactions(spark, sf_dir).withColumn("n", tx_number(F.col("transaction_id")))
+    return scored_from(transactions(spark, sf_dir))
+
+
+def scored_from(tx: DataFrame) -> DataFrame:
+    t = tx.withColumn("n", tx_number(F.col("transaction_id")))
     n = F.col("n")
     return t.select(
         "*",
