@@ -71,3 +71,14 @@ def q_model_io(spark, sf_dir):
     loaded = S.load_model(path)
     out = loaded.transform(t)
     return out.select("transaction_id", *[F.round(c, 6).alias(c) for c in FEATURE_COLUMNS])
+
+
+@query("sink_metadata", with_views("""
+SELECT count(*) AS n_rows, CAST(sum(is_fraud) AS BIGINT) AS n_fraud,
+  count(DISTINCT user_id) AS n_users FROM transactions"""))
+def q_sink_metadata(spark, sf_dir):
+    from txsentry.operators.profile import dataset_overview
+    # A run summary computed by Spark, persisted as one JSON document and read back.
+    meta = dataset_overview(transactions(spark, sf_dir)).first().asDict()
+    back = S.write_metadata(spark, meta, scratch_path(spark, "metadata"))
+    return back.select("n_rows", "n_fraud", "n_users")

@@ -104,3 +104,15 @@ def q_stream_audit(spark, sf_dir):
     path = scratch_path(spark, "audit-stream")
     T.audit_to_table(pred, path, scratch_path(spark, "ck-audit")).awaitTermination()
     return spark.read.parquet(path).select("transaction_id", "decision")
+
+
+@query("stream_score")
+def q_stream_score(spark, sf_dir):
+    from txsentry.plans import scoring as P
+    from txsentry.sources.tables import transactions
+    scorer, _ = P.train(spark, transactions(spark, sf_dir), max_iter=20)
+    pred = P.score(scorer, T.transactions_stream(spark, sf_dir))
+    out = T.run_available(pred.select("transaction_id", "fraud_probability", "anomaly_score",
+                                      "risk_level", "decision"),
+                          _name("scores"), scratch_path(spark, "ck-score"))
+    return out
