@@ -8,7 +8,8 @@ over as many tasks as it has buckets, and repair the bucket edges exactly:
 * ``lag_in_sequence``  previous row per key (bucket edge: previous non-empty
   bucket's last row, from a small per-bucket summary)
 * ``trailing_count``   rows per key in a trailing RANGE frame (the tail of
-  each bucket is copied into the next one as context rows, at most once)
+  each bucket is copied into the next one as context rows, at most once;
+  buckets are at least four windows wide)
 * ``sessions``         gap-and-island sessions (islands crossing bucket edges
   are stitched through a per-bucket summary)
 
@@ -63,7 +64,9 @@ def trailing_count(df: DataFrame, key: str, ts: str, window_seconds: int,
                    out: str = "n_window", bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Rows of the same key with time in [ts - window, ts] (peers included)."""
     w_us = int(window_seconds * 1_000_000)
-    bucket_us = max(int(bucket_seconds * 1_000_000), w_us)
+    # Buckets of at least four windows: at most a quarter of the rows is
+    # copied into the next bucket as context.
+    bucket_us = max(int(bucket_seconds * 1_000_000), 4 * w_us)
     m = _micros(ts)
     b = _bucket(ts, bucket_us)
     # Rows in the last `window` of their bucket are also context for the next.

@@ -17,7 +17,15 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
+MIN_BUCKETS = 256
+MAX_BUCKETS = 100_000
+
+
+def default_buckets(df: DataFrame) -> int:
+    """Value buckets scale with the configured parallelism (which is sized for
+    the data): twice the shuffle partitions, at least 256."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(MIN_BUCKETS, min(MAX_BUCKETS, 2 * parts))
 
 
 def portable_key(x, seed: int = 42):
@@ -30,11 +38,12 @@ def portable_key(x, seed: int = 42):
 
 
 def value_buckets(df: DataFrame, column: str, out: str = "_vb",
-                  n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                  n_buckets: int | None = None) -> DataFrame:
     """Add ``out``: the index of ``column``'s value among approximate
     quantile boundaries (monotone in the value; the column must be non-null)."""
+    n_buckets = n_buckets or default_buckets(df)
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.agg(F.percentile_approx(F.col(column).cast("double"), probs, 10 * n_buckets)
+    row = df.agg(F.percentile_approx(F.col(column).cast("double"), probs, 4 * n_buckets)
                  .alias("q")).first()
     qs = sorted({float(v) for v in (row["q"] or []) if v is not None})
     splits = [float("-inf")] + qs + [float("inf")]
@@ -45,7 +54,7 @@ def value_buckets(df: DataFrame, column: str, out: str = "_vb",
 
 
 def group_positions(df: DataFrame, group: list[str], order: list[str],
-                    few_groups: bool = True, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    few_groups: bool = True, n_buckets: int | None = None) -> DataFrame:
     """Add ``_pos`` (0-based position of the row in its group, in ``order``;
     ``order`` must make rows unique, its first column numeric) and ``_n``
     (group size).  The offset table has one row per (group, bucket); with
@@ -77,7 +86,7 @@ def exact_median(df: DataFrame, group: list[str], value: str, tiebreak: str,
 
 
 def prefix_sum(df: DataFrame, order: list[str], value: str, out: str = "_cum",
-               n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+               n_buckets: int | None = None) -> DataFrame:
     """Add ``out``: running (inclusive) sum of ``value`` in ``order``
     (``order`` must make rows unique, its first column numeric).  Running
     sums are per value bucket; each bucket then adds the totals of the
