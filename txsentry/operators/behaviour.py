@@ -209,7 +209,12 @@ def pattern_label(counted: DataFrame) -> DataFrame:
 
 
 def pattern_mix(labelled: DataFrame) -> DataFrame:
-    """Rows and share per pattern (share of all flagged rows)."""
-    counts = labelled.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.withColumn("share", F.round(F.col("n") / total, 6))
+    """Rows and share per pattern (share of all flagged rows).  One partial
+    aggregate of conditional counts over the fixed pattern names, unpivoted;
+    patterns with no row are left out."""
+    names = FRAUD_PATTERNS + ["unclassified"]
+    counts = labelled.agg(*[F.count_if(F.col("pattern") == p).alias(p) for p in names])
+    total = " + ".join(f"`{p}`" for p in names)
+    pairs = ", ".join(f"'{p}', `{p}`, round(`{p}` / ({total}), 6)" for p in names)
+    return (counts.selectExpr(f"stack({len(names)}, {pairs}) AS (pattern, n, share)")
+                  .filter(F.col("n") > 0))

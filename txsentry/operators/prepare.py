@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txsentry.operators.stats import group_positions, portable_key
@@ -61,12 +61,13 @@ def enforce_types(df: DataFrame) -> DataFrame:
 
 
 def class_weights(df: DataFrame, label: str = "is_fraud") -> DataFrame:
-    """Per class: count, balanced weight n / (2 n_c) and the fixed positive weight."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    # One row per class: the total over them is a window on a tiny table.
-    total = F.sum("n").over(Window.partitionBy())
-    return (counts.withColumn("total", total)
-            .select(label, "n",
+    """Per class (0/1): count, balanced weight n / (2 n_c) and the fixed
+    positive weight.  One aggregate of two conditional counts, unpivoted."""
+    c = df.agg(F.count_if(F.col(label) == 0).alias("n0"),
+               F.count_if(F.col(label) == 1).alias("n1"))
+    rows = c.selectExpr(f"stack(2, 0, n0, n0 + n1, 1, n1, n0 + n1) AS ({label}, n, total)")
+    return (rows.filter(F.col("n") > 0)
+            .select(F.col(label).cast("int").alias(label), "n",
                     (F.col("total") / (2.0 * F.col("n"))).alias("balanced_weight"),
                     F.when(F.col(label) == 1, POSITIVE_WEIGHT).otherwise(1.0)
                      .alias("scale_weight")))
