@@ -20,6 +20,9 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot join key even when the join's partitioning feeds a later
+    # grouping on the same key (one user may hold a third of all rows).
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -44,8 +47,11 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_session_defaults(spark: SparkSession) -> None:
-    """Pin the session time zone (feature hours are UTC)."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Runtime settings the operators rely on: UTC session time (feature
+    hours are UTC) and AQE skew handling."""
+    for k, v in SESSION_DEFAULTS.items():
+        if k.startswith("spark.sql.") and k != "spark.sql.execution.arrow.pyspark.enabled":
+            spark.conf.set(k, v)
 
 
 def work_dir(spark: SparkSession) -> str:
