@@ -1,7 +1,9 @@
 """Request validation rules as column expressions.
 
-Each rule yields an error tag or null; ``error_tags`` gathers the non-null
-tags of a row into an ``ARRAY<STRING>``.
+A rule is a pair ``(tag, condition)``: the row violates the rule when the
+condition is true.  ``error_tags`` turns a list of rules into an
+``ARRAY<STRING>`` of the violated tags with ``concat`` of one-element
+arrays — no higher-order function, so it stays inside whole-stage codegen.
 """
 
 from __future__ import annotations
@@ -18,39 +20,40 @@ from txsentry.schema import (CHANNELS, COUNTRY_PATTERN, DECISIONS, DEVICE_TYPES,
 ENUMS = {"transaction_type": TRANSACTION_TYPES, "merchant_category": MERCHANT_CATEGORIES,
          "device_type": DEVICE_TYPES, "channel": CHANNELS}
 
+Rule = tuple[str, Column]
 
-def missing(field: str) -> Column:
-    return F.when(F.col(field).isNull(), F.lit(f"missing:{field}"))
 
+def missing(field: str) -> Rule:
+    return f"missing:{field}", F.col(field).isNull()
 
-def amount_rules(type_name: str) -> list[Column]:
+
+def amount_rules(type_name: str) -> list[Rule]:
     a = F.col("amount")
     num = as_double(a, type_name)
-    return [F.when(a.isNotNull() & num.isNull(), F.lit("amount:not_a_number")),
-            F.when(num <= 0, F.lit("amount:not_positive"))]
+    return [("amount:not_a_number", a.isNotNull() & num.isNull()),
+            ("amount:not_positive", num <= 0)]
 
 
-def enum_rule(field: str) -> Column:
+def enum_rule(field: str) -> Rule:
     c = F.col(field)
-    return F.when(c.isNotNull() & ~c.isin(*ENUMS[field]), F.lit(f"invalid:{field}"))
+    return f"invalid:{field}", c.isNotNull() & ~c.isin(*ENUMS[field])
 
 
-def country_rule() -> Column:
+def country_rule() -> Rule:
     c = F.col("country")
-    return F.when(c.isNotNull() & ~c.rlike(COUNTRY_PATTERN), F.lit("invalid:country"))
+    return "invalid:country", c.isNotNull() & ~c.rlike(COUNTRY_PATTERN)
 
 
-def timestamp_rule(type_name: str) -> Column:
+def timestamp_rule(type_name: str) -> Rule:
     c = F.col("timestamp")
-    return F.when(c.isNotNull() & as_timestamp(c, type_name).isNull(), F.lit("invalid:timestamp"))
+    return "invalid:timestamp", c.isNotNull() & as_timestamp(c, type_name).isNull()
 
 
-def bool_rule(field: str, type_name: str) -> Column | None:
+def bool_rule(field: str, type_name: str) -> Rule | None:
     if type_name != "string":
         return None
     c = F.lower(F.trim(F.col(field)))
-    return F.when(F.col(field).isNotNull() & ~c.isin(*(TRUE_TEXT + FALSE_TEXT)),
-                  F.lit(f"invalid:{field}"))
+    return f"invalid:{field}", F.col(field).isNotNull() & ~c.isin(*(TRUE_TEXT + FALSE_TEXT))
 
 
 def parse_bool(field: str, type_name: str, default: bool) -> Column:
@@ -63,7 +66,7 @@ def parse_bool(field: str, type_name: str, default: bool) -> Column:
     return F.coalesce(parsed, F.lit(default))
 
 
-def request_rules(types: dict[str, str]) -> list[Column]:
+def request_rules(types: dict[str, str]) -> list[Rule]:
     """All request rules in a fixed order, given column -> type name."""
     rules = [missing(f) for f in REQUIRED_FIELDS]
     rules += amount_rules(types.get("amount", "double"))
@@ -77,27 +80,38 @@ def request_rules(types: dict[str, str]) -> list[Column]:
     return rules
 
 
-def error_tags(rules: list[Column]) -> Column:
-    return F.array_compact(F.array(*rules))
+_EMPTY = F.array().cast("array<string>")
+
+
+def error_tags(rules: list[Rule]) -> Column:
+    """Violated tags of a row, in rule order (empty when valid)."""
+    parts = [F.when(F.coalesce(cond, F.lit(False)), F.array(F.lit(tag))).otherwise(_EMPTY)
+             for tag, cond in rules]
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
+
 
+def rule_counts(df, rules: list[Rule], name: str = "error"):
+    """Rows per violated rule: one partial aggregate of conditional counts,
+    unpivoted to (name, n); rules nobody violates are left out."""
+    counts = df.agg(*[F.count_if(F.coalesce(cond, F.lit(False))).alias(f"c{i}")
+                      for i, (_, cond) in enumerate(rules)])
+    pairs = ", ".join(f"'{tag}', c{i}" for i, (tag, _) in enumerate(rules))
+    return counts.selectExpr(f"stack({len(rules)}, {pairs}) AS ({name}, n)")
 
-def prediction_rules() -> list[Column]:
+
+def prediction_rules() -> list[Rule]:
     """Output contract of a prediction row."""
     p, a = F.col("fraud_probability"), F.col("anomaly_score")
     reasons = F.col("top_reasons")
-    bad_dir = F.exists(reasons, lambda r: ~r["direction"].isin(*REASON_DIRECTIONS))
+    directions = reasons["direction"]
+    bad_dir = F.size(F.array_except(F.coalesce(directions, F.array().cast("array<string>")),
+                                    F.array(*[F.lit(d) for d in REASON_DIRECTIONS]))) > 0
     return [
-        F.when(p.isNull() | (p < 0) | (p > 1), F.lit("fraud_probability:out_of_range")),
-        F.when(a.isNull() | (a < 0) | (a > 1), F.lit("anomaly_score:out_of_range")),
-        F.when(~F.col("risk_level").isin(*RISK_LEVELS) | F.col("risk_level").isNull(),
-               F.lit("risk_level:invalid")),
-        F.when(~F.col("decision").isin(*DECISIONS) | F.col("decision").isNull(),
-               F.lit("decision:invalid")),
-        F.when(F.size(reasons) > MAX_REASONS, F.lit("top_reasons:too_many")),
-        F.when(F.coalesce(bad_dir, F.lit(False)), F.lit("top_reasons:bad_direction")),
+        ("fraud_probability:out_of_range", p.isNull() | (p < 0) | (p > 1)),
+        ("anomaly_score:out_of_range", a.isNull() | (a < 0) | (a > 1)),
+        ("risk_level:invalid", F.col("risk_level").isNull()
+         | ~F.col("risk_level").isin(*RISK_LEVELS)),
+        ("decision:invalid", F.col("decision").isNull() | ~F.col("decision").isin(*DECISIONS)),
+        ("top_reasons:too_many", F.size(reasons) > MAX_REASONS),
+        ("top_reasons:bad_direction", bad_dir),
     ]
-
-
-PREDICTION_RULE_NAMES = ["fraud_probability:out_of_range", "anomaly_score:out_of_range",
-                         "risk_level:invalid", "decision:invalid", "top_reasons:too_many",
-                         "top_reasons:bad_direction"]

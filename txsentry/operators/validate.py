@@ -70,10 +70,12 @@ def split(df: DataFrame, default_ts=None) -> tuple[DataFrame, DataFrame]:
     return accepted, tagged.filter(~ok)
 
 
-def reject_summary(tagged: DataFrame) -> DataFrame:
-    """Rows per violated rule (a row with two violations counts under both)."""
-    return (tagged.select(F.explode("errors").alias("error"))
-            .groupBy("error").agg(F.count(F.lit(1)).alias("n")))
+def reject_summary(df: DataFrame) -> DataFrame:
+    """Rows per violated rule (a row with two violations counts under both).
+    One conditional-count aggregate over the rules, no explode."""
+    df = with_missing_columns(df)
+    counts = V.rule_counts(df, V.request_rules(_types(df)), "error")
+    return counts.filter(F.col("n") > 0)
 
 
 def prediction_check(pred: DataFrame) -> DataFrame:
@@ -83,10 +85,4 @@ def prediction_check(pred: DataFrame) -> DataFrame:
 
 def prediction_summary(pred: DataFrame) -> DataFrame:
     """Violations per contract rule, every rule listed (zero when clean)."""
-    checked = prediction_check(pred)
-    counts = [F.sum(F.array_contains("errors", r).cast("long")).alias(f"c{i}")
-              for i, r in enumerate(V.PREDICTION_RULE_NAMES)]
-    agg = checked.agg(*counts)
-    pairs = ", ".join(f"'{r}', c{i}" for i, r in enumerate(V.PREDICTION_RULE_NAMES))
-    return agg.selectExpr(f"stack({len(V.PREDICTION_RULE_NAMES)}, {pairs}) AS (rule, n)") \
-              .withColumn("n", F.coalesce(F.col("n"), F.lit(0)).cast("bigint"))
+    return V.rule_counts(pred, V.prediction_rules(), "rule")

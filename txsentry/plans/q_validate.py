@@ -121,4 +121,4 @@ def q_reject_split(spark, sf_dir):
 SELECT error, count(*) AS n FROM ({_errors_sql(_ALL_SQL)}) z GROUP BY error""",
                                     views=("raw_transactions",)))
 def q_reject_summary(spark, sf_dir):
-    return ops.reject_summary(ops.validate(raw_transactions(spark, sf_dir)))
+    return ops.reject_summary(raw_transactions(spark, sf_dir))
