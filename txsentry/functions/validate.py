@@ -80,12 +80,10 @@ def request_rules(types: dict[str, str]) -> list[Rule]:
     return rules
 
 
-_EMPTY = F.array().cast("array<string>")
-
-
 def error_tags(rules: list[Rule]) -> Column:
     """Violated tags of a row, in rule order (empty when valid)."""
-    parts = [F.when(F.coalesce(cond, F.lit(False)), F.array(F.lit(tag))).otherwise(_EMPTY)
+    empty = F.array().cast("array<string>")
+    parts = [F.when(F.coalesce(cond, F.lit(False)), F.array(F.lit(tag))).otherwise(empty)
              for tag, cond in rules]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
