@@ -87,3 +87,18 @@ def test_random_forest_fallback(spark, tx_small):
     scorer, _ = P.train(spark, tx_small, algo="rf", rf_trees=10, forest_trees=10)
     assert scorer.algorithm == "RandomForestClassifier"
     assert P.score(scorer, tx_small).count() == tx_small.count()
+
+
+def test_example_payloads_end_to_end(spark, tx_mid):
+    """Trained on the feed, the suspicious example is blocked with p > 0.5 and
+    the safe one gets p < 0.2 (its decision also depends on the forest)."""
+    from test_golden import SAFE, SUSPICIOUS
+    from txsentry.operators import validate as V
+    from txsentry.sources.files import from_records
+    scorer, _ = P.train(spark, tx_mid, max_iter=20, forest_trees=100)
+    acc, rej = V.split(from_records(spark, [SAFE, SUSPICIOUS]))
+    assert rej.count() == 0
+    got = {r.transaction_id: r for r in P.score(scorer, acc).collect()}
+    fraud, safe = got[SUSPICIOUS["transaction_id"]], got[SAFE["transaction_id"]]
+    assert fraud.fraud_probability > 0.5 and fraud.decision == "BLOCK"
+    assert safe.fraud_probability < 0.2
