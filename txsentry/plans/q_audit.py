@@ -1,7 +1,7 @@
 """Registered audit-log queries.
 
 The audit rows are the stand-in predictions of the whole feed (risk tier,
-decision and reasons from the scored view).  A1 and A2 write to a fresh
+decision and reasons from the scored view).  A1, A2 and A7 write to a fresh
 table in the session's shared work folder and read it back.
 """
 
@@ -135,7 +135,9 @@ def q_dashboard_stats(spark, sf_dir):
 @query("audit_lookup", _sql("""
 SELECT id, transaction_id, decision FROM audit WHERE user_id = 'user_7'"""))
 def q_audit_lookup(spark, sf_dir):
-    return A.lookup(_audit(spark, sf_dir), user_id="user_7").select(
+    path = scratch_path(spark, "audit-lookup")
+    A.audit_append(_audit(spark, sf_dir), path)
+    return A.lookup(A.read_audit(spark, path), user_id="user_7").select(
         "id", "transaction_id", "decision")
 
 
