@@ -89,3 +89,11 @@ def test_stratified_split_exact_sizes(tx_mid):
         assert g["is_test"].sum() == -(-len(g) * 2 // 10)
     assert len(out) == tx_mid.count()
     assert isinstance(out, pd.DataFrame)
+
+
+def test_stratified_split_hash_key_exact_sizes(tx_mid):
+    """Row-hash order key (no numeric id): uniform buckets over the 64-bit range."""
+    out = stratified_split(tx_mid).groupBy("is_fraud").agg(
+        F.sum("is_test").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    for r in out:
+        assert r.t == -(-r.n * 2 // 10)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txsentry.operators.stats import group_positions, portable_key
+from txsentry.operators.stats import KEY_RANGE, group_positions, portable_key
 from txsentry.schema import LABELLED_ORDER
 
 POSITIVE_WEIGHT = 10.0  # weight of class 1 for the boosted trees
@@ -46,7 +46,9 @@ def stratified_split(df: DataFrame, label: str = "is_fraud", test_fraction: floa
     smallest order keys.  Exact per-class sizes; the per-label ranking is a
     distributed sort, not one task per label."""
     keyed = df.withColumn("_key", order_key(df, seed, numeric_id))
-    pos = group_positions(keyed, [label], ["_key", tiebreak])
+    # Both key kinds are uniform over a known range: equal-width buckets.
+    key_range = KEY_RANGE if numeric_id is not None else (-(1 << 63), (1 << 63) - 1)
+    pos = group_positions(keyed, [label], ["_key", tiebreak], uniform_range=key_range)
     cut = F.ceil(F.lit(test_fraction) * F.col("_n"))
     return pos.withColumn("is_test", (F.col("_pos") < cut).cast("int")).drop("_key", "_pos", "_n")
 

@@ -28,6 +28,9 @@ def default_buckets(df: DataFrame) -> int:
     return max(MIN_BUCKETS, min(MAX_BUCKETS, 2 * parts))
 
 
+KEY_RANGE = (0, 2147483647)  # portable_key values lie in [0, 2^31 - 1)
+
+
 def portable_key(x, seed: int = 42):
     """Deterministic pseudo-random order key of a BIGINT id (two Lehmer steps
     modulo 2^31-1, seeded).  Integer arithmetic only, so any SQL engine
@@ -38,10 +41,19 @@ def portable_key(x, seed: int = 42):
 
 
 def value_buckets(df: DataFrame, column: str, out: str = "_vb",
-                  n_buckets: int | None = None) -> DataFrame:
+                  n_buckets: int | None = None,
+                  uniform_range: tuple[int, int] | None = None) -> DataFrame:
     """Add ``out``: the index of ``column``'s value among approximate
-    quantile boundaries (monotone in the value; the column must be non-null)."""
+    quantile boundaries (monotone in the value; the column must be non-null).
+    For a column known to be uniform over ``uniform_range`` (a seeded hash
+    key) the buckets are equal-width slices: no pass over the data."""
     n_buckets = n_buckets or default_buckets(df)
+    if uniform_range is not None:
+        lo, hi = uniform_range
+        width = float(hi - lo) / n_buckets
+        # Double arithmetic: monotone in the value and free of BIGINT overflow.
+        pos = (F.col(column).cast("double") - F.lit(float(lo))) / F.lit(width)
+        return df.withColumn(out, F.least(F.floor(pos), F.lit(n_buckets - 1)).cast("int"))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     row = df.agg(F.percentile_approx(F.col(column).cast("double"), probs, 4 * n_buckets)
                  .alias("q")).first()
@@ -54,12 +66,13 @@ def value_buckets(df: DataFrame, column: str, out: str = "_vb",
 
 
 def group_positions(df: DataFrame, group: list[str], order: list[str],
-                    few_groups: bool = True, n_buckets: int | None = None) -> DataFrame:
+                    few_groups: bool = True, n_buckets: int | None = None,
+                    uniform_range: tuple[int, int] | None = None) -> DataFrame:
     """Add ``_pos`` (0-based position of the row in its group, in ``order``;
     ``order`` must make rows unique, its first column numeric) and ``_n``
     (group size).  The offset table has one row per (group, bucket); with
     ``few_groups`` it is broadcast."""
-    b = value_buckets(df, order[0], "_vb", n_buckets)
+    b = value_buckets(df, order[0], "_vb", n_buckets, uniform_range)
     w = Window.partitionBy(*group, "_vb").orderBy(*order)
     local = b.withColumn("_lpos", F.row_number().over(w) - 1)
     sizes = b.groupBy(*group, "_vb").agg(F.count(F.lit(1)).alias("_cnt"))
