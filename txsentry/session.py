@@ -23,6 +23,9 @@ SESSION_DEFAULTS = {
     # Split a hot join key even when the join's partitioning feeds a later
     # grouping on the same key (one user may hold a third of all rows).
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Let AQE size the partitions of persisted tables too (the training
+    # split is persisted and iterated over by the tree learners).
+    "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
