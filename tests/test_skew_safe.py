@@ -97,3 +97,19 @@ def test_stratified_split_hash_key_exact_sizes(tx_mid):
         F.sum("is_test").alias("t"), F.count(F.lit(1)).alias("n")).collect()
     for r in out:
         assert r.t == -(-r.n * 2 // 10)
+
+
+def test_profile_exact_median_matches_pandas(tx_mid):
+    from txsentry.operators.behaviour import user_profile
+    ours = {r.user_id: r.avg_amount for r in
+            user_profile(tx_mid, baseline="median_exact").collect()}
+    ref = tx_mid.select("user_id", "amount").toPandas().groupby("user_id")["amount"].median()
+    assert ours == pytest.approx(ref.to_dict())
+
+
+def test_entry_smoke(spark):
+    import __spark_entry__ as E
+    df = E.entry(spark)
+    assert df.columns[:5] == ["transaction_id", "fraud_probability", "anomaly_score",
+                              "risk_level", "decision"]
+    assert df.count() >= 0

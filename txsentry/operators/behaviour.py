@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from txsentry.functions.features import event_hour, is_night
 from txsentry.operators import sequence as S
+from txsentry.operators.stats import exact_median
 from txsentry.schema import DEVICE_CHANNELS, DEVICE_CHANNELS_DEFAULT, FRAUD_PATTERNS
 
 # Fixed detection thresholds (multiples of the user's baseline amount).
@@ -37,19 +38,27 @@ def user_profile(tx: DataFrame, baseline: str = "mean", normal_only: bool = Fals
     """Per user: home country and primary device (most frequent value, ties
     to the smallest), baseline amount and row count.
 
-    ``baseline``: "mean" (exact) or "median" (approximate percentile: an
-    exact median would hold a whole user's amounts in one buffer).
-    ``normal_only`` computes the baseline over label-0 rows only.
+    ``baseline``: "mean", "median" (approximate percentile, one pass) or
+    "median_exact" (distributed sort: a heavy user is spread over value
+    buckets instead of one buffer).  ``normal_only`` computes the baseline
+    over label-0 rows only.
     """
     amount = F.col("amount")
     if normal_only:
         amount = F.when(F.col("is_fraud") == 0, amount)
-    base = F.avg(amount) if baseline == "mean" else F.percentile_approx(amount, 0.5, 10000)
-    return tx.groupBy("user_id").agg(
-        F.mode("country", deterministic=True).alias("home_country"),
-        F.mode("device_type", deterministic=True).alias("primary_device"),
-        base.cast("double").alias("avg_amount"),
-        F.count(F.lit(1)).alias("n_tx"))
+    aggs = [F.mode("country", deterministic=True).alias("home_country"),
+            F.mode("device_type", deterministic=True).alias("primary_device")]
+    if baseline == "mean":
+        aggs.append(F.avg(amount).alias("avg_amount"))
+    elif baseline == "median":
+        aggs.append(F.percentile_approx(amount, 0.5, 10000).cast("double").alias("avg_amount"))
+    aggs.append(F.count(F.lit(1)).alias("n_tx"))
+    profile = tx.groupBy("user_id").agg(*aggs)
+    if baseline == "median_exact":
+        rows = tx if not normal_only else tx.filter(F.col("is_fraud") == 0)
+        med = exact_median(rows, ["user_id"], "amount", "transaction_id", few_groups=False)
+        profile = profile.join(med.withColumnRenamed("median", "avg_amount"), "user_id", "left")
+    return profile
 
 
 def user_top_values(tx: DataFrame, column: str, k: int) -> DataFrame:
