@@ -113,3 +113,22 @@ def test_entry_smoke(spark):
     assert df.columns[:5] == ["transaction_id", "fraud_probability", "anomaly_score",
                               "risk_level", "decision"]
     assert df.count() >= 0
+
+
+def test_hot_key_trailing_count_and_sessions(tx_mid):
+    """One user holding every row: trailing counts and sessions still equal
+    the plain per-key windows."""
+    hot = tx_mid.withColumn(KEY, F.lit("user_hot"))
+    us = 3600 * 1_000_000
+    w = Window.partitionBy(KEY).orderBy(F.unix_micros(TS)).rangeBetween(-us, 0)
+    plain = hot.select(ID, F.count(F.lit(1)).over(w).alias("n"))
+    ours = S.trailing_count(hot, KEY, TS, 3600, "n", 3600)
+    assert _rows(ours, [ID, "n"]) == _rows(plain, [ID, "n"])
+    wo = Window.partitionBy(KEY).orderBy(TS, ID)
+    gap = F.unix_micros(TS) - F.unix_micros(F.lag(TS).over(wo))
+    start = F.when(gap.isNull() | (gap > 300 * 1_000_000), F.col(TS))
+    plain_s = hot.select(ID, TS, KEY, start.alias("_s")).select(
+        ID, F.last("_s", ignorenulls=True).over(
+            wo.rowsBetween(Window.unboundedPreceding, 0)).alias("session_start"))
+    ours_s = S.sessions(hot, KEY, TS, ID, 300, "session_start", 3600)
+    assert _rows(ours_s, [ID, "session_start"]) == _rows(plain_s, [ID, "session_start"])
