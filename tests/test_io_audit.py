@@ -86,3 +86,13 @@ def test_recent_limit_bounds(spark, tx_small):
     for bad in (0, 101):
         with pytest.raises(ValueError):
             A.recent(audit, bad)
+
+
+def test_audit_failure_is_reported_not_raised(spark, tx_small, tmp_path):
+    blocker = tmp_path / "not_a_dir"
+    blocker.write_text("x")  # a file where the table folder should be
+    rows = A.audit_rows(R.assess(scored_from(tx_small)), id_col="id")
+    assert A.try_audit_append(rows, str(blocker)) is False
+    ok_path = scratch_path(spark, "audit-ok")
+    assert A.try_audit_append(rows, ok_path) is True
+    assert spark.read.parquet(ok_path).count() == tx_small.count()

@@ -8,12 +8,15 @@ never leaves partial rows.  Reads of recent rows are top-k
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from txsentry.schema import REASON, TRANSACTION
 
+logger = logging.getLogger(__name__)
 PAYLOAD_FIELDS = TRANSACTION.fieldNames()
 # JSON keeps event time to the microsecond (the default format keeps millis).
 JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
@@ -67,6 +70,18 @@ def audit_append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").options(**BLOOM_OPTIONS).partitionBy("created_date").parquet(path)
 
 
+def try_audit_append(rows: DataFrame, path: str) -> bool:
+    """Append, reporting failure instead of raising: the predictions being
+    audited stand even when the audit write fails (streams use the
+    replay-safe ``streaming.jobs.audit_to_table`` instead)."""
+    try:
+        audit_append(rows, path)
+        return True
+    except Exception:  # noqa: BLE001 - any storage error
+        logger.exception("audit append to %s failed", path)
+        return False
+
+
 def read_audit(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
