@@ -96,3 +96,11 @@ def test_audit_failure_is_reported_not_raised(spark, tx_small, tmp_path):
     ok_path = scratch_path(spark, "audit-ok")
     assert A.try_audit_append(rows, ok_path) is True
     assert spark.read.parquet(ok_path).count() == tx_small.count()
+
+
+def test_payload_as_variant(spark, tx_small):
+    rows = A.parse_json_variant(A.audit_rows(R.assess(scored_from(tx_small)), id_col="id"))
+    got = rows.select("transaction_id",
+                      F.variant_get("payload_variant", "$.amount", "double").alias("a"))
+    ref = tx_small.select("transaction_id", F.col("amount").alias("a"))
+    assert got.exceptAll(ref).count() == 0

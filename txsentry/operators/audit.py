@@ -101,6 +101,12 @@ def parse_json(audit: DataFrame) -> DataFrame:
     })
 
 
+def parse_json_variant(audit: DataFrame) -> DataFrame:
+    """Free-form payloads: the request text as a VARIANT (no schema needed;
+    fields read with ``variant_get``), e.g. for payloads with extra keys."""
+    return audit.withColumn("payload_variant", F.parse_json("request_payload"))
+
+
 def decision_window_stats(audit: DataFrame, window: int = STATS_WINDOW) -> DataFrame:
     """Counts per decision over the newest ``window`` rows."""
     r = recent(audit, window)
