@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from txsentry.functions.features import event_hour, is_night
 from txsentry.operators import sequence as S
+from txsentry.operators.joins import broadcast_if_small
 from txsentry.operators.stats import exact_median
 from txsentry.schema import DEVICE_CHANNELS, DEVICE_CHANNELS_DEFAULT, FRAUD_PATTERNS
 
@@ -157,9 +158,11 @@ def channel_mismatch(tx: DataFrame) -> DataFrame:
 
 
 def geo_mismatch(tx: DataFrame, geo: DataFrame) -> DataFrame:
-    """Rows whose (country, city) is not a known pair.  ``geo`` is bounded by
-    the two-letter country domain times its city list, so it is broadcast."""
-    return tx.join(F.broadcast(geo.select("country", "city")), ["country", "city"], "left_anti")
+    """Rows whose (country, city) is not a known pair.  The reference list is
+    a dimension (two-letter countries times their cities): broadcast after a
+    row-count check, a normal anti join beyond it."""
+    return tx.join(broadcast_if_small(geo.select("country", "city")), ["country", "city"],
+                   "left_anti")
 
 
 def signals(tx: DataFrame, window_minutes: int = VELOCITY_WINDOW_MINUTES,
