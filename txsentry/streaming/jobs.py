@@ -42,7 +42,9 @@ def transactions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process everything available now into a memory table and return it."""
+    """Process everything available now into a memory table and return it
+    (tests and registered queries; services pass a processing-time trigger
+    to the table sinks below instead)."""
     q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -85,8 +87,11 @@ def dedup(tx: DataFrame, key: str = "transaction_id", delay: str = DEFAULT_DELAY
     return tx.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark([key])
 
 
+AVAILABLE_NOW = {"availableNow": True}
+
+
 def validate_to_tables(raw: DataFrame, accepted_path: str, quarantine_path: str,
-                       checkpoint: str, default_ts=None):
+                       checkpoint: str, default_ts=None, trigger: dict = AVAILABLE_NOW):
     """Split each micro-batch into the accepted and quarantine tables."""
     def write(batch: DataFrame, batch_id: int) -> None:
         accepted, rejected = V.split(batch, default_ts)
@@ -96,10 +101,11 @@ def validate_to_tables(raw: DataFrame, accepted_path: str, quarantine_path: str,
                .partitionBy("batch_id").parquet(path))
 
     return (raw.writeStream.foreachBatch(write)
-               .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+               .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
-def audit_to_table(pred: DataFrame, path: str, checkpoint: str, id_col: str | None = None):
+def audit_to_table(pred: DataFrame, path: str, checkpoint: str, id_col: str | None = None,
+                   trigger: dict = AVAILABLE_NOW):
     """Audit rows per micro-batch; ids hash (batch, transaction), and the
     batch's partition is overwritten, so a replay is idempotent."""
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -109,4 +115,4 @@ def audit_to_table(pred: DataFrame, path: str, checkpoint: str, id_col: str | No
              .partitionBy("batch_id").parquet(path))
 
     return (pred.writeStream.foreachBatch(write)
-                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+                .option("checkpointLocation", checkpoint).trigger(**trigger).start())
