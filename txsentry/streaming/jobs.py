@@ -94,11 +94,15 @@ def validate_to_tables(raw: DataFrame, accepted_path: str, quarantine_path: str,
                        checkpoint: str, default_ts=None, trigger: dict = AVAILABLE_NOW):
     """Split each micro-batch into the accepted and quarantine tables."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        accepted, rejected = V.split(batch, default_ts)
-        for df, path in ((accepted, accepted_path), (rejected, quarantine_path)):
-            (df.withColumn("batch_id", F.lit(batch_id))
-               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-               .partitionBy("batch_id").parquet(path))
+        batch.persist()  # two sinks read the micro-batch: compute it once
+        try:
+            accepted, rejected = V.split(batch, default_ts)
+            for df, path in ((accepted, accepted_path), (rejected, quarantine_path)):
+                (df.withColumn("batch_id", F.lit(batch_id))
+                   .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                   .partitionBy("batch_id").parquet(path))
+        finally:
+            batch.unpersist()
 
     return (raw.writeStream.foreachBatch(write)
                .option("checkpointLocation", checkpoint).trigger(**trigger).start())
