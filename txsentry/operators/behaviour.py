@@ -165,17 +165,29 @@ def geo_mismatch(tx: DataFrame, geo: DataFrame) -> DataFrame:
                    "left_anti")
 
 
+def profile_by_category(tx: DataFrame, k: int = TOP_CATEGORIES) -> DataFrame:
+    """One row per (user, category) the user has used: the user's profile
+    columns plus ``is_top`` (the category is among the user's ``k`` most
+    frequent).  Both inputs are partial aggregates; joining them here, on
+    small tables, lets the fact table meet profile and top categories in a
+    single join on (user, category)."""
+    counts = tx.groupBy("user_id", "merchant_category").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("user_id").orderBy(F.col("n").desc(), F.col("merchant_category"))
+    ranked = counts.select("user_id", "merchant_category",
+                           (F.row_number().over(w) <= k).cast("int").alias("is_top"))
+    return ranked.join(user_profile(tx), "user_id")
+
+
 def signals(tx: DataFrame, window_minutes: int = VELOCITY_WINDOW_MINUTES,
             bucket_seconds: int = S.DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Every row with the six deviation signals as 0/1 columns and the
-    pattern predicates needed for labelling."""
-    profile = user_profile(tx)
-    top = user_top_values(tx, "merchant_category", TOP_CATEGORIES) \
-        .select("user_id", "merchant_category", F.lit(1).alias("_top"))
+    pattern predicates needed for labelling.  The fact table is shuffled
+    twice: once for the trailing counts (by user and time bucket) and once
+    for the join to ``profile_by_category``."""
+    dim = profile_by_category(tx)
     counted = S.trailing_count(tx, "user_id", "timestamp", window_minutes * 60,
                                "n_window", bucket_seconds)
-    x = (counted.join(profile, "user_id")
-                .join(top, ["user_id", "merchant_category"], "left"))
+    x = counted.join(dim, ["user_id", "merchant_category"])
     ratio = _ratio()
     night = is_night(event_hour(F.col("timestamp"))) == 1
     return x.select(
@@ -184,9 +196,9 @@ def signals(tx: DataFrame, window_minutes: int = VELOCITY_WINDOW_MINUTES,
         night.cast("int").alias("sig_night"),
         (F.col("country") != F.col("home_country")).cast("int").alias("sig_country"),
         (F.col("device_type") != F.col("primary_device")).cast("int").alias("sig_device"),
-        F.col("_top").isNull().cast("int").alias("sig_merchant"),
+        (1 - F.col("is_top")).alias("sig_merchant"),
         (F.col("n_window") >= VELOCITY_MIN_COUNT).cast("int").alias("sig_velocity"),
-    ).drop("_top")
+    ).drop("is_top")
 
 
 _SIGNALS = ["sig_amount", "sig_night", "sig_country", "sig_device", "sig_merchant",
