@@ -104,3 +104,18 @@ def test_payload_as_variant(spark, tx_small):
                       F.variant_get("payload_variant", "$.amount", "double").alias("a"))
     ref = tx_small.select("transaction_id", F.col("amount").alias("a"))
     assert got.exceptAll(ref).count() == 0
+
+
+def test_recent_from_table_prunes_partitions(spark, tx_small):
+    import contextlib
+    import io
+    audit = A.audit_rows(R.assess(scored_from(tx_small)), id_col="id")
+    path = scratch_path(spark, "audit-recent")
+    A.audit_append(audit, path)
+    got = A.recent_from_table(spark, path, 20)
+    want = A.recent(A.read_audit(spark, path), 20)
+    assert [r.id for r in got.collect()] == [r.id for r in want.collect()]
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        got.explain()
+    assert "PartitionFilters: [isnotnull(created_date" in buf.getvalue()

@@ -93,6 +93,26 @@ def recent(audit: DataFrame, limit: int = DEFAULT_RECENT) -> DataFrame:
     return audit.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)
 
 
+def recent_from_table(spark, path: str, limit: int = DEFAULT_RECENT) -> DataFrame:
+    """``recent`` on the date-partitioned table, reading only the newest
+    partitions that can hold the answer: per-date row counts (no data
+    columns are read; one row per date) give the oldest date needed, which
+    becomes a partition filter of the top-k scan."""
+    if not 1 <= limit <= MAX_RECENT:
+        raise ValueError(f"limit must be in 1..{MAX_RECENT}, got {limit}")
+    table = read_audit(spark, path)
+    per_day = table.groupBy("created_date").agg(F.count(F.lit(1)).alias("n")) \
+                   .orderBy(F.col("created_date").desc()).collect()
+    covered, cutoff = 0, None
+    for r in per_day:
+        covered, cutoff = covered + r["n"], r["created_date"]
+        if covered >= limit:
+            break
+    if cutoff is not None:
+        table = table.filter(F.col("created_date") >= F.lit(cutoff))
+    return recent(table, limit)
+
+
 def parse_json(audit: DataFrame) -> DataFrame:
     """Payload and reasons text back to typed columns."""
     return audit.withColumns({

@@ -1,7 +1,7 @@
 """Registered audit-log queries.
 
 The audit rows are the stand-in predictions of the whole feed (risk tier,
-decision and reasons from the scored view).  A1, A2 and A7 write to a fresh
+decision and reasons from the scored view).  A1, A2, A3 and A7 write to a fresh
 table in the session's shared work folder and read it back.
 """
 
@@ -91,7 +91,9 @@ def q_keyed_store(spark, sf_dir):
 SELECT id, transaction_id, decision, strftime(created_at, {_TS}) AS created_at
 FROM recent LIMIT 20"""))
 def q_audit_recent(spark, sf_dir):
-    r = A.recent(_audit(spark, sf_dir), 20)
+    path = scratch_path(spark, "audit-recent")
+    A.audit_append(_audit(spark, sf_dir), path)
+    r = A.recent_from_table(spark, path, 20)
     return r.select("id", "transaction_id", "decision",
                     F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
 
