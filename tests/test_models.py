@@ -102,3 +102,22 @@ def test_example_payloads_end_to_end(spark, tx_mid):
     fraud, safe = got[SUSPICIOUS["transaction_id"]], got[SAFE["transaction_id"]]
     assert fraud.fraud_probability > 0.5 and fraud.decision == "BLOCK"
     assert safe.fraud_probability < 0.2
+
+
+@pytest.mark.parametrize("n_rows,n_trees", [(600, 20), (20000, 10)])
+def test_iforest_deterministic_and_full_samples(spark, n_rows, n_trees):
+    """Replicated candidates (small n) and disjoint ones (large n): every tree
+    is grown on exactly psi distinct rows, and refitting gives the same trees."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(n_rows, 2))
+    df = spark.createDataFrame([(f"r{i}", float(a), float(b)) for i, (a, b) in enumerate(x)],
+                               "id string, a double, b double")
+    m1 = IF.fit(df, ["a", "b"], id_col="id", n_trees=n_trees)
+    m2 = IF.fit(df, ["a", "b"], id_col="id", n_trees=n_trees)
+    roots = m1.nodes[m1.nodes["node"] == 0]
+    assert m1.psi == min(256, n_rows)
+    assert (roots["size"] == m1.psi).all()
+    cols = ["tree", "node", "feature", "threshold", "left", "right", "size"]
+    a = m1.nodes[cols].sort_values(["tree", "node"]).reset_index(drop=True)
+    b = m2.nodes[cols].sort_values(["tree", "node"]).reset_index(drop=True)
+    assert a.equals(b)

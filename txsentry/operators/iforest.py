@@ -1,10 +1,11 @@
 """Distributed isolation forest (M4-M7); Liu, Ting & Zhou (2008).
 
-Fit: every training row draws, per replica, a tree id and a priority from a
-seeded hash.  A row filter keeps about 1.5 * psi candidates per tree (so the
-shuffle moves ~1.5 * n_trees * psi rows, independent of the table size),
-``groupBy("tree").applyInPandas`` keeps the psi lowest priorities of each
-tree (distinct rows) and grows one isolation tree on them with numpy.  The
+Fit: every training row draws a tree id and a priority from a seeded hash
+(small tables: one copy of the row per tree).  A row filter keeps about
+1.5 * psi candidates per tree (so the shuffle moves ~1.5 * n_trees * psi
+rows, independent of the table size), ``groupBy("tree").applyInPandas``
+keeps the psi lowest priorities of each tree (distinct rows) and grows one
+isolation tree on them with numpy.  The
 result is a node table of at most n_trees * (2 * psi - 1) rows.
 
 Score: the node table is bounded by (n_trees, psi), so it is broadcast; a
@@ -175,18 +176,25 @@ def fit(df: DataFrame, feature_cols: list[str], id_col: str = "transaction_id",
     n = n_rows if n_rows is not None else df.count()
     psi = int(min(max_samples, n))
     target = CANDIDATE_FACTOR * n_trees * psi          # candidates over all trees
-    replicas = max(1, min(n_trees, math.ceil(target / max(n, 1))))
-    keep = min(1.0, target / (n * replicas)) if n else 1.0
     base = df.select(F.col(id_col).alias("_rid"), *feature_cols)
-    if replicas > 1:
-        base = base.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
+    if n < target:
+        # Small table: every tree considers every row (one copy per tree,
+        # n * n_trees < target * n_trees rows, generated map-side) and keeps
+        # each with probability 1.5 psi / n, so each tree gets distinct rows
+        # and the shuffle carries about target rows.
+        keep = min(1.0, CANDIDATE_FACTOR * psi / max(n, 1))
+        base = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+        prio_hash = F.xxhash64(F.lit(seed + 1), F.col("tree"), F.col("_rid"))
     else:
-        base = base.withColumn("_rep", F.lit(0))
-    h1 = F.xxhash64(F.lit(seed), F.col("_rep"), F.col("_rid"))
-    h2 = F.xxhash64(F.lit(seed + 1), F.col("_rep"), F.col("_rid"))
-    unit = (F.pmod(h2, F.lit(1 << 30)).cast("double") / float(1 << 30))
-    cand = (base.withColumns({"tree": F.pmod(h1, F.lit(n_trees)).cast("int"), "_prio": unit})
-                .filter(F.col("_prio") < keep))
+        # Large table: each row belongs to one tree (seeded hash) and is a
+        # candidate with probability target / n; trees are disjoint samples.
+        keep = target / n
+        h1 = F.xxhash64(F.lit(seed), F.col("_rid"))
+        base = base.withColumn("tree", F.pmod(h1, F.lit(n_trees)).cast("int"))
+        prio_hash = F.xxhash64(F.lit(seed + 1), F.col("_rid"))
+    unit = F.pmod(prio_hash, F.lit(1 << 30)).cast("double") / float(1 << 30)
+    cand = base.withColumns({"tree": F.col("tree").cast("int"), "_prio": unit}) \
+               .filter(F.col("_prio") < keep)
     nodes = (cand.select("tree", "_rid", "_prio", *feature_cols)
                  .groupBy("tree").applyInPandas(_fit_tree_fn(feature_cols, psi, seed),
                                                 NODE_SCHEMA))
