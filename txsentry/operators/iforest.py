@@ -105,21 +105,29 @@ class IsolationForestModel:
     score_max: float = 1.0
 
     def arrays(self):
+        """Dense (tree, node) arrays for scoring; ``value`` holds, for leaves,
+        the path length credited to a row ending there (depth + c(size))."""
         nodes = self.nodes.sort_values(["tree", "node"])
         width = int(nodes.groupby("tree")["node"].max().max()) + 1
         shape = (self.n_trees, width)
         feat = np.full(shape, -1, np.int32)
         thr = np.zeros(shape)
-        lft = np.full(shape, -1, np.int32)
-        rgt = np.full(shape, -1, np.int32)
+        lft = np.zeros(shape, np.int32)
+        rgt = np.zeros(shape, np.int32)
         size = np.zeros(shape)
         tr, nd = nodes["tree"].to_numpy(), nodes["node"].to_numpy()
         feat[tr, nd] = nodes["feature"].to_numpy()
         thr[tr, nd] = nodes["threshold"].to_numpy()
-        lft[tr, nd] = nodes["left"].to_numpy()
-        rgt[tr, nd] = nodes["right"].to_numpy()
+        lft[tr, nd] = np.maximum(nodes["left"].to_numpy(), 0)
+        rgt[tr, nd] = np.maximum(nodes["right"].to_numpy(), 0)
         size[tr, nd] = nodes["size"].to_numpy()
-        return feat, thr, lft, rgt, size
+        depth = np.zeros(shape)
+        for t in range(self.n_trees):   # children always follow their parent
+            for k in range(width):
+                if feat[t, k] >= 0:
+                    depth[t, lft[t, k]] = depth[t, rgt[t, k]] = depth[t, k] + 1
+        value = depth + c_factor(size)
+        return feat, thr, lft, rgt, value
 
     def raw_score(self, spark) -> Column:
         """Column expression: raw score of the feature columns (higher = more normal)."""
@@ -129,23 +137,21 @@ class IsolationForestModel:
 
         @F.pandas_udf("double")
         def score(*cols: pd.Series) -> pd.Series:
-            feat, thr, lft, rgt, size = bc.value
+            feat, thr, lft, rgt, value = bc.value
             x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-            n = len(x)
-            rows = np.arange(n)
-            total = np.zeros(n)
+            rows = np.arange(len(x))
+            total = np.zeros(len(x))
             for t in range(n_trees):
-                node = np.zeros(n, dtype=np.int64)
-                depth = np.zeros(n)
-                active = feat[t, node] >= 0
-                while active.any():
-                    f = feat[t, node]
-                    go_left = x[rows, np.maximum(f, 0)] < thr[t, node]
-                    nxt = np.where(go_left, lft[t, node], rgt[t, node])
-                    node = np.where(active, nxt, node)
-                    depth += active
-                    active = feat[t, node] >= 0
-                total += depth + c_factor(size[t, node])
+                f_t, thr_t, l_t, r_t = feat[t], thr[t], lft[t], rgt[t]
+                node = np.zeros(len(x), dtype=np.int32)
+                f = f_t[node]
+                internal = f >= 0
+                while internal.any():
+                    go_left = x[rows, np.maximum(f, 0)] < thr_t[node]
+                    node = np.where(internal, np.where(go_left, l_t[node], r_t[node]), node)
+                    f = f_t[node]
+                    internal = f >= 0
+                total += value[t][node]
             return pd.Series(-np.power(2.0, -(total / n_trees) / c_psi))
 
         return score(*[F.col(c) for c in self.feature_cols])
