@@ -139,19 +139,21 @@ class IsolationForestModel:
         def score(*cols: pd.Series) -> pd.Series:
             feat, thr, lft, rgt, value = bc.value
             x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-            rows = np.arange(len(x))
+            flat = x.ravel()                      # row-major: value (i, f) at i * F + f
+            base = np.arange(len(x)) * x.shape[1]
             total = np.zeros(len(x))
             for t in range(n_trees):
                 f_t, thr_t, l_t, r_t = feat[t], thr[t], lft[t], rgt[t]
                 node = np.zeros(len(x), dtype=np.int32)
-                f = f_t[node]
+                f = f_t.take(node)
                 internal = f >= 0
                 while internal.any():
-                    go_left = x[rows, np.maximum(f, 0)] < thr_t[node]
-                    node = np.where(internal, np.where(go_left, l_t[node], r_t[node]), node)
-                    f = f_t[node]
+                    go_left = flat.take(base + np.maximum(f, 0)) < thr_t.take(node)
+                    node = np.where(internal, np.where(go_left, l_t.take(node), r_t.take(node)),
+                                    node)
+                    f = f_t.take(node)
                     internal = f >= 0
-                total += value[t][node]
+                total += value[t].take(node)
             return pd.Series(-np.power(2.0, -(total / n_trees) / c_psi))
 
         return score(*[F.col(c) for c in self.feature_cols])
