@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txsentry.operators.stats import prefix_sum
+from txsentry.session import work_dir
 
 THRESHOLD = 0.5
 CLASS_NAMES = {0: "normal", 1: "fraud"}
@@ -22,6 +23,11 @@ def roc_auc(df: DataFrame, score: str = "fraud_probability", label: str = "is_fr
     per_score = df.groupBy(F.col(score).alias("s")).agg(
         F.sum(F.col(label)).cast("double").alias("pos"),
         F.sum(1 - F.col(label)).cast("double").alias("neg"))
+    # The per-score table is read three times below (bucket boundaries,
+    # running sums, bucket totals) but is small: materialise it once in the
+    # shared checkpoint folder so the scored table is scanned once.
+    work_dir(df.sparkSession)
+    per_score = per_score.checkpoint()
     cum = prefix_sum(per_score, ["s"], "neg", "cum_neg")
     below = F.col("cum_neg") - F.col("neg")
     return cum.agg((F.sum(F.col("pos") * (below + 0.5 * F.col("neg")))
