@@ -41,14 +41,19 @@ def transactions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions_from(events_stream(spark, sf_dir), read_table(spark, sf_dir, "customer"))
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process everything available now into a memory table and return it
-    (tests and registered queries; services pass a processing-time trigger
-    to the table sinks below instead)."""
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def run_available(df: DataFrame, name: str, checkpoint: str, path: str | None = None
+                  ) -> DataFrame:
+    """Process everything available now into a Parquet table (append mode;
+    exactly-once through the file sink's metadata log) and return it.  The
+    result stays distributed — no memory sink on the driver.  Services pass
+    a processing-time trigger to the table sinks below instead."""
+    from txsentry.session import scratch_path
+    path = path or scratch_path(df.sparkSession, f"stream-{name}")
+    q = (df.writeStream.format("parquet").option("path", path).outputMode("append")
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True)
+         .queryName(name).start())
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def velocity_counts(tx: DataFrame, window: str = "15 minutes", slide: str = "5 minutes",
