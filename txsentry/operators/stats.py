@@ -113,6 +113,8 @@ def prefix_sum(df: DataFrame, order: list[str], value: str, out: str = "_cum",
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = b.withColumn("_local", F.sum(value).over(w))
     totals = b.groupBy("_vb").agg(F.sum(value).alias("_btotal"))
+    # One row per value bucket (at most MAX_BUCKETS): the running total over
+    # buckets is a single small task by construction.
     offsets = totals.select("_vb", (F.sum("_btotal").over(Window.orderBy("_vb"))
                                     - F.col("_btotal")).alias("_boff"))
     return (local.join(F.broadcast(offsets), "_vb")
