@@ -52,10 +52,11 @@ def write_labelled_csv(df: DataFrame, path: str, mode: str = "overwrite") -> Non
 
 
 def read_transactions_json(spark: SparkSession, path: str, multi_line: bool = False,
-                           labelled: bool = False) -> DataFrame:
+                           labelled: bool = False, raw: bool = False) -> DataFrame:
     """Transaction documents (JSON lines, or whole-file documents with
-    ``multi_line``) with the fixed schema."""
-    schema = LABELLED if labelled else TRANSACTION
+    ``multi_line``) with the fixed schema; ``raw`` keeps every field as text
+    for validation (malformed values reach the rules instead of becoming null)."""
+    schema = RAW_TRANSACTION if raw else (LABELLED if labelled else TRANSACTION)
     return (spark.read.schema(schema).option("multiLine", multi_line)
             .option("timestampFormat", TS_FORMAT).json(path))
 
