@@ -66,3 +66,17 @@ def test_score_then_audit_round_trip(spark, tx_small):
     assert joined.count() == 2 and joined.filter(F.col("decision") != F.col("d")).count() == 0
     recent = A.recent(back, 20).collect()
     assert len(recent) == 2
+
+
+def test_predict_records_response_and_422(spark, tx_small):
+    scorer, _ = P.train(spark, tx_small, max_iter=3, forest_trees=10)
+    resp = P.predict_records(spark, scorer, SUSPICIOUS)
+    assert len(resp) == 1
+    r = resp[0]
+    assert set(r) == {"transaction_id", "fraud_probability", "anomaly_score", "risk_level",
+                      "decision", "top_reasons", "timestamp"}
+    assert [x["feature"] for x in r["top_reasons"]] == ["high_amount", "night_transaction",
+                                                       "international_transaction"]
+    with pytest.raises(P.InvalidRequest) as err:
+        P.predict_records(spark, scorer, {"transaction_id": "tx_x", "user_id": "u"})
+    assert "missing:amount" in err.value.errors["tx_x"]

@@ -151,3 +151,31 @@ def flagship(spark: SparkSession, sf_dir: str, max_iter: int = 10,
     scorer, parts = train(spark, tx, max_iter=max_iter, forest_trees=forest_trees)
     return score(scorer, tx)
 
+
+
+class InvalidRequest(ValueError):
+    """Raised by ``predict_records`` with the violated rules per request."""
+
+    def __init__(self, errors: dict):
+        super().__init__(f"invalid requests: {errors}")
+        self.errors = errors
+
+
+def predict_records(spark: SparkSession, scorer: Scorer, records) -> list[dict]:
+    """Request payloads (dict or list of dicts) -> response dicts, as the
+    scoring service returns them.  Invalid requests raise ``InvalidRequest``
+    with their rule violations.  For request-sized inputs; tables go through
+    ``score``."""
+    from txsentry.operators import validate as V
+    from txsentry.sources.files import from_records
+    accepted, rejected = V.split(from_records(spark, records))
+    bad = {r["transaction_id"]: list(r["errors"]) for r in
+           rejected.select("transaction_id", "errors").collect()}
+    if bad:
+        raise InvalidRequest(bad)
+    out = []
+    for r in score(scorer, accepted).collect():
+        d = r.asDict(recursive=True)
+        d["timestamp"] = d["timestamp"].isoformat()
+        out.append(d)
+    return out
