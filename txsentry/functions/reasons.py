@@ -10,14 +10,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Rule outputs (feature, contribution, direction).
+# Reason outputs (feature, contribution, direction) and the
+# amount thresholds of the service's explanation rules.
 UP, DOWN = "increases_risk", "decreases_risk"
-HIGH_AMOUNT_LARGE = 10000.0     # > -> 0.5
-HIGH_AMOUNT_MEDIUM = 5000.0     # > -> 0.25
+REASONS = {
+    "amount_large": ("high_amount", 0.5, UP),          # amount > 10000
+    "amount_medium": ("high_amount", 0.25, UP),        # amount > 5000
+    "night": ("night_transaction", 0.3, UP),           # hour >= 22 or hour <= 5
+    "day": ("daytime_transaction", 0.1, DOWN),
+    "international": ("international_transaction", 0.2, UP),
+    "domestic": ("domestic_transaction", 0.1, DOWN),
+    "card_absent": ("card_not_present", 0.15, UP),
+    "unknown_device": ("unusual_device", 0.1, UP),
+}
+HIGH_AMOUNT_LARGE = 10000.0
+HIGH_AMOUNT_MEDIUM = 5000.0
 TOP_K = 3
 
 
-def _reason(feature: str, contribution: float, direction: str) -> Column:
+def _reason(name: str) -> Column:
+    feature, contribution, direction = REASONS[name]
     return F.struct(F.lit(feature).alias("feature"),
                     F.lit(contribution).cast("double").alias("contribution"),
                     F.lit(direction).alias("direction"))
@@ -25,31 +37,30 @@ def _reason(feature: str, contribution: float, direction: str) -> Column:
 
 def reason_amount(amount: Column) -> Column:
     a = F.coalesce(amount, F.lit(0.0))
-    return (F.when(a > HIGH_AMOUNT_LARGE, _reason("high_amount", 0.5, UP))
-            .when(a > HIGH_AMOUNT_MEDIUM, _reason("high_amount", 0.25, UP)))
+    return (F.when(a > HIGH_AMOUNT_LARGE, _reason("amount_large"))
+            .when(a > HIGH_AMOUNT_MEDIUM, _reason("amount_medium")))
 
 
 def reason_time(ts: Column) -> Column:
     """Night (22:00-05:59 UTC) raises, daytime lowers; no reason without a time."""
     h = F.hour(ts)
     return (F.when(h.isNull(), F.lit(None))
-            .when((h >= 22) | (h <= 5), _reason("night_transaction", 0.3, UP))
-            .otherwise(_reason("daytime_transaction", 0.1, DOWN)))
+            .when((h >= 22) | (h <= 5), _reason("night"))
+            .otherwise(_reason("day")))
 
 
 def reason_geo(is_international: Column) -> Column:
-    return F.when(F.coalesce(is_international, F.lit(False)),
-                  _reason("international_transaction", 0.2, UP)) \
-            .otherwise(_reason("domestic_transaction", 0.1, DOWN))
+    return F.when(F.coalesce(is_international, F.lit(False)), _reason("international")) \
+            .otherwise(_reason("domestic"))
 
 
 def reason_card(card_present: Column) -> Column:
-    return F.when(~F.coalesce(card_present, F.lit(True)), _reason("card_not_present", 0.15, UP))
+    return F.when(~F.coalesce(card_present, F.lit(True)), _reason("card_absent"))
 
 
 def reason_device(device_type: Column) -> Column:
     d = F.lower(F.coalesce(device_type, F.lit("unknown")))
-    return F.when(d == "unknown", _reason("unusual_device", 0.1, UP))
+    return F.when(d == "unknown", _reason("unknown_device"))
 
 
 def all_reasons(amount="amount", ts="timestamp", intl="is_international",
