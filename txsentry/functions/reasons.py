@@ -26,6 +26,10 @@ REASONS = {
 HIGH_AMOUNT_LARGE = 10000.0
 HIGH_AMOUNT_MEDIUM = 5000.0
 TOP_K = 3
+# Fixed values of the result display: percent bands (> 40 high, > 20 medium)
+# and probability bands (> 0.7 high, > 0.3 medium).
+PERCENT_BANDS = (40, 20)
+PROBABILITY_BANDS = (0.7, 0.3)
 
 
 def _reason(name: str) -> Column:
@@ -89,8 +93,10 @@ def percent(contribution: Column) -> Column:
 
 
 def percent_band(pct: Column) -> Column:
-    return F.when(pct > 40, "high").when(pct > 20, "medium").otherwise("low")
+    hi, mid = PERCENT_BANDS
+    return F.when(pct > hi, "high").when(pct > mid, "medium").otherwise("low")
 
 
 def probability_band(p: Column) -> Column:
-    return F.when(p > 0.7, "high").when(p > 0.3, "medium").otherwise("low")
+    hi, mid = PROBABILITY_BANDS
+    return F.when(p > hi, "high").when(p > mid, "medium").otherwise("low")

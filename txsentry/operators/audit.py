@@ -20,6 +20,9 @@ logger = logging.getLogger(__name__)
 PAYLOAD_FIELDS = TRANSACTION.fieldNames()
 # JSON keeps event time to the microsecond (the default format keeps millis).
 JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+# Defaults of missing prediction fields in an audit row.
+AUDIT_DEFAULTS = {"fraud_probability": 0.0, "anomaly_score": 0.0, "risk_level": "unknown",
+                  "decision": "REVIEW"}
 DEFAULT_RECENT = 20
 MAX_RECENT = 100
 STATS_WINDOW = 100
@@ -50,10 +53,12 @@ def audit_rows(pred: DataFrame, id_col: str | None = None, batch_id: str = "0",
     return pred.select(
         rid.alias("id"), "transaction_id", "user_id",
         payload.alias("request_payload"),
-        col_or("fraud_probability", 0.0).cast("double").alias("fraud_probability"),
-        col_or("anomaly_score", 0.0).cast("double").alias("anomaly_score"),
-        col_or("risk_level", "unknown").alias("risk_level"),
-        col_or("decision", "REVIEW").alias("decision"),
+        col_or("fraud_probability", AUDIT_DEFAULTS["fraud_probability"]).cast("double")
+        .alias("fraud_probability"),
+        col_or("anomaly_score", AUDIT_DEFAULTS["anomaly_score"]).cast("double")
+        .alias("anomaly_score"),
+        col_or("risk_level", AUDIT_DEFAULTS["risk_level"]).alias("risk_level"),
+        col_or("decision", AUDIT_DEFAULTS["decision"]).alias("decision"),
         F.to_json(reasons).alias("top_reasons"),
         created.alias("created_at"),
     ).withColumn("created_date", F.to_date("created_at"))
