@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 
 from txsentry.schema import TRUE_TEXT
 
+# Night is [22:00, 06:00) UTC; weekend is day_of_week >= 5
+# (0 = Monday).
+NIGHT_START_HOUR = 22
+NIGHT_END_HOUR = 6
+WEEKEND_FIRST_DAY = 5
+
 
 def as_double(c: Column, type_name: str) -> Column:
     return c.try_cast("double") if type_name == "string" else c.cast("double")
@@ -41,12 +47,12 @@ def day_of_week(ts: Column) -> Column:
 
 
 def is_weekend(dow: Column) -> Column:
-    return (dow >= 5).cast("int")
+    return (dow >= WEEKEND_FIRST_DAY).cast("int")
 
 
 def is_night(hour: Column) -> Column:
     """22:00-05:59."""
-    return ((hour >= 22) | (hour < 6)).cast("int")
+    return ((hour >= NIGHT_START_HOUR) | (hour < NIGHT_END_HOUR)).cast("int")
 
 
 def bool_flag(c: Column, type_name: str) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from txsentry.functions.features import NIGHT_END_HOUR, NIGHT_START_HOUR
+
 # Reason outputs (feature, contribution, direction) and the
 # amount thresholds of the service's explanation rules.
 UP, DOWN = "increases_risk", "decreases_risk"
@@ -49,7 +51,7 @@ def reason_time(ts: Column) -> Column:
     """Night (22:00-05:59 UTC) raises, daytime lowers; no reason without a time."""
     h = F.hour(ts)
     return (F.when(h.isNull(), F.lit(None))
-            .when((h >= 22) | (h <= 5), _reason("night"))
+            .when((h >= NIGHT_START_HOUR) | (h < NIGHT_END_HOUR), _reason("night"))
             .otherwise(_reason("day")))
 
 
