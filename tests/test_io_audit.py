@@ -119,3 +119,13 @@ def test_recent_from_table_prunes_partitions(spark, tx_small):
     with contextlib.redirect_stdout(buf):
         got.explain()
     assert "PartitionFilters: [isnotnull(created_date" in buf.getvalue()
+
+
+def test_audit_batch_rerun_is_idempotent(spark, tx_small):
+    rows = A.audit_rows(R.assess(scored_from(tx_small)), id_col="id")
+    path = scratch_path(spark, "audit-batches")
+    A.audit_append(rows, path, batch_id="b1")
+    A.audit_append(rows, path, batch_id="b1")   # the same batch re-run
+    assert A.read_audit(spark, path).count() == tx_small.count()
+    A.audit_append(rows.limit(10), path, batch_id="b2")
+    assert A.read_audit(spark, path).count() == tx_small.count() + 10

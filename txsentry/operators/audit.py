@@ -70,17 +70,27 @@ BLOOM_OPTIONS = {"parquet.bloom.filter.enabled#transaction_id": "true",
                  "parquet.bloom.filter.enabled#user_id": "true"}
 
 
-def audit_append(rows: DataFrame, path: str) -> None:
-    """Append audit rows (one atomic job) to the date-partitioned table."""
-    rows.write.mode("append").options(**BLOOM_OPTIONS).partitionBy("created_date").parquet(path)
-
-
-def try_audit_append(rows: DataFrame, path: str) -> bool:
+def audit_append(rows: DataFrame, path: str, batch_id: str | None = None) -> None:
+    """Append audit rows (one atomic job) to the date-partitioned table.
+
+    With ``batch_id`` the rows land in (created_date, batch_id) partitions
+    written with dynamic partition overwrite: re-running the same batch
+    after a failure replaces its rows instead of adding them again."""
+    w = rows
+    if batch_id is None:
+        w.write.mode("append").options(**BLOOM_OPTIONS).partitionBy("created_date").parquet(path)
+        return
+    (w.withColumn("batch_id", F.lit(str(batch_id)))
+      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+      .options(**BLOOM_OPTIONS).partitionBy("created_date", "batch_id").parquet(path))
+
+
+def try_audit_append(rows: DataFrame, path: str, batch_id: str | None = None) -> bool:
     """Append, reporting failure instead of raising: the predictions being
     audited stand even when the audit write fails (streams use the
     replay-safe ``streaming.jobs.audit_to_table`` instead)."""
     try:
-        audit_append(rows, path)
+        audit_append(rows, path, batch_id)
         return True
     except Exception:  # noqa: BLE001 - any storage error
         logger.exception("audit append to %s failed", path)
