@@ -28,6 +28,8 @@ from txsentry.schema import CATEGORICAL_COLS, FEATURE_COLUMNS, SCALED_COLS
 # A label set larger than this is not a categorical column; refuse to encode
 # it as literals (distinct labels travel through the driver as model state).
 MAX_LABELS = 100_000
+# The approximate count (about 5% error) is checked against a lower bound.
+APPROX_LABEL_LIMIT = 90_000
 
 
 def _types(df: DataFrame) -> dict[str, str]:
@@ -150,9 +152,18 @@ class FeatureEncoder(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         self._set(**{k: v for k, v in kwargs.items() if v is not None})
 
     def _fit(self, df: DataFrame) -> FeatureModel:
+        """Two passes over the training rows: one aggregate gives the scaler
+        statistics and approximate label counts (the size check), the second
+        collects the (checked, bounded) sorted labels."""
         base = base_features(df)
-        labels = fit_labels(base)
-        stats = fit_scaler(base)
+        r = base.agg(*_scaler_aggs(), *[F.approx_count_distinct(c).alias(f"{c}__k")
+                                        for c in CATEGORICAL_COLS]).first()
+        for c in CATEGORICAL_COLS:
+            if r[f"{c}__k"] > APPROX_LABEL_LIMIT:
+                raise ValueError(f"{c}: about {r[f'{c}__k']} distinct labels; "
+                                 "not a categorical column")
+        stats = _scaler_dict(r)
+        labels = collect_labels(base)
         return FeatureModel(labels=labels, means=stats["mean"], stds=stats["std"],
                             outputCol=self.getOrDefault(self.outputCol),
                             keepCols=self.getOrDefault(self.keepCols))
@@ -173,17 +184,15 @@ def label_table(base: DataFrame) -> DataFrame:
     return distinct.withColumn("code", F.row_number().over(w) - 1)
 
 
-def fit_labels(base: DataFrame) -> dict[str, list[str]]:
-    """Sorted labels per column, size-checked before anything is collected."""
-    distinct = base.selectExpr(
-        f"stack({len(CATEGORICAL_COLS)}, "
-        + ", ".join(f"'{c}', {c}" for c in CATEGORICAL_COLS) + ") AS (column, label)").distinct()
-    sizes = {r["column"]: r["k"] for r in
-             distinct.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
-    for c, k in sizes.items():
-        if k > MAX_LABELS:
-            raise ValueError(f"{c}: {k} distinct labels; not a categorical column")
-    rows = distinct.groupBy("column").agg(
+def _distinct_labels(base: DataFrame) -> DataFrame:
+    pairs = ", ".join(f"'{c}', {c}" for c in CATEGORICAL_COLS)
+    return base.selectExpr(f"stack({len(CATEGORICAL_COLS)}, {pairs}) AS (column, label)") \
+               .distinct()
+
+
+def collect_labels(base: DataFrame) -> dict[str, list[str]]:
+    """Sorted labels per column (call after a size check)."""
+    rows = _distinct_labels(base).groupBy("column").agg(
         F.sort_array(F.collect_list("label")).alias("labels")).collect()
     out = {c: [] for c in CATEGORICAL_COLS}
     for r in rows:
@@ -191,15 +200,32 @@ def fit_labels(base: DataFrame) -> dict[str, list[str]]:
     return out
 
 
-def scaler_stats(base: DataFrame) -> DataFrame:
-    """One row: mean and population std of each scaled column."""
+def fit_labels(base: DataFrame) -> dict[str, list[str]]:
+    """Sorted labels per column, exactly size-checked before anything is collected."""
+    sizes = {r["column"]: r["k"] for r in _distinct_labels(base).groupBy("column")
+             .agg(F.count(F.lit(1)).alias("k")).collect()}
+    for c, k in sizes.items():
+        if k > MAX_LABELS:
+            raise ValueError(f"{c}: {k} distinct labels; not a categorical column")
+    return collect_labels(base)
+
+
+def _scaler_aggs() -> list:
     aggs = []
     for c in SCALED_COLS:
         aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std")]
-    return base.agg(*aggs)
+    return aggs
 
 
-def fit_scaler(base: DataFrame) -> dict[str, dict[str, float]]:
-    r = scaler_stats(base).first()
+def _scaler_dict(r) -> dict[str, dict[str, float]]:
     return {"mean": {c: float(r[f"{c}_mean"] or 0.0) for c in SCALED_COLS},
             "std": {c: float(r[f"{c}_std"] or 0.0) for c in SCALED_COLS}}
+
+
+def scaler_stats(base: DataFrame) -> DataFrame:
+    """One row: mean and population std of each scaled column."""
+    return base.agg(*_scaler_aggs())
+
+
+def fit_scaler(base: DataFrame) -> dict[str, dict[str, float]]:
+    return _scaler_dict(scaler_stats(base).first())
