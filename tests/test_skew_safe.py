@@ -132,3 +132,24 @@ def test_hot_key_trailing_count_and_sessions(tx_mid):
             wo.rowsBetween(Window.unboundedPreceding, 0)).alias("session_start"))
     ours_s = S.sessions(hot, KEY, TS, ID, 300, "session_start", 3600)
     assert _rows(ours_s, [ID, "session_start"]) == _rows(plain_s, [ID, "session_start"])
+
+
+@pytest.mark.parametrize("horizon,bucket", [(900, 600), (86400, 3600), (3600, 86400)])
+def test_lag_within_matches_window_lag_with_horizon(tx_mid, horizon, bucket):
+    w = Window.partitionBy(KEY).orderBy(TS, ID)
+    prev_ts = F.lag(TS).over(w)
+    inside = (F.unix_micros(TS) - F.unix_micros(prev_ts)) <= horizon * 1_000_000
+    plain = tx_mid.select(ID, F.when(inside, F.lag("country").over(w)).alias("prev_country"),
+                          F.when(inside, prev_ts).alias("prev_timestamp"))
+    ours = S.lag_within(tx_mid, KEY, TS, ID, ["country"], horizon, bucket)
+    cols = [ID, "prev_country", "prev_timestamp"]
+    assert _rows(ours, cols) == _rows(plain, cols)
+
+
+def test_lag_within_hot_key(tx_mid):
+    hot = tx_mid.withColumn(KEY, F.lit("user_hot"))
+    w = Window.partitionBy(KEY).orderBy(TS, ID)
+    inside = (F.unix_micros(TS) - F.unix_micros(F.lag(TS).over(w))) <= 3600 * 1_000_000
+    plain = hot.select(ID, F.when(inside, F.lag("country").over(w)).alias("prev_country"))
+    ours = S.lag_within(hot, KEY, TS, ID, ["country"], 3600, 3600)
+    assert _rows(ours, [ID, "prev_country"]) == _rows(plain, [ID, "prev_country"])

@@ -7,6 +7,8 @@ over as many tasks as it has buckets, and repair the bucket edges exactly:
 
 * ``lag_in_sequence``  previous row per key (bucket edge: previous non-empty
   bucket's last row, from a small per-bucket summary)
+* ``lag_within``       previous row per key if it is at most a horizon earlier
+  (single pass: the bucket's last horizon is copied into the next bucket)
 * ``trailing_count``   rows per key in a trailing RANGE frame (the tail of
   each bucket is copied into the next one as context rows, at most once;
   buckets are at least four windows wide)
@@ -60,6 +62,36 @@ def lag_in_sequence(df: DataFrame, key: str, ts: str, order_tiebreak: str,
         "_bucket", "_first", "_edge", *[f"_lag_{c}" for c in carried])
 
 
+def lag_within(df: DataFrame, key: str, ts: str, order_tiebreak: str, cols: list[str],
+               horizon_seconds: int, bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+               prefix: str = "prev_") -> DataFrame:
+    """Like ``lag_in_sequence`` but only a previous row at most
+    ``horizon_seconds`` earlier counts (else the ``prev_`` values are null).
+
+    One pass and one shuffle: the last ``horizon`` of each bucket is copied
+    into the next bucket as context (buckets are at least four horizons
+    wide), so a predecessor inside the horizon is always in the row's window;
+    if the true predecessor is older than the copied context, it is outside
+    the horizon anyway."""
+    h_us = int(horizon_seconds * 1_000_000)
+    bucket_us = max(int(bucket_seconds * 1_000_000), 4 * h_us)
+    m = _micros(ts)
+    b = _bucket(ts, bucket_us)
+    tail = m >= (b + 1) * F.lit(bucket_us) - F.lit(h_us)
+    offsets = F.when(tail, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    x = df.withColumns({"_m": m, "_b": b}).withColumn("_ctx", F.explode(offsets)) \
+          .withColumn("_b", F.col("_b") + F.col("_ctx"))
+    w = Window.partitionBy(key, "_b").orderBy(ts, order_tiebreak)
+    out_cols = [ts] + [c for c in cols if c != ts]
+    lagged = x.withColumns({"_prev_m": F.lag("_m").over(w),
+                            **{f"_lag_{c}": F.lag(c).over(w) for c in out_cols}})
+    inside = (F.col("_m") - F.col("_prev_m")) <= h_us
+    return (lagged.filter(F.col("_ctx") == 0)
+                  .withColumns({f"{prefix}{c}": F.when(inside, F.col(f"_lag_{c}"))
+                                for c in out_cols})
+                  .drop("_m", "_b", "_ctx", "_prev_m", *[f"_lag_{c}" for c in out_cols]))
+
+
 def trailing_count(df: DataFrame, key: str, ts: str, window_seconds: int,
                    out: str = "n_window", bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Rows of the same key with time in [ts - window, ts] (peers included)."""
