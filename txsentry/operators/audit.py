@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from txsentry.schema import REASON, TRANSACTION
+from txsentry.sources.files import TS_FORMAT
 
 logger = logging.getLogger(__name__)
 PAYLOAD_FIELDS = TRANSACTION.fieldNames()
 # JSON keeps event time to the microsecond (the default format keeps millis).
-JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+JSON_OPTIONS = {"timestampFormat": TS_FORMAT}
 # Defaults of missing prediction fields in an audit row.
 AUDIT_DEFAULTS = {"fraud_probability": 0.0, "anomaly_score": 0.0, "risk_level": "unknown",
                   "decision": "REVIEW"}
