@@ -8,10 +8,11 @@ over as many tasks as it has buckets, and repair the bucket edges exactly:
 * ``lag_in_sequence``  previous row per key (bucket edge: previous non-empty
   bucket's last row, from a small per-bucket summary)
 * ``lag_within``       previous row per key if it is at most a horizon earlier
-  (single pass: the bucket's last horizon is copied into the next bucket)
+  (single pass when the horizon fits in a bucket: the bucket's last horizon
+  is copied into the next bucket; else the summary method)
 * ``trailing_count``   rows per key in a trailing RANGE frame (the tail of
   each bucket is copied into the next one as context rows, at most once;
-  buckets are at least four windows wide)
+  a bucket spans at least one window)
 * ``sessions``         gap-and-island sessions (islands crossing bucket edges
   are stitched through a per-bucket summary)
 
@@ -68,13 +69,21 @@ def lag_within(df: DataFrame, key: str, ts: str, order_tiebreak: str, cols: list
     """Like ``lag_in_sequence`` but only a previous row at most
     ``horizon_seconds`` earlier counts (else the ``prev_`` values are null).
 
-    One pass and one shuffle: the last ``horizon`` of each bucket is copied
-    into the next bucket as context (buckets are at least four horizons
-    wide), so a predecessor inside the horizon is always in the row's window;
-    if the true predecessor is older than the copied context, it is outside
-    the horizon anyway."""
+    When the horizon fits in a bucket this is one pass and one shuffle: the
+    last ``horizon`` of each bucket is copied into the next bucket as context,
+    so a predecessor inside the horizon is always in the row's window (if the
+    true predecessor is older than the copied context it is outside the
+    horizon anyway).  A longer horizon does not widen the buckets — their
+    width bounds the rows of a heavy key per task — it uses the summary
+    method of ``lag_in_sequence`` instead."""
     h_us = int(horizon_seconds * 1_000_000)
-    bucket_us = max(int(bucket_seconds * 1_000_000), 4 * h_us)
+    bucket_us = int(bucket_seconds * 1_000_000)
+    out_cols = [ts] + [c for c in cols if c != ts]
+    if h_us > bucket_us:
+        seq = lag_in_sequence(df, key, ts, order_tiebreak, cols, bucket_seconds, prefix)
+        inside = (F.unix_micros(F.col(ts)) - F.unix_micros(F.col(f"{prefix}{ts}"))) <= h_us
+        return seq.withColumns({f"{prefix}{c}": F.when(inside, F.col(f"{prefix}{c}"))
+                                for c in out_cols})
     m = _micros(ts)
     b = _bucket(ts, bucket_us)
     tail = m >= (b + 1) * F.lit(bucket_us) - F.lit(h_us)
@@ -82,7 +91,6 @@ def lag_within(df: DataFrame, key: str, ts: str, order_tiebreak: str, cols: list
     x = df.withColumns({"_m": m, "_b": b}).withColumn("_ctx", F.explode(offsets)) \
           .withColumn("_b", F.col("_b") + F.col("_ctx"))
     w = Window.partitionBy(key, "_b").orderBy(ts, order_tiebreak)
-    out_cols = [ts] + [c for c in cols if c != ts]
     lagged = x.withColumns({"_prev_m": F.lag("_m").over(w),
                             **{f"_lag_{c}": F.lag(c).over(w) for c in out_cols}})
     inside = (F.col("_m") - F.col("_prev_m")) <= h_us
@@ -96,9 +104,10 @@ def trailing_count(df: DataFrame, key: str, ts: str, window_seconds: int,
                    out: str = "n_window", bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Rows of the same key with time in [ts - window, ts] (peers included)."""
     w_us = int(window_seconds * 1_000_000)
-    # Buckets of at least four windows: at most a quarter of the rows is
-    # copied into the next bucket as context.
-    bucket_us = max(int(bucket_seconds * 1_000_000), 4 * w_us)
+    # A bucket must span at least one window; beyond that its width is the
+    # caller's bound on the rows of a heavy key per task.  The copied
+    # context is the window / bucket share of the rows.
+    bucket_us = max(int(bucket_seconds * 1_000_000), w_us)
     m = _micros(ts)
     b = _bucket(ts, bucket_us)
     # Rows in the last `window` of their bucket are also context for the next.
