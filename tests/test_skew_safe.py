@@ -153,3 +153,14 @@ def test_lag_within_hot_key(tx_mid):
     plain = hot.select(ID, F.when(inside, F.lag("country").over(w)).alias("prev_country"))
     ours = S.lag_within(hot, KEY, TS, ID, ["country"], 3600, 3600)
     assert _rows(ours, [ID, "prev_country"]) == _rows(plain, [ID, "prev_country"])
+
+
+def test_auto_bucket_width_shrinks_for_a_hot_key(tx_mid):
+    hot = tx_mid.withColumn(KEY, F.lit("user_hot"))
+    wide = S.choose_bucket_seconds(tx_mid, KEY, TS, target_rows=10_000)
+    narrow = S.choose_bucket_seconds(hot, KEY, TS, target_rows=100)
+    assert wide == S.BUCKET_CANDIDATES[0] and narrow < 6 * 3600
+    w = Window.partitionBy(KEY).orderBy(TS, ID)
+    plain = hot.select(ID, F.lag("country").over(w).alias("prev_country"))
+    ours = S.lag_in_sequence(hot, KEY, TS, ID, ["country"], "auto")
+    assert _rows(ours, [ID, "prev_country"]) == _rows(plain, [ID, "prev_country"])

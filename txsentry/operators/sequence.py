@@ -17,9 +17,10 @@ over as many tasks as it has buckets, and repair the bucket edges exactly:
   are stitched through a per-bucket summary)
 
 Summaries hold one row per (key, non-empty bucket) and are built with
-map-side partial aggregation.  The bucket width is a parameter: it must be
-at least the window length for ``trailing_count`` and should be small
-enough that one (key, bucket) fits a task.
+map-side partial aggregation.  The bucket width is a parameter (at least the
+window length for ``trailing_count``) and bounds the rows of one (key,
+bucket) in a task; ``bucket_seconds="auto"`` picks the widest width whose
+fullest (key, bucket) stays under a row target, from one aggregation.
 """
 
 from __future__ import annotations
@@ -28,6 +29,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKET_SECONDS = 6 * 3600
+# Candidate widths for ``choose_bucket_seconds`` (widest first).
+BUCKET_CANDIDATES = [24 * 3600, 6 * 3600, 3600, 900, 300, 60]
+TARGET_ROWS_PER_BUCKET = 2_000_000
+
+
+def choose_bucket_seconds(df: DataFrame, key: str, ts: str, min_seconds: int = 0,
+                          target_rows: int = TARGET_ROWS_PER_BUCKET) -> int:
+    """The widest candidate bucket width whose fullest (key, bucket) holds at
+    most ``target_rows`` rows (never narrower than ``min_seconds``, the
+    window or horizon the operator needs).  One job: rows per (key, minute)
+    by partial aggregation, each of those rows re-bucketed per candidate,
+    and the largest bucket per candidate (a handful of numbers collected)."""
+    usable = [c for c in BUCKET_CANDIDATES if c >= max(min_seconds, 60)]
+    if not usable:
+        return max(int(min_seconds), 60)
+    fine = df.groupBy(key, F.floor(_micros(ts) / F.lit(60_000_000)).alias("_min")) \
+             .agg(F.count(F.lit(1)).alias("_n"))
+    cand = F.explode(F.array(*[F.lit(c // 60) for c in usable])).alias("_w")
+    per = (fine.select(key, "_min", "_n", cand)
+               .groupBy("_w", key, F.floor(F.col("_min") / F.col("_w")).alias("_b"))
+               .agg(F.sum("_n").alias("_s")))
+    maxima = {r["_w"] * 60: r["_m"] for r in
+              per.groupBy("_w").agg(F.max("_s").alias("_m")).collect()}
+    for c in usable:                  # widest first
+        if maxima.get(c, 0) <= target_rows:
+            return c
+    return usable[-1]
+
+
+def _resolve_bucket(df: DataFrame, key: str, ts: str, bucket_seconds, min_seconds: int = 0) -> int:
+    if bucket_seconds == "auto":
+        return choose_bucket_seconds(df, key, ts, min_seconds)
+    return int(bucket_seconds)
 
 
 def _micros(ts: str) -> Column:
@@ -44,6 +78,7 @@ def lag_in_sequence(df: DataFrame, key: str, ts: str, order_tiebreak: str,
     """Add ``prev_<ts>`` and ``prev_<c>`` for each of ``cols``: the values of
     the previous row of the same key in (ts, tiebreak) order (null for the
     first row of a key)."""
+    bucket_seconds = _resolve_bucket(df, key, ts, bucket_seconds)
     bucket_us = int(bucket_seconds * 1_000_000)
     carried = [ts, order_tiebreak] + [c for c in cols if c not in (ts, order_tiebreak)]
     b = df.withColumn("_bucket", _bucket(ts, bucket_us))
@@ -76,6 +111,7 @@ def lag_within(df: DataFrame, key: str, ts: str, order_tiebreak: str, cols: list
     horizon anyway).  A longer horizon does not widen the buckets — their
     width bounds the rows of a heavy key per task — it uses the summary
     method of ``lag_in_sequence`` instead."""
+    bucket_seconds = _resolve_bucket(df, key, ts, bucket_seconds)
     h_us = int(horizon_seconds * 1_000_000)
     bucket_us = int(bucket_seconds * 1_000_000)
     out_cols = [ts] + [c for c in cols if c != ts]
@@ -103,6 +139,7 @@ def lag_within(df: DataFrame, key: str, ts: str, order_tiebreak: str, cols: list
 def trailing_count(df: DataFrame, key: str, ts: str, window_seconds: int,
                    out: str = "n_window", bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Rows of the same key with time in [ts - window, ts] (peers included)."""
+    bucket_seconds = _resolve_bucket(df, key, ts, bucket_seconds, window_seconds)
     w_us = int(window_seconds * 1_000_000)
     # A bucket must span at least one window; beyond that its width is the
     # caller's bound on the rows of a heavy key per task.  The copied
@@ -125,6 +162,7 @@ def sessions(df: DataFrame, key: str, ts: str, order_tiebreak: str, gap_seconds:
     """Add ``session_start``: the time of the first row of the row's session,
     where a session is a run of rows of one key with consecutive gaps of at
     most ``gap_seconds``.  (key, session_start) identifies a session."""
+    bucket_seconds = _resolve_bucket(df, key, ts, bucket_seconds)
     gap_us = int(gap_seconds * 1_000_000)
     bucket_us = int(bucket_seconds * 1_000_000)
     x = df.withColumns({"_m": _micros(ts), "_b": _bucket(ts, bucket_us)})
