@@ -164,3 +164,24 @@ def test_auto_bucket_width_shrinks_for_a_hot_key(tx_mid):
     plain = hot.select(ID, F.lag("country").over(w).alias("prev_country"))
     ours = S.lag_in_sequence(hot, KEY, TS, ID, ["country"], "auto")
     assert _rows(ours, [ID, "prev_country"]) == _rows(plain, [ID, "prev_country"])
+
+
+@pytest.mark.parametrize("gap_s,bucket", [(240, 600), (7200, 3600), (7200, 86400), (300, 3600)])
+def test_session_summaries_match_row_sessions(tx_mid, gap_s, bucket):
+    rows = S.sessions(tx_mid, KEY, TS, ID, gap_s, "session_start", 86400 * 7)
+    ref = rows.groupBy(KEY, "session_start").agg(
+        F.max(TS).alias("session_end"), F.count(F.lit(1)).alias("n_tx"),
+        F.countDistinct("merchant_id").alias("n_distinct"),
+        F.round(F.sum("amount"), 2).alias("total"))
+    ours = S.session_summaries(tx_mid, KEY, TS, ID, gap_s, "amount", "merchant_id", bucket) \
+        .withColumn("total", F.round("total", 2))
+    cols = [KEY, "session_start", "session_end", "n_tx", "n_distinct", "total"]
+    assert _rows(ours, cols) == _rows(ref, cols)
+
+
+def test_session_summaries_hot_key(tx_mid):
+    hot = tx_mid.withColumn(KEY, F.lit("user_hot"))
+    rows = S.sessions(hot, KEY, TS, ID, 600, "session_start", 86400 * 40)
+    ref = rows.groupBy(KEY, "session_start").agg(F.count(F.lit(1)).alias("n_tx"))
+    ours = S.session_summaries(hot, KEY, TS, ID, 600, "amount", "merchant_id", 3600)
+    assert _rows(ours, [KEY, "session_start", "n_tx"]) == _rows(ref, [KEY, "session_start", "n_tx"])

@@ -134,14 +134,11 @@ def burst_sessions(tx: DataFrame, gap_minutes: int = BURST_GAP_MINUTES,
                    bucket_seconds: int = S.DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Runs of one user's rows with gaps <= ``gap_minutes`` and at least
     ``min_size`` rows: user_id, session_start, session_end, n_tx,
-    n_merchants, total_amount."""
-    s = S.sessions(tx, "user_id", "timestamp", "transaction_id", gap_minutes * 60,
-                   "session_start", bucket_seconds)
-    return (s.groupBy("user_id", "session_start")
-             .agg(F.max("timestamp").alias("session_end"),
-                  F.count(F.lit(1)).alias("n_tx"),
-                  F.countDistinct("merchant_id").alias("n_merchants"),
-                  F.sum("amount").alias("total_amount"))
+    n_merchants, total_amount.  One pass over the rows
+    (``sequence.session_summaries``)."""
+    s = S.session_summaries(tx, "user_id", "timestamp", "transaction_id", gap_minutes * 60,
+                            "amount", "merchant_id", bucket_seconds)
+    return (s.withColumnsRenamed({"n_distinct": "n_merchants", "total": "total_amount"})
              .filter(F.col("n_tx") >= min_size))
 
 

@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txsentry.session import work_dir
+
 DEFAULT_BUCKET_SECONDS = 6 * 3600
 # Candidate widths for ``choose_bucket_seconds`` (widest first).
 BUCKET_CANDIDATES = [24 * 3600, 6 * 3600, 3600, 900, 300, 60]
@@ -191,3 +193,64 @@ def sessions(df: DataFrame, key: str, ts: str, order_tiebreak: str, gap_seconds:
     start_us = F.coalesce(F.col("_run_start"), F.col("_first_island"))
     return y.withColumn(out, F.timestamp_micros(start_us)).drop(
         "_m", "_b", "_prev", "_istart", "_run_start", "_first_island")
+
+
+def session_summaries(df: DataFrame, key: str, ts: str, order_tiebreak: str,
+                      gap_seconds: int, amount: str, distinct_of: str,
+                      bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+    """Per session (rows of one key with consecutive gaps of at most
+    ``gap_seconds``): key, session_start, session_end, n_tx, n_distinct (of
+    ``distinct_of``) and total (sum of ``amount``).
+
+    One pass and one shuffle of the input: inside (key, bucket) windows —
+    the last ``gap`` of the previous bucket copied in as context — every
+    session start is exact; rows are aggregated into segments (a session's
+    part inside one bucket) on the same partitioning; segments that continue
+    an earlier session are resolved on the small segment table, and segment
+    partials are combined into sessions."""
+    bucket_seconds = _resolve_bucket(df, key, ts, bucket_seconds, gap_seconds)
+    gap_us = int(gap_seconds * 1_000_000)
+    bucket_us = max(int(bucket_seconds * 1_000_000), gap_us)
+    x = df.select(key, order_tiebreak, amount, distinct_of, _micros(ts).alias("_m"),
+                  _bucket(ts, bucket_us).alias("_b"))
+    tail = F.col("_m") >= (F.col("_b") + 1) * F.lit(bucket_us) - F.lit(gap_us)
+    offsets = F.when(tail, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    x = (x.withColumn("_ctx", F.explode(offsets))
+           .withColumn("_b", F.col("_b") + F.col("_ctx")))
+    w = Window.partitionBy(key, "_b").orderBy("_m", order_tiebreak)
+    own = F.col("_ctx") == 0
+    prev = F.lag("_m").over(w)
+    x = x.withColumn("_is_start", own & (prev.isNull() | (F.col("_m") - prev > gap_us)))
+    start_ts = F.when(F.col("_is_start"), F.col("_m"))
+    x = x.withColumns({
+        # latest start at or before the row inside the bucket (null: the row
+        # continues a session from an earlier bucket)
+        "_sstart": F.max(start_ts).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "_last_start": F.max(start_ts).over(Window.partitionBy(key, "_b")),
+    }).filter(own)
+    # Segments: grouped on keys the data is already partitioned by.
+    seg = x.groupBy(key, "_b", "_sstart").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_amt"),
+        F.max("_m").alias("_end"), F.collect_set(distinct_of).alias("_set"),
+        F.max("_last_start").alias("_last_start"))
+    # The segment table (narrow, far smaller than the input) feeds two
+    # consumers below: materialise it once in the shared checkpoint folder so
+    # the input is read once (this also cuts the lineage).
+    work_dir(df.sparkSession)
+    seg = seg.checkpoint()
+    # Per bucket: the start of the session its last row belongs to.
+    wb = Window.partitionBy(key).orderBy("_b")
+    buckets = seg.groupBy(key, "_b").agg(F.max("_last_start").alias("_last_start"))
+    buckets = buckets.withColumn("_eff", F.last("_last_start", ignorenulls=True).over(
+        wb.rowsBetween(Window.unboundedPreceding, 0)))
+    buckets = buckets.select(key, "_b", F.lag("_eff").over(wb).alias("_head_start"))
+    resolved = seg.join(buckets, [key, "_b"]) \
+                  .withColumn("_start", F.coalesce("_sstart", "_head_start"))
+    return (resolved.groupBy(key, "_start")
+            .agg(F.max("_end").alias("_end"), F.sum("_n").alias("n_tx"),
+                 F.size(F.array_distinct(F.flatten(F.collect_list("_set"))))
+                  .cast("bigint").alias("n_distinct"),
+                 F.sum("_amt").alias("total"))
+            .select(key, F.timestamp_micros("_start").alias("session_start"),
+                    F.timestamp_micros("_end").alias("session_end"),
+                    "n_tx", "n_distinct", "total"))
