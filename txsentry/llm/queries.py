@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from txsentry.llm import line_dedup, mixing, sharding, simhash, topk
+from txsentry.llm import fingerprints, licenses, line_dedup, mixing, sharding, simhash, topk, toxicity, wavelet
 from txsentry.llm.common import table
 
 
@@ -13,6 +14,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "text", "n_lines", "n_removed"))
 
 
+def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -21,6 +26,20 @@ def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.rate(docs, model).drop("text")
+
+
 def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,5 +49,6 @@ def op10_tiled_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op3_hash_tree_shards, op4_pivotal_mix, op9_simhash_pivots, op10_tiled_top_k)}
+    op1_line_dedup, op2_wavelet_tokens, op3_hash_tree_shards, op4_pivotal_mix, op5_license_scan,
+    op6_one_permutation_minhash, op8_ordinal_toxicity, op9_simhash_pivots, op10_tiled_top_k)}
 ORACLE = {"op1_line_dedup": line_dedup.SQL, "op10_tiled_top_k": topk.SQL}
