@@ -24,19 +24,20 @@ from txsentry.llm.common import col, fresh, written
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
     """All rows and columns of ``docs`` with the text deduplicated, plus
     ``n_lines`` (before) and ``n_removed``."""
-    row, wins = fresh([*docs.columns, "n_lines", "n_removed"], "_row", "_wins")
+    row, wins, ha, hb = fresh([*docs.columns, "n_lines", "n_removed"], "_row", "_wins", "_ha", "_hb")
     lines = F.split(col(text_col), "\n", -1)
 
-    def windows_of(hashes):
-        n = F.size(hashes)
-        at = F.when(n >= window, F.sequence(F.lit(0), n - window))
-        return F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(window)]))
-
-    a = windows_of(F.transform(lines, lambda x: F.xxhash64(x)))
-    b = windows_of(F.transform(lines, lambda x: F.xxhash64(F.lit(1), x)))
+    # Hashes are columns of their own: inside a lambda an expression would be
+    # evaluated anew for every element.
+    hashed = (docs.withColumn(row, F.monotonically_increasing_id()).withColumn(wins, lines)
+              .withColumn(ha, F.transform(wins, lambda x: F.xxhash64(x)))
+              .withColumn(hb, F.transform(wins, lambda x: F.xxhash64(F.lit(1), x))))
+    at = F.when(F.size(ha) >= window, F.sequence(F.lit(0), F.size(ha) - window))
+    windows = F.transform(at, lambda i: F.struct(
+        F.xxhash64(*[F.get(F.col(ha), i + k) for k in range(window)]).alias("a"),
+        F.xxhash64(*[F.get(F.col(hb), i + k) for k in range(window)]).alias("b")))
     # Row ids must not change between the two uses of the rows, so they are written.
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id())
-                   .withColumn(wins, F.arrays_zip(a.alias("a"), b.alias("b"))), "line-windows")
+    rows = written(hashed.withColumn(wins, windows).drop(ha, hb), "line-windows")
 
     occ = (rows.select(col(id_col).alias("id"), F.col(row).alias("row"), F.posexplode(F.col(wins)).alias("pos", "w"))
            .select("id", "row", "pos", F.col("w.a").alias("a"), F.col("w.b").alias("b")))
@@ -55,12 +56,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.sum(F.greatest(F.col("pos") - F.col("from"), F.lit(0))).alias("stay"))
         .withColumnRenamed("row", row + "2"))
 
-    keep, tail, stay = fresh(rows, "_keep", "_tail", "_stay")
+    keep, tail, stay, split = fresh(rows, "_keep", "_tail", "_stay", "_split")
     cover = cover.withColumnsRenamed({"keep": keep, "tail": tail, "stay": stay})
-    n_lines = F.when(col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines))
-    kept = F.concat(F.flatten(F.transform(F.col(keep), lambda s: F.slice(lines, s["from"] + 1, s["pos"] - s["from"]))),
-                    F.slice(lines, F.col(tail) + 1, F.greatest(F.size(lines) - F.col(tail), F.lit(0))))
-    joined = rows.join(cover, F.col(row) == F.col(row + "2"), "left")
+    n_lines = F.when(col(text_col).isNull(), F.lit(0)).otherwise(F.size(split))
+    kept = F.concat(F.flatten(F.transform(F.col(keep), lambda s: F.slice(F.col(split), s["from"] + 1, s["pos"] - s["from"]))),
+                    F.slice(F.col(split), F.col(tail) + 1, F.greatest(F.size(split) - F.col(tail), F.lit(0))))
+    joined = rows.join(cover, F.col(row) == F.col(row + "2"), "left").withColumn(split, lines)
     gone = F.col(tail).isNotNull()
     return joined.select(
         *[(F.when(gone, F.array_join(kept, "\n")).otherwise(col(c)).alias(c) if c == text_col else col(c))
