@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from txsentry.llm import fingerprints, licenses, line_dedup, mixing, sharding, simhash, topk, toxicity, wavelet
+from txsentry.llm import sentencepiece_lattice as lattice
 from txsentry.llm.common import table
 
 
@@ -34,6 +35,11 @@ def op6_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = lattice.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    return lattice.encode(table(spark, sf_dir, "documents"), pieces, with_ids=False)
+
+
 def op8_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -50,5 +56,5 @@ def op10_tiled_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_wavelet_tokens, op3_hash_tree_shards, op4_pivotal_mix, op5_license_scan,
-    op6_one_permutation_minhash, op8_ordinal_toxicity, op9_simhash_pivots, op10_tiled_top_k)}
+    op6_one_permutation_minhash, op7_sentencepiece_lattice, op8_ordinal_toxicity, op9_simhash_pivots, op10_tiled_top_k)}
 ORACLE = {"op1_line_dedup": line_dedup.SQL, "op10_tiled_top_k": topk.SQL}
