@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from txsentry.session import scratch_path
 
 SHARD_TOKENS = 1 << 21
 BLOCK = 512
-CACHED_WORDS = 600_000
+CACHED_WORDS = 900_000
 
 SCHEMA = ("part int, no int, n long, bits int, zeros array<long>, planes array<binary>, ranks array<binary>, "
           "doc_ids array<long>, lengths array<long>")
@@ -45,7 +46,10 @@ class WordEncoder:
 
     The tokenizer drops white space and splits at it, so a text's ids are
     those of its words in a row; words are encoded by the library once and
-    remembered (at most ``CACHED_WORDS``).  Words keep their other white
+    remembered (at most ``CACHED_WORDS``; of a full memory the older half
+    stays, which holds the frequent words).  It also splits letters from
+    points and commas and ignores the case of A-Z, so a word of letters with
+    such an end is put together from its parts.  Words keep their other white
     space, and special tokens contain none, so the result is the library's.
     """
 
@@ -53,18 +57,44 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {"": b""}
+
+    def _library(self, words: list[str], to: dict[str, bytes]) -> None:
+        for k in range(0, len(words), 4096):
+            part = words[k:k + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                to[w] = np.array(e.ids, self.kind).tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        whole, parts, ends = [], [], set()
+        for w in words:
+            stem = w.rstrip(".,")
+            if stem.isalpha() and (stem.isascii() or stem.lower().isalpha()):
+                key = stem.lower() if stem.isascii() else stem
+                parts.append((w, key, w[len(stem):]))
+                if key not in self.stems:
+                    if stem.isascii():
+                        self.stems[key] = np.array([t.id for t in self.model.tokenize(key)], self.kind).tobytes()
+                    else:
+                        ends.add(key)
+                if parts[-1][2] not in self.stems:
+                    ends.add(parts[-1][2])
+            else:
+                whole.append(w)
+        self._library(whole, self.known)
+        self._library(list(ends), self.stems)
+        for w, key, end in parts:
+            self.known[w] = self.stems[key] + self.stems[end]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""}
-        new = list({w for ws in words for w in ws if w not in self.known})
-        for k in range(0, len(new), 4096):
-            part = new[k:k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, self.kind).tobytes()
+        for name in ("known", "stems"):
+            if len(held := getattr(self, name)) > CACHED_WORDS:
+                setattr(self, name, dict(islice(held.items(), CACHED_WORDS // 2)))
+        self._learn({w for ws in words for w in ws if w not in self.known})
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 
