@@ -9,8 +9,8 @@ cuts ("words") are encoded once:
 2. equi-joined to the piece table (a bounded vocabulary, broadcast); a
    character without a piece becomes its UTF-8 byte pieces,
 3. the edges are grouped by word and end, and a higher-order ``aggregate``
-   folds Viterbi over the ends: it holds the best scores of the last
-   positions and one back edge per position; a second fold walks back.
+   folds Viterbi over the ends: it holds the best edge into every position
+   and its path's score; a second fold walks back.
 
 Texts are handled in blocks: a block's distinct words go to the lattice, and
 come back as the block's dictionary, which is co-grouped with the block's
@@ -40,10 +40,10 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from txsentry.llm.common import col
+from txsentry.llm.common import col, written
 
 SPACE = "▁"
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 MARKS = ".,;:!?"
 
 
@@ -106,13 +106,11 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
                                              F.coalesce("id", F.lit(-1)).alias("id")).alias("edge")))
     lattice = (edges.groupBy("word", "end").agg(F.collect_list("edge").alias("edges"))
                .groupBy("word").agg(F.array_sort(F.collect_list(F.struct("end", "edges"))).alias("ends")))
-    # Fold forward: win holds the best scores of the last `reach` positions.
-    best = (f"array_max(transform(p.edges, e -> named_struct('score', element_at(s.win, {reach} + 1 - e.len) + e.score, "
-            "'len', e.len, 'id', e.id)))")
-    forward = (f"aggregate(ends, named_struct('win', concat(array_repeat(-4000000000000000000L, {reach - 1}), array(0L)), "
-               "'back', cast(array() as array<struct<score: bigint, len: int, id: int>>)), "
-               f"(s, p) -> named_struct('win', slice(concat(s.win, array(({best}).score)), 2, {reach}), "
-               f"'back', concat(s.back, array({best}))), s -> s.back)")
+    # Fold forward: the state has the best edge into every position so far,
+    # with its path's score; position 0 starts with score 0.
+    forward = ("aggregate(ends, array(named_struct('score', 0L, 'len', 0, 'id', -1)), (s, p) -> concat(s, array(array_max("
+               "transform(p.edges, e -> named_struct('score', element_at(s, p.end - e.len + 1).score + e.score, "
+               "'len', e.len, 'id', e.id))))), s -> slice(s, 2, size(ends)))")
     # Walk back: take the edge of every position that the path ends a piece at.
     backward = ("reverse(aggregate(sequence(size(back), 1), named_struct('at', size(back), 'out', cast(array() as array<struct<at: int, id: int>>)), "
                 "(s, p) -> if(p = s.at, named_struct('at', p - element_at(back, p).len, "
@@ -152,7 +150,10 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
 
     def vocabulary(batches):
         for block, _, texts in _blocks(batches):
-            words = list(set().union(*(words_of(t, cuts) for t in texts)))
+            found: set[str] = set()
+            for t in texts:
+                found.update(words_of(t, cuts))
+            words = list(found)
             for k in range(0, len(words), 20_000):
                 part = words[k:k + 20_000]
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())], names=["block", "word"])
@@ -166,7 +167,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([zstandard.compress(sink.getvalue().to_pybytes(), 3)], pa.binary())],
                                              names=["block", "payload"])
 
-    used = slim.mapInArrow(vocabulary, "block long, word string").repartition("word")
+    used = written(slim.mapInArrow(vocabulary, "block long, word string"), "vocabulary")
     known = encode_words(used.select("word").distinct(), pieces)
     packed = F.expr("array_join(ids, ' ')")       # a compact form for the shuffle
     dictionary = used.join(known, "word").select("block", "word", packed.alias("path"))
