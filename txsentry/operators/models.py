@@ -1,6 +1,6 @@
 """Supervised classifiers (M1-M3) on Spark ML.
 
-Boosted trees mirror the reference settings where Spark has them: depth 6,
+Boosted trees use these settings where Spark has them: depth 6,
 learning rate 0.05, row subsample 0.8, 80% of the features, positive class
 weight 10.  Spark's feature subset is drawn per node, not per tree, so
 probabilities are not digit-for-digit those of other libraries.  300 rounds

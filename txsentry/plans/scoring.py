@@ -1,8 +1,8 @@
 """Training job (Q7) and whole-batch scoring (M8), the flagship plan.
 
 Train: read -> stratified split (exact per-class sizes) -> fit the feature
-encoder on the training rows (``fit_on="all"`` reproduces the leaky
-reference order) -> boosted trees (or a random forest) -> isolation forest
+encoder on the training rows (``fit_on="all"`` fits it before
+the split) -> boosted trees (or a random forest) -> isolation forest
 -> evaluation on the test rows -> risk decisions -> metadata.
 
 Score: features (one codegen projection) -> classifier (JVM) -> forest
