@@ -46,11 +46,12 @@ TEXTS = ["", None, "Hello world", "  two  spaces ", "line.\nNext, line; (x). don
 
 
 def test_cuts_keep_the_text_and_the_best_path(pieces):
-    cuts = pieces.cuts()
+    pairs = pieces.pairs()
     for t in filter(None, TEXTS):
         whole = L.SPACE + t.replace(" ", L.SPACE)
-        assert "".join(L.words_of(t, cuts)) == whole
-        assert sum((viterbi(w, pieces) for w in L.words_of(t, cuts)), []) == viterbi(whole, pieces)
+        words = [w for token in L.tokens_of(t) for w in L.words_of(token, pairs)]
+        assert "".join(words) == whole
+        assert sum((viterbi(w, pieces) for w in words), []) == viterbi(whole, pieces)
 
 
 def test_encode_equals_plain_viterbi(spark, pieces, edge_docs, no_docs):

@@ -1,20 +1,21 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 A text becomes ``▁`` + text with spaces as ``▁`` and is cut where no piece can
-cross: before a run of ``▁``, around characters that occur in no longer piece,
-and between a letter and a mark that follows a letter in no piece.  Distinct
+cross: between two characters that follow one another in no piece.  Distinct
 cuts ("words") are encoded once:
 
 1. their substrings up to the longest piece are exploded,
 2. equi-joined to the piece table (a bounded vocabulary, broadcast); a
    character without a piece becomes its UTF-8 byte pieces,
-3. the edges are grouped by word and end, and a higher-order ``aggregate``
-   folds Viterbi over the ends: it holds the best edge into every position
-   and its path's score; a second fold walks back.
+3. the edges are grouped by word, and a higher-order ``aggregate`` folds
+   Viterbi over them in the order of their ends: it holds the best edge into
+   every position and its path's score; a second fold walks back.
 
-Texts are handled in blocks: a block's distinct words go to the lattice, and
-come back as the block's dictionary, which is co-grouped with the block's
-(compressed) texts.  No vocabulary of the corpus is broadcast or collected.
+Texts are read once, in blocks.  A block is kept as its distinct words and its
+documents as numbers of words (compressed), in one written table; the words go
+to the lattice and come back as the block's dictionary of ids, which is
+co-grouped with its documents.  No vocabulary of the corpus is broadcast or
+collected.
 
 Scores: a unigram model's pieces carry log probabilities.  A merge model's
 pieces carry only their rank, so their log probability is taken from Zipf's
@@ -29,8 +30,10 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -43,8 +46,9 @@ from pyspark.sql import DataFrame, functions as F
 from txsentry.llm.common import col, written
 
 SPACE = "▁"
-BLOCK_CHARS = 8_000_000
-MARKS = ".,;:!?"
+BLOCK_CHARS = 24_000_000
+PACK_ROWS = 200_000
+RUN = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
 class Pieces(NamedTuple):
@@ -67,19 +71,12 @@ class Pieces(NamedTuple):
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.rows)
 
-    def cuts(self) -> re.Pattern:
-        """Pattern whose matches, in a row, are the words of a text."""
-        pairs = {p[i:i + 2] for p, _, _ in self.rows for i in range(len(p) - 1)}
-        inside = {c for pair in pairs for c in pair}
-        alone = "".join(c for c in "\n\t\r" if c not in inside)
-        marks = "".join(c for c in MARKS if not any(p[1] == c and p[0].isalpha() for p in pairs))
-        if any(p[1] == SPACE and p[0] != SPACE for p in pairs):
+    def pairs(self) -> set[str]:
+        """Characters that follow one another in a piece; texts are cut between all others."""
+        found = {p[i:i + 2] for p, _, _ in self.rows for i in range(len(p) - 1)}
+        if any(p[1] == SPACE and p[0] != SPACE for p in found):
             raise ValueError("pieces cross word starts")
-        edge = re.escape(alone)
-        letter = "[^\\W\\d_]"
-        body = f"(?:[^{SPACE}{edge}{marks}]+|(?<!{letter})[{marks}])*" if marks else f"[^{SPACE}{edge}]*"
-        first = f"[^{SPACE}{edge}]"
-        return re.compile(f"{SPACE}+{body}|{first}{body}" + (f"|[{edge}]" if alone else ""))
+        return found
 
     def text(self, ids) -> str:
         """Decode."""
@@ -88,8 +85,21 @@ class Pieces(NamedTuple):
         return b"".join(at[i] for i in ids)[1:].decode("utf-8", "surrogatepass")
 
 
-def words_of(text: str | None, cuts: re.Pattern) -> list[str]:
-    return cuts.findall(SPACE + text.replace(" ", SPACE)) if text else []
+def tokens_of(text: str | None) -> list[str]:
+    """The text's parts between spaces.  Each stands for ``▁`` and itself; of
+    several spaces in a row, the first ones stay with the part after them."""
+    if not text:
+        return []
+    plain = text.replace(SPACE, " ")
+    if "  " not in " " + plain:
+        return plain.split(" ")
+    return [run[1:] for run in RUN.findall(SPACE + plain.replace(" ", SPACE))]
+
+
+def words_of(token: str, pairs: set[str]) -> list[str]:
+    whole = SPACE + token
+    cuts = [0, *[i for i in range(1, len(whole)) if whole[i - 1:i + 1] not in pairs], len(whole)]
+    return [whole[i:j] for i, j in zip(cuts, cuts[1:])]
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -102,15 +112,15 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
              .select("word", "end", F.explode(F.sequence(F.lit(1), F.least(F.lit(reach), F.col("end")))).alias("len"))
              .withColumn("piece", F.expr("substring(word, end - len + 1, len)")))
     edges = (spans.join(table, "piece", "left").filter("id IS NOT NULL OR len = 1")
-             .select("word", "end", F.struct("len", F.coalesce("score", F.lit(least).cast("long")).alias("score"),
-                                             F.coalesce("id", F.lit(-1)).alias("id")).alias("edge")))
-    lattice = (edges.groupBy("word", "end").agg(F.collect_list("edge").alias("edges"))
-               .groupBy("word").agg(F.array_sort(F.collect_list(F.struct("end", "edges"))).alias("ends")))
+             .select("word", F.struct("end", "len", F.coalesce("score", F.lit(least).cast("long")).alias("score"),
+                                      F.coalesce("id", F.lit(-1)).alias("id")).alias("edge")))
+    # The words are hash-partitioned by their distinct; nothing moves here.
+    lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
     # Fold forward: the state has the best edge into every position so far,
     # with its path's score; position 0 starts with score 0.
-    forward = ("aggregate(ends, array(named_struct('score', 0L, 'len', 0, 'id', -1)), (s, p) -> concat(s, array(array_max("
-               "transform(p.edges, e -> named_struct('score', element_at(s, p.end - e.len + 1).score + e.score, "
-               "'len', e.len, 'id', e.id))))), s -> slice(s, 2, size(ends)))")
+    forward = ("aggregate(edges, array(named_struct('score', 0L, 'len', 0, 'id', -1)), (s, e) -> concat(slice(s, 1, e.end), "
+               "array(greatest(get(s, e.end), named_struct('score', element_at(s, e.end - e.len + 1).score + e.score, "
+               "'len', e.len, 'id', e.id)))), s -> slice(s, 2, size(s)))")
     # Walk back: take the edge of every position that the path ends a piece at.
     backward = ("reverse(aggregate(sequence(size(back), 1), named_struct('at', size(back), 'out', cast(array() as array<struct<at: int, id: int>>)), "
                 "(s, p) -> if(p = s.at, named_struct('at', p - element_at(back, p).len, "
@@ -121,19 +131,75 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     return paths.select("word", F.expr(f"flatten(transform(path, x -> if(x.id >= 0, array(x.id), {byte_ids})))").alias("ids"))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
-    """(block, ids, texts) of a partition, always cut alike."""
-    part, k, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
-    for batch in batches:
-        for i, t in zip(batch.column(0), batch.column(1)):
-            ids.append(i.as_py())
-            texts.append(t.as_py())
-            size += len(texts[-1] or "")
-            if size >= BLOCK_CHARS:
-                yield (part << 33) + k, ids, texts
-                k, ids, texts, size = k + 1, [], [], 0
-    if ids:
-        yield (part << 33) + k, ids, texts
+def _packed(columns: dict[str, pa.Array]) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_pydict(columns)
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return zstandard.compress(sink.getvalue().to_pybytes(), 3)
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.decompress(data)).read_all()
+
+
+def _mark(text: bytes) -> bytes:
+    """Digest by which a decoded text is known again."""
+    return hashlib.blake2b(text, digest_size=16).digest()
+
+
+def _numbers() -> defaultdict:
+    """A dict that numbers its keys from 0 in the order they are first asked for."""
+    found: defaultdict = defaultdict()
+    found.default_factory = found.__len__
+    return found
+
+
+def _planes(numbers: np.ndarray) -> list[bytes]:
+    """The four bytes of each number apart: they compress better so."""
+    return [plane.tobytes() for plane in numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T]
+
+
+def _whole(planes: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(p, np.uint8) for p in planes], axis=1).reshape(-1).view("<u4").astype(np.int64)
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+
+
+def _gather(values: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The lists ``which`` of (values, offsets), end to end."""
+    sizes = offsets[which + 1] - offsets[which]
+    starts = np.repeat(offsets[which] - _offsets(sizes)[:-1], sizes)
+    return values[starts + np.arange(len(starts))]
+
+
+class _Block:
+    """Documents as lists of token numbers, and the tokens found in them."""
+
+    def __init__(self):
+        self.ids, self.marks, self.rows, self.tokens, self.size = [], [], [], _numbers(), 0
+
+    def add(self, key: int | None, text: str | None) -> None:
+        self.ids.append(key)
+        self.marks.append(_mark((text or "").replace(SPACE, " ").encode("utf-8", "surrogatepass")))
+        self.rows.append(np.fromiter(map(self.tokens.__getitem__, tokens_of(text)), np.int32))
+        self.size += len(text or "")
+
+    def packed(self, pairs: set[str]) -> tuple[list[str], bytes]:
+        """The block's words, and its documents in terms of their numbers."""
+        words = _numbers()
+        cuts = [[words[w] for w in words_of(t, pairs)] for t in self.tokens]
+        stream = np.concatenate([*self.rows, np.empty(0, np.int32)])
+        often = np.argsort(-np.bincount(stream, minlength=len(cuts)), kind="stable")     # small numbers for frequent tokens
+        rank = np.empty_like(often)
+        rank[often] = np.arange(len(often))
+        parts = {"id": pa.array([self.ids], pa.list_(pa.int64())), "mark": pa.array([self.marks], pa.list_(pa.binary()))}
+        for name, numbers in (("size", [len(r) for r in self.rows]), ("token", rank[stream]),
+                              ("n_words", [len(cuts[k]) for k in often]), ("word", [w for k in often for w in cuts[k]])):
+            parts[name] = pa.array([_planes(np.array(numbers, np.int64))], pa.list_(pa.binary()))
+        return list(words), _packed(parts)
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text",
@@ -141,59 +207,95 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     """(doc_id, ids, n_pieces, ids_crc32, decoded): one row per document;
     ``decoded`` tells that decoding the ids gives the text back.  Without
     ``with_ids`` the ids themselves are left out.
-
-    The cut into blocks is that of the input's partitions: ``docs`` should be
-    a table that Spark reads, not the result of a shuffle.
     """
-    cuts = pieces.cuts()
+    pairs = pieces.pairs()
     slim = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
+    layout = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("word", pa.string()), ("docs", pa.binary())])
 
-    def vocabulary(batches):
-        for block, _, texts in _blocks(batches):
-            found: set[str] = set()
-            for t in texts:
-                found.update(words_of(t, cuts))
-            words = list(found)
-            for k in range(0, len(words), 20_000):
-                part = words[k:k + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())], names=["block", "word"])
-
-    def payload(batches):
-        for block, ids, texts in _blocks(batches):
-            sink = pa.BufferOutputStream()
-            batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.large_string())], names=["id", "text"])
-            with pa.ipc.new_stream(sink, batch.schema) as out:
-                out.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([zstandard.compress(sink.getvalue().to_pybytes(), 3)], pa.binary())],
-                                             names=["block", "payload"])
-
-    used = written(slim.mapInArrow(vocabulary, "block long, word string"), "vocabulary")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's distinct words with their numbers, and one row with its documents."""
+        part, k, block = TaskContext.get().partitionId(), 0, _Block()
+
+        def rows():
+            words, docs = block.packed(pairs)
+            number = (part << 33) + k
+            for i in range(0, len(words), 20_000):
+                some = words[i:i + 20_000]
+                yield pa.RecordBatch.from_pydict({"block": [number] * len(some), "number": range(i, i + len(some)), "word": some,
+                                                  "docs": [None] * len(some)}, schema=layout)
+            yield pa.RecordBatch.from_pydict({"block": [number], "number": [-1], "word": [None], "docs": [docs]}, schema=layout)
+
+        for batch in batches:
+            for key, text in zip(batch.column(0), batch.column(1)):
+                block.add(key.as_py(), text.as_py())
+                if block.size >= BLOCK_CHARS:
+                    yield from rows()
+                    k, block = k + 1, _Block()
+        if block.ids:
+            yield from rows()
+
+    kept = written(slim.mapInArrow(cut, "block long, number int, word string, docs binary"), "blocks")
+    used = kept.filter("number >= 0").select("block", "number", "word")
     known = encode_words(used.select("word").distinct(), pieces)
-    packed = F.expr("array_join(ids, ' ')")       # a compact form for the shuffle
-    dictionary = used.join(known, "word").select("block", "word", packed.alias("path"))
-    texts = slim.mapInArrow(payload, "block long, payload binary")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Dictionary rows of a stretch of the partition, compressed by block."""
+        schema = pa.schema([("block", pa.int64()), ("entries", pa.binary())])
+        held: list[pa.RecordBatch] = []
+
+        def rows():
+            whole = pa.Table.from_batches(held).sort_by([("block", "ascending"), ("number", "ascending")])
+            block = whole.column("block").to_numpy()
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(block)]))
+            for i, j in zip(edges.tolist(), edges[1:].tolist()):
+                ids = whole.column("ids").slice(i, j - i).combine_chunks()
+                number = whole.column("number").slice(i, j - i).to_numpy()
+                columns = {"step": np.diff(number, prepend=0), "n_ids": ids.value_lengths().to_numpy(), "id": ids.flatten().to_numpy()}
+                entries = _packed({c: pa.array([_planes(v)], pa.list_(pa.binary())) for c, v in columns.items()})
+                yield pa.RecordBatch.from_pydict({"block": [int(block[i])], "entries": [entries]}, schema=schema)
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= PACK_ROWS:
+                yield from rows()
+                held.clear()
+        if sum(b.num_rows for b in held):
+            yield from rows()
+
+    dictionary = used.join(known, "word").select("block", "number", "ids").mapInArrow(pack, "block long, entries binary")
+    blocks = kept.filter("number < 0").select(F.col("block").alias("part"), "docs")
 
     names = {i: p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for p, i, _ in pieces.rows}
     names |= {pieces.first_byte + b: bytes([b]) for b in range(256)}
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids_of = {w: np.fromstring(p, np.int32, sep=" ").tobytes() for w, p in
-                  zip(right.column("word").to_pylist(), right.column("path").to_pylist())}
         out = {"doc_id": [], "n_pieces": [], "ids_crc32": [], "decoded": []} | ({"ids": []} if with_ids else {})
-        for blob in left.column("payload").to_pylist():
-            docs = pa.ipc.open_stream(zstandard.decompress(blob)).read_all()
-            for i, t in zip(docs.column("id").to_pylist(), docs.column("text").to_pylist()):
-                raw = b"".join(map(ids_of.__getitem__, words_of(t, cuts)))
-                ids = np.frombuffer(raw, np.int32)
+        number, n_ids, values = [], [], []
+        for data in right.column("entries"):
+            entries = _unpacked(data.as_py())
+            step, n, v = (_whole(entries.column(c)[0].as_py()) for c in ("step", "n_ids", "id"))
+            number.append(np.cumsum(step))
+            n_ids.append(n)
+            values.append(v.astype(np.int32))
+        none = np.empty(0, np.int64)
+        number, n_ids, values = (np.concatenate([*x, none.astype(t)]) for x, t in ((number, np.int64), (n_ids, np.int64), (values, np.int32)))
+        # The list of word w is the one at place[w].
+        place, starts = np.argsort(number), _offsets(n_ids)
+        for data in left.column("docs"):
+            block = _unpacked(data.as_py())
+            size, token, n_words, word = (_whole(block.column(c)[0].as_py()) for c in ("size", "token", "n_words", "word"))
+            ends, cuts, word = _offsets(size), _offsets(n_words), place[word]
+            for k, (i, mark) in enumerate(zip(block.column("id")[0].as_py(), block.column("mark")[0].as_py())):
+                ids = _gather(values, starts, _gather(word, cuts, token[ends[k]:ends[k + 1]]))
                 text = b"".join(map(names.__getitem__, ids.tolist()))[1:]
                 out["doc_id"].append(i)
                 out["n_pieces"].append(len(ids))
-                out["ids_crc32"].append(zlib.crc32(raw))
-                out["decoded"].append(text == (t or "").replace(SPACE, " ").encode("utf-8", "surrogatepass"))
+                out["ids_crc32"].append(zlib.crc32(ids.astype("<i4").tobytes()))
+                out["decoded"].append(_mark(text) == mark)
                 if with_ids:
                     out["ids"].append(ids)
         kinds = {"doc_id": pa.int64(), "n_pieces": pa.int64(), "ids_crc32": pa.int64(), "decoded": pa.bool_(), "ids": pa.list_(pa.int32())}
         return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, decoded boolean" + (", ids array<int>" if with_ids else "")
-    return texts.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(assemble, schema)
+    return blocks.groupBy("part").cogroup(dictionary.groupBy("block")).applyInArrow(assemble, schema)
