@@ -35,6 +35,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from operator import add
 from typing import NamedTuple
 
 import numpy as np
@@ -98,7 +99,7 @@ def tokens_of(text: str | None) -> list[str]:
 
 def words_of(token: str, pairs: set[str]) -> list[str]:
     whole = SPACE + token
-    cuts = [0, *[i for i in range(1, len(whole)) if whole[i - 1:i + 1] not in pairs], len(whole)]
+    cuts = [0, *[i for i, pair in enumerate(map(add, whole, token), 1) if pair not in pairs], len(whole)]
     return [whole[i:j] for i, j in zip(cuts, cuts[1:])]
 
 
@@ -115,12 +116,17 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
              .select("word", F.struct("end", "len", F.coalesce("score", F.lit(least).cast("long")).alias("score"),
                                       F.coalesce("id", F.lit(-1)).alias("id")).alias("edge")))
     # The words are hash-partitioned by their distinct; nothing moves here.
-    lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-    # Fold forward: the state has the best edge into every position so far,
-    # with its path's score; position 0 starts with score 0.
-    forward = ("aggregate(edges, array(named_struct('score', 0L, 'len', 0, 'id', -1)), (s, e) -> concat(slice(s, 1, e.end), "
-               "array(greatest(get(s, e.end), named_struct('score', element_at(s, e.end - e.len + 1).score + e.score, "
-               "'len', e.len, 'id', e.id)))), s -> slice(s, 2, size(s)))")
+    lattice = edges.groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    # Fold forward: the state has the best edge into every position, with its
+    # path's score: those behind, and the last one, which may still improve.
+    # Every position has an edge of one character, so none is left out.
+    behind = "if(e.len = 1, s.last, element_at(s.done, e.end - e.len + 1)).score"
+    forward = ("aggregate(edges, named_struct('done', cast(array() as array<struct<score: bigint, len: int, id: int>>), "
+               "'last', named_struct('score', 0L, 'len', 0, 'id', -1)), (s, e) -> if(e.end = size(s.done), "
+               "named_struct('done', s.done, 'last', greatest(s.last, named_struct('score', "
+               "element_at(s.done, e.end - e.len + 1).score + e.score, 'len', e.len, 'id', e.id))), "
+               f"named_struct('done', concat(s.done, array(s.last)), 'last', named_struct('score', {behind} + e.score, "
+               "'len', e.len, 'id', e.id))), s -> concat(slice(s.done, 2, size(s.done)), array(s.last)))")
     # Walk back: take the edge of every position that the path ends a piece at.
     backward = ("reverse(aggregate(sequence(size(back), 1), named_struct('at', size(back), 'out', cast(array() as array<struct<at: int, id: int>>)), "
                 "(s, p) -> if(p = s.at, named_struct('at', p - element_at(back, p).len, "
