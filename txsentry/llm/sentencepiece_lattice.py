@@ -33,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from operator import add
@@ -47,7 +48,7 @@ from pyspark.sql import DataFrame, functions as F
 from txsentry.llm.common import col, written
 
 SPACE = "▁"
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 8_000_000
 PACK_ROWS = 200_000
 RUN = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -196,15 +197,20 @@ class _Block:
     def packed(self, pairs: set[str]) -> tuple[list[str], bytes]:
         """The block's words, and its documents in terms of their numbers."""
         words = _numbers()
-        cuts = [[words[w] for w in words_of(t, pairs)] for t in self.tokens]
+        n_words, flat = array("i"), array("i")
+        for token in self.tokens:
+            cuts = words_of(token, pairs)
+            n_words.append(len(cuts))
+            flat.extend(map(words.__getitem__, cuts))
+        n_words, flat = np.array(n_words, np.int64), np.array(flat, np.int64)
         stream = np.concatenate([*self.rows, np.empty(0, np.int32)])
-        often = np.argsort(-np.bincount(stream, minlength=len(cuts)), kind="stable")     # small numbers for frequent tokens
+        often = np.argsort(-np.bincount(stream, minlength=len(n_words)), kind="stable")     # small numbers for frequent tokens
         rank = np.empty_like(often)
         rank[often] = np.arange(len(often))
         parts = {"id": pa.array([self.ids], pa.list_(pa.int64())), "mark": pa.array([self.marks], pa.list_(pa.binary()))}
-        for name, numbers in (("size", [len(r) for r in self.rows]), ("token", rank[stream]),
-                              ("n_words", [len(cuts[k]) for k in often]), ("word", [w for k in often for w in cuts[k]])):
-            parts[name] = pa.array([_planes(np.array(numbers, np.int64))], pa.list_(pa.binary()))
+        for name, numbers in (("size", np.array([len(r) for r in self.rows], np.int64)), ("token", rank[stream]),
+                              ("n_words", n_words[often]), ("word", _gather(flat, _offsets(n_words), often))):
+            parts[name] = pa.array([_planes(numbers)], pa.list_(pa.binary()))
         return list(words), _packed(parts)
 
 
