@@ -69,7 +69,7 @@ def test_group_positions_match_row_number(tx_mid):
 
 def test_exact_median_matches_pandas(tx_mid):
     ours = {r.is_fraud: r.median for r in
-            ST.exact_median(tx_mid, ["is_fraud"], "amount", ID).collect()}
+            ST.exact_median(tx_mid, ["is_fraud"], "amount").collect()}
     pdf = tx_mid.select("is_fraud", "amount").toPandas()
     ref = pdf.groupby("is_fraud")["amount"].median().to_dict()
     assert ours == pytest.approx(ref)

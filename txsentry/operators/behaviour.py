@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from txsentry.functions.features import event_hour, is_night
 from txsentry.operators import sequence as S
-from txsentry.operators.joins import broadcast_if_small
+from txsentry.operators.joins import broadcast_if_small, null_safe_join
 from txsentry.operators.stats import exact_median
 from txsentry.schema import DEVICE_CHANNELS, DEVICE_CHANNELS_DEFAULT, FRAUD_PATTERNS
 
@@ -57,8 +57,9 @@ def user_profile(tx: DataFrame, baseline: str = "mean", normal_only: bool = Fals
     profile = tx.groupBy("user_id").agg(*aggs)
     if baseline == "median_exact":
         rows = tx if not normal_only else tx.filter(F.col("is_fraud") == 0)
-        med = exact_median(rows, ["user_id"], "amount", "transaction_id", few_groups=False)
-        profile = profile.join(med.withColumnRenamed("median", "avg_amount"), "user_id", "left")
+        med = exact_median(rows, ["user_id"], "amount", few_groups=False)
+        profile = null_safe_join(profile, med.withColumnRenamed("median", "avg_amount"),
+                                 ["user_id"], "left")
     return profile
 
 
@@ -172,7 +173,7 @@ def profile_by_category(tx: DataFrame, k: int = TOP_CATEGORIES) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy(F.col("n").desc(), F.col("merchant_category"))
     ranked = counts.select("user_id", "merchant_category",
                            (F.row_number().over(w) <= k).cast("int").alias("is_top"))
-    return ranked.join(user_profile(tx), "user_id")
+    return null_safe_join(ranked, user_profile(tx), ["user_id"])
 
 
 def signals(tx: DataFrame, window_minutes: int = VELOCITY_WINDOW_MINUTES,
@@ -184,17 +185,20 @@ def signals(tx: DataFrame, window_minutes: int = VELOCITY_WINDOW_MINUTES,
     dim = profile_by_category(tx)
     counted = S.trailing_count(tx, "user_id", "timestamp", window_minutes * 60,
                                "n_window", bucket_seconds)
-    x = counted.join(dim, ["user_id", "merchant_category"])
+    x = null_safe_join(counted, dim, ["user_id", "merchant_category"])
     ratio = _ratio()
     night = is_night(event_hour(F.col("timestamp"))) == 1
+    def flag(cond):  # a comparison with a missing value is no deviation
+        return F.coalesce(cond.cast("int"), F.lit(0))
+
     return x.select(
         "*",
-        (ratio >= SPIKE_FACTOR).cast("int").alias("sig_amount"),
-        night.cast("int").alias("sig_night"),
-        (F.col("country") != F.col("home_country")).cast("int").alias("sig_country"),
-        (F.col("device_type") != F.col("primary_device")).cast("int").alias("sig_device"),
+        flag(ratio >= SPIKE_FACTOR).alias("sig_amount"),
+        flag(night).alias("sig_night"),
+        flag(F.col("country") != F.col("home_country")).alias("sig_country"),
+        flag(F.col("device_type") != F.col("primary_device")).alias("sig_device"),
         (1 - F.col("is_top")).alias("sig_merchant"),
-        (F.col("n_window") >= VELOCITY_MIN_COUNT).cast("int").alias("sig_velocity"),
+        flag(F.col("n_window") >= VELOCITY_MIN_COUNT).alias("sig_velocity"),
     ).drop("is_top")
 
 

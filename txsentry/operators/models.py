@@ -20,9 +20,14 @@ GBT_PARITY_ROUNDS = 300
 RF_PARITY_TREES = 300
 
 
+def _weighted(train: DataFrame, label: str, mode: str) -> DataFrame:
+    return (with_weights(train, label, mode).filter(F.col("weight").isNotNull())
+            .withColumn(label, F.col(label).cast("double")))
+
+
 def train_gbt(train: DataFrame, max_iter: int = 20, seed: int = 42,
               features: str = "features", label: str = "is_fraud"):
-    data = with_weights(train, label, "scale").withColumn(label, F.col(label).cast("double"))
+    data = _weighted(train, label, "scale")
     gbt = GBTClassifier(featuresCol=features, labelCol=label, weightCol="weight",
                         maxIter=max_iter, maxDepth=6, stepSize=0.05, subsamplingRate=0.8,
                         featureSubsetStrategy="0.8", seed=seed)
@@ -31,7 +36,7 @@ def train_gbt(train: DataFrame, max_iter: int = 20, seed: int = 42,
 
 def train_rf(train: DataFrame, num_trees: int = 50, seed: int = 42,
              features: str = "features", label: str = "is_fraud"):
-    data = with_weights(train, label, "balanced").withColumn(label, F.col(label).cast("double"))
+    data = _weighted(train, label, "balanced")
     rf = RandomForestClassifier(featuresCol=features, labelCol=label, weightCol="weight",
                                 numTrees=num_trees, maxDepth=12, seed=seed)
     return rf.fit(data)

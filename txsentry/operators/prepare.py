@@ -54,11 +54,13 @@ def stratified_split(df: DataFrame, label: str = "is_fraud", test_fraction: floa
 
 
 def enforce_types(df: DataFrame) -> DataFrame:
-    """Labelled file layout: amount to cents, 0/1 flags, int label, fixed order."""
+    """Labelled file layout: amount to cents, boolean flags (missing: false),
+    int label (missing: 0), fixed order."""
     return df.select(
         *[F.round("amount", 2).alias("amount") if c == "amount"
-          else F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c)
-          if c in ("is_international", "card_present", "is_fraud")
+          else F.coalesce(F.col(c).cast("boolean"), F.lit(False)).alias(c)
+          if c in ("is_international", "card_present")
+          else F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) if c == "is_fraud"
           else F.col(c) for c in LABELLED_ORDER])
 
 
@@ -77,7 +79,8 @@ def class_weights(df: DataFrame, label: str = "is_fraud") -> DataFrame:
 
 def with_weights(df: DataFrame, label: str = "is_fraud", mode: str = "scale") -> DataFrame:
     """Attach a ``weight`` column for ML training (class counts are a
-    two-row table, joined as a broadcast)."""
+    two-row table, joined as a broadcast).  Rows whose label is null or no
+    class keep a null weight: they are no training rows."""
     w = class_weights(df, label).select(
         label, F.col("scale_weight" if mode == "scale" else "balanced_weight").alias("weight"))
-    return df.join(F.broadcast(w), label)
+    return df.join(F.broadcast(w), label, "left")

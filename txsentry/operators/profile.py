@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txsentry.functions.features import event_hour, is_night
+from txsentry.operators.joins import null_safe_join
 from txsentry.operators.stats import exact_median
 
 
@@ -30,8 +31,8 @@ def amount_by_label(df: DataFrame, approx_median: bool = False) -> DataFrame:
         F.round(F.max("amount"), 2).alias("max_amount"),
         *([F.percentile_approx("amount", 0.5, 100000).alias("median")] if approx_median else []))
     if not approx_median:
-        med = exact_median(df, ["is_fraud"], "amount", "transaction_id")
-        stats = stats.join(med, "is_fraud")
+        med = exact_median(df, ["is_fraud"], "amount")
+        stats = null_safe_join(stats, med, ["is_fraud"], "left")
     return stats.withColumn("median_amount", F.round(F.col("median").cast("double"), 2)) \
                 .drop("median")
 

@@ -17,6 +17,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from txsentry.operators.joins import null_safe_join
+
 MIN_BUCKETS = 256
 MAX_BUCKETS = 100_000
 MAX_ACCURACY = 20_000
@@ -74,7 +76,7 @@ def group_positions(df: DataFrame, group: list[str], order: list[str],
                     uniform_range: tuple[int, int] | None = None) -> DataFrame:
     """Add ``_pos`` (0-based position of the row in its group, in ``order``;
     ``order`` must make rows unique, its first column numeric) and ``_n``
-    (group size).  The offset table has one row per (group, bucket); with
+    (group size).  A null group is a group.  The offset table has one row per (group, bucket); with
     ``few_groups`` it is broadcast."""
     b = value_buckets(df, order[0], "_vb", n_buckets, uniform_range)
     w = Window.partitionBy(*group, "_vb").orderBy(*order)
@@ -85,21 +87,40 @@ def group_positions(df: DataFrame, group: list[str], order: list[str],
                            (F.sum("_cnt").over(wg.orderBy("_vb")) - F.col("_cnt")).alias("_off"),
                            F.sum("_cnt").over(wg).alias("_n"))
     right = F.broadcast(offsets) if few_groups else offsets
-    out = local.join(right, [*group, "_vb"])
+    out = null_safe_join(local, right, [*group, "_vb"])
     return out.withColumn("_pos", F.col("_off") + F.col("_lpos")) \
               .drop("_vb", "_lpos", "_off")
 
 
-def exact_median(df: DataFrame, group: list[str], value: str, tiebreak: str,
+def exact_median(df: DataFrame, group: list[str], value: str,
                  few_groups: bool = True) -> DataFrame:
-    """Per group the median of ``value`` (mean of the two middle values for an
-    even count), exact, with large groups spread over many tasks."""
-    pos = group_positions(df.select(*group, value, tiebreak), group, [value, tiebreak],
-                          few_groups=few_groups)
-    lo = F.floor((F.col("_n") - 1) / 2)
-    hi = F.ceil((F.col("_n") - 1) / 2)
-    mids = pos.filter((F.col("_pos") == lo) | (F.col("_pos") == hi))
-    return mids.groupBy(*group).agg(F.avg(value).alias("median"))
+    """Per group the median of the non-null ``value``s (mean of the two middle
+    values for an even count), exact; groups without one are left out.
+
+    Equal values are counted first (with map-side partial sums), so neither a
+    large group nor a frequent value is a single task."""
+    counts = (df.filter(F.col(value).isNotNull())
+              .groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c")))
+    b = value_buckets(counts, value)
+    w = Window.partitionBy(*group, "_vb").orderBy(value)
+    local = b.withColumn("_to", F.sum("_c").over(w))
+    wg = Window.partitionBy(*group)
+    sizes = b.groupBy(*group, "_vb").agg(F.sum("_c").alias("_cnt"))
+    offsets = sizes.select(*group, "_vb",
+                           (F.sum("_cnt").over(wg.orderBy("_vb")) - F.col("_cnt")).alias("_off"),
+                           F.sum("_cnt").over(wg).alias("_n"))
+    right = F.broadcast(offsets) if few_groups else offsets
+    out = null_safe_join(local, right, [*group, "_vb"])
+    to = F.col("_off") + F.col("_to")
+
+    def holds(position):
+        return (position >= to - F.col("_c")) & (position < to)
+
+    lo, hi = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
+    # The value at each of the two middle positions: one or two rows a group.
+    return (out.withColumn("_k", holds(lo).cast("int") + holds(hi).cast("int"))
+            .filter("_k > 0").groupBy(*group)
+            .agg((F.sum(F.col(value) * F.col("_k")) / 2).alias("median")))
 
 
 def prefix_sum(df: DataFrame, order: list[str], value: str, out: str = "_cum",

@@ -60,8 +60,8 @@ def q_stratified_split(spark, sf_dir):
 SELECT transaction_id, user_id, round(amount, 2) AS amount, transaction_type, merchant_category,
   merchant_id, device_type, channel, city, country,
   strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f') AS timestamp,
-  CAST(coalesce(is_international, false) AS INT) AS is_international,
-  CAST(coalesce(card_present, false) AS INT) AS card_present, CAST(is_fraud AS INT) AS is_fraud
+  coalesce(is_international, false) AS is_international,
+  coalesce(card_present, false) AS card_present, CAST(is_fraud AS INT) AS is_fraud
 FROM transactions"""))
 def q_enforce_types(spark, sf_dir):
     out = D.enforce_types(_tx(spark, sf_dir))

@@ -13,6 +13,7 @@ rows instead of appending them twice.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -95,17 +96,26 @@ def dedup(tx: DataFrame, key: str = "transaction_id", delay: str = DEFAULT_DELAY
 AVAILABLE_NOW = {"availableNow": True}
 
 
+def run_of(checkpoint: str) -> str:
+    """Id of the run that a checkpoint stands for: batch numbers start again
+    at 0 with a new checkpoint, so sinks keep each run's batches apart."""
+    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
 def validate_to_tables(raw: DataFrame, accepted_path: str, quarantine_path: str,
                        checkpoint: str, default_ts=None, trigger: dict = AVAILABLE_NOW):
-    """Split each micro-batch into the accepted and quarantine tables."""
+    """Split each micro-batch into the accepted and quarantine tables
+    (partitions of run and batch: a replay overwrites its own only)."""
+    run = run_of(checkpoint)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # two sinks read the micro-batch: compute it once
         try:
             accepted, rejected = V.split(batch, default_ts)
             for df, path in ((accepted, accepted_path), (rejected, quarantine_path)):
-                (df.withColumn("batch_id", F.lit(batch_id))
+                (df.withColumns({"run_id": F.lit(run), "batch_id": F.lit(batch_id)})
                    .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                   .partitionBy("batch_id").parquet(path))
+                   .partitionBy("run_id", "batch_id").parquet(path))
         finally:
             batch.unpersist()
 
@@ -115,13 +125,16 @@ def validate_to_tables(raw: DataFrame, accepted_path: str, quarantine_path: str,
 
 def audit_to_table(pred: DataFrame, path: str, checkpoint: str, id_col: str | None = None,
                    trigger: dict = AVAILABLE_NOW):
-    """Audit rows per micro-batch; ids hash (batch, transaction), and the
-    batch's partition is overwritten, so a replay is idempotent."""
+    """Audit rows per micro-batch; ids hash (run, batch, transaction), and
+    the partition of this run's batch is overwritten, so a replay is idempotent
+    and a run with a new checkpoint keeps the earlier rows."""
+    run = run_of(checkpoint)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = A.audit_rows(batch, id_col=id_col, batch_id=str(batch_id))
-        (rows.withColumn("batch_id", F.lit(batch_id))
+        rows = A.audit_rows(batch, id_col=id_col, batch_id=f"{run}-{batch_id}")
+        (rows.withColumns({"run_id": F.lit(run), "batch_id": F.lit(batch_id)})
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("batch_id").parquet(path))
+             .partitionBy("run_id", "batch_id").parquet(path))
 
     return (pred.writeStream.foreachBatch(write)
                 .option("checkpointLocation", checkpoint).trigger(**trigger).start())
