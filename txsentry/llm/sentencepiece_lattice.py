@@ -45,11 +45,12 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from txsentry.llm.common import col, written
+from txsentry.llm.common import batch_rows, col, written
 
 SPACE = "▁"
 BLOCK_CHARS = 8_000_000
 PACK_ROWS = 200_000
+TEXT_ROWS = 500
 RUN = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -243,10 +244,12 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
                 if block.size >= BLOCK_CHARS:
                     yield from rows()
                     k, block = k + 1, _Block()
+                    pa.default_memory_pool().release_unused()
         if block.ids:
             yield from rows()
 
-    kept = written(slim.mapInArrow(cut, "block long, number int, word string, docs binary"), "blocks")
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
+        kept = written(slim.mapInArrow(cut, "block long, number int, word string, docs binary"), "blocks")
     used = kept.filter("number >= 0").select("block", "number", "word")
     known = encode_words(used.select("word").distinct(), pieces)
 
