@@ -38,15 +38,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared scratch folder.
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared scratch folder, written with ``options``.
 
     Cuts the lineage: row ids given before the write stay as they are, and a
     lost executor only costs a reread.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -249,9 +249,13 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
             yield from rows()
 
     with batch_rows(docs.sparkSession, TEXT_ROWS):
-        kept = written(slim.mapInArrow(cut, "block long, number int, word string, docs binary"), "blocks")
-    used = kept.filter("number >= 0").select("block", "number", "word")
-    known = encode_words(used.select("word").distinct(), pieces)
+        kept = written(slim.mapInArrow(cut, "block long, number int, word string, docs binary"), "blocks", compression="zstd")
+    # One shuffle by word serves the distinct words and the join that spreads
+    # their ids: the distinct words are taken behind it, and keep a column of
+    # each kind, as both sides must ask it for the same columns.
+    used = kept.filter("number >= 0 AND word IS NOT NULL").select("block", "number", "word").repartition("word")
+    distinct = used.groupBy("word").agg(F.max("block").alias("last"), F.max("number").alias("highest"))
+    known = encode_words(distinct.filter("last IS NOT NULL AND highest >= 0"), pieces)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Dictionary rows of a stretch of the partition, compressed by block."""
