@@ -36,6 +36,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 from operator import add
 from typing import NamedTuple
 
@@ -158,9 +159,7 @@ def _mark(text: bytes) -> bytes:
 
 def _numbers() -> defaultdict:
     """A dict that numbers its keys from 0 in the order they are first asked for."""
-    found: defaultdict = defaultdict()
-    found.default_factory = found.__len__
-    return found
+    return defaultdict(count().__next__)
 
 
 def _planes(numbers: np.ndarray) -> list[bytes]:
