@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from txsentry.operators import iforest as IF
 from txsentry.plans import scoring as P
+from txsentry.schema import RiskThresholds
 from txsentry.session import scratch_path
 from txsentry.sources import files as S
 
@@ -106,8 +107,8 @@ def test_example_payloads_end_to_end(spark, tx_mid):
 
 @pytest.mark.parametrize("n_rows,n_trees", [(600, 20), (20000, 10)])
 def test_iforest_deterministic_and_full_samples(spark, n_rows, n_trees):
-    """Replicated candidates (small n) and disjoint ones (large n): every tree
-    is grown on exactly psi distinct rows, and refitting gives the same trees."""
+    """Small and large tables alike: every tree is grown on exactly psi rows, and
+    refitting gives the same trees."""
     rng = np.random.default_rng(1)
     x = rng.normal(size=(n_rows, 2))
     df = spark.createDataFrame([(f"r{i}", float(a), float(b)) for i, (a, b) in enumerate(x)],
@@ -121,3 +122,33 @@ def test_iforest_deterministic_and_full_samples(spark, n_rows, n_trees):
     a = m1.nodes[cols].sort_values(["tree", "node"]).reset_index(drop=True)
     b = m2.nodes[cols].sort_values(["tree", "node"]).reset_index(drop=True)
     assert a.equals(b)
+
+
+@pytest.mark.parametrize("n_rows", [150, 3000, 40_000])
+def test_iforest_null_and_repeated_ids(spark, n_rows):
+    """Rows without an id, or sharing one, still give full trees at every size."""
+    for rid in ("CAST(NULL AS string)", "CAST(id % 3 AS string)"):
+        df = spark.range(n_rows).selectExpr(f"{rid} AS id", "sin(id) AS a", "pmod(id * 37, 101) / 101D AS b")
+        m = IF.fit(df, ["a", "b"], id_col="id", n_trees=20)
+        roots = m.nodes[m.nodes["node"] == 0]
+        assert len(roots) == 20 and (roots["size"] == min(256, n_rows)).all()
+        assert m.score_max > m.score_min
+
+
+def test_iforest_equal_rows_count_each(spark):
+    df = spark.range(900).selectExpr("'x' AS id", "CAST(id < 300 AS double) AS a")
+    m = IF.fit(df, ["a"], id_col="id", n_trees=10, max_samples=600)
+    assert (m.nodes[m.nodes["node"] == 0]["size"] == 600).all()
+
+
+def test_iforest_empty_table_is_an_error(spark):
+    with pytest.raises(ValueError):
+        IF.fit(spark.range(0).selectExpr("id", "1D AS a"), ["a"], id_col="id")
+
+
+def test_scorer_keeps_its_thresholds(spark, tx_small, tmp_path):
+    scorer, parts = P.train(spark, tx_small, max_iter=2, forest_trees=5)
+    scorer.thresholds = RiskThresholds(low_max=0.1, medium_max=0.3, high_max=0.6, alpha=0.5, beta=0.5)
+    scorer.save(spark, str(tmp_path / "m"))
+    assert P.Scorer.load(spark, str(tmp_path / "m")).thresholds == scorer.thresholds
+    parts.unpersist()

@@ -1,11 +1,12 @@
 """Distributed isolation forest (M4-M7); Liu, Ting & Zhou (2008).
 
-Fit: every training row draws a tree id and a priority from a seeded hash
-(small tables: one copy of the row per tree).  A row filter keeps about
-1.5 * psi candidates per tree (so the shuffle moves ~1.5 * n_trees * psi
-rows, independent of the table size), ``groupBy("tree").applyInPandas``
-keeps the psi lowest priorities of each tree (distinct rows) and grows one
-isolation tree on them with numpy.  The
+Fit: one sampling scheme at every table size.  A seeded hash of a row's id
+and feature values says how many trees it enters (1.5 * psi * n_trees / n on
+average, so about 1.5 * psi * n_trees entries in all, whatever the table's
+size), a second one which; rows equal in id and features are counted map-side
+and travel as one.  ``groupBy("tree").applyInPandas`` keeps the psi entries of
+lowest priority and grows one isolation tree on them with numpy.  Null and
+repeated ids are no special case.  A tree without any row is an error.  The
 result is a node table of at most n_trees * (2 * psi - 1) rows.
 
 Score: the node table is bounded by (n_trees, psi), so it is broadcast; a
@@ -85,7 +86,8 @@ def _fit_tree_fn(feature_cols: list[str], psi: int, seed: int):
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values(["_prio", "_rid"]).drop_duplicates("_rid").head(psi)
+        pdf = pdf.sort_values(["_prio", *feature_cols], kind="stable")
+        pdf = pdf.loc[pdf.index.repeat(pdf["_copies"].clip(upper=psi))].head(psi)
         x = pdf[feature_cols].to_numpy(dtype=float)
         rng = np.random.default_rng([seed, tree])
         f, t, lft, rgt, size = _grow(x, rng, max_depth)
@@ -132,7 +134,8 @@ class IsolationForestModel:
     def raw_score(self, spark) -> Column:
         """Column expression: raw score of the feature columns (higher = more normal)."""
         bc = spark.sparkContext.broadcast(self.arrays())
-        c_psi = float(c_factor(np.array([self.psi]))[0])
+        roots = self.nodes.loc[self.nodes["node"] == 0, "size"].to_numpy()
+        c_psi = float(c_factor(roots).mean())      # of the rows the trees were grown on
         n_trees = self.n_trees
 
         @F.pandas_udf("double")
@@ -183,36 +186,26 @@ def fit(df: DataFrame, feature_cols: list[str], id_col: str = "transaction_id",
     spark = df.sparkSession
     n = n_rows if n_rows is not None else df.count()
     psi = int(min(max_samples, n))
-    target = CANDIDATE_FACTOR * n_trees * psi          # candidates over all trees
-    base = df.select(F.col(id_col).alias("_rid"), *feature_cols)
-    if n < target:
-        # Small table: every tree considers every row (one copy per tree,
-        # n * n_trees < target * n_trees rows, generated map-side) and keeps
-        # each with probability 1.5 psi / n, so each tree gets distinct rows
-        # and the shuffle carries about target rows.
-        keep = min(1.0, CANDIDATE_FACTOR * psi / max(n, 1))
-        base = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-        prio_hash = F.xxhash64(F.lit(seed + 1), F.col("tree"), F.col("_rid"))
-    else:
-        # Large table: each row belongs to one tree (seeded hash) and is a
-        # candidate with probability target / n; trees are disjoint samples.
-        keep = target / n
-        h1 = F.xxhash64(F.lit(seed), F.col("_rid"))
-        base = base.withColumn("tree", F.pmod(h1, F.lit(n_trees)).cast("int"))
-        prio_hash = F.xxhash64(F.lit(seed + 1), F.col("_rid"))
-    unit = F.pmod(prio_hash, F.lit(1 << 30)).cast("double") / float(1 << 30)
-    cand = base.withColumns({"tree": F.col("tree").cast("int"), "_prio": unit}) \
-               .filter(F.col("_prio") < keep)
-    nodes = (cand.select("tree", "_rid", "_prio", *feature_cols)
-                 .groupBy("tree").applyInPandas(_fit_tree_fn(feature_cols, psi, seed),
-                                                NODE_SCHEMA))
+    if n == 0:
+        raise ValueError("an isolation forest needs at least one row")
+    draws = min(float(n_trees), CANDIDATE_FACTOR * n_trees * psi / n)     # trees a row enters, on average
+    row = [F.col(id_col), *[F.col(c) for c in feature_cols]]
+    unit = F.pmod(F.xxhash64(F.lit(seed), *row), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    entered = F.floor(F.lit(draws) + unit).cast("int")
+    # The trees of lowest hash; only rows that enter any tree hash them all.
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
+                                     lambda t: F.struct(F.xxhash64(F.lit(seed + 1), F.col("_row"), t).alias("_prio"),
+                                                        t.alias("tree"))))
+    entries = (df.select(F.xxhash64(F.lit(seed + 2), *row).alias("_row"), entered.alias("_k"), *feature_cols)
+                 .filter("_k > 0")
+                 .select(F.explode(F.slice(order, F.lit(1), F.col("_k"))).alias("_draw"), *feature_cols)
+                 .groupBy("_draw", *feature_cols).agg(F.count(F.lit(1)).alias("_copies"))
+                 .select("_draw.*", "_copies", *feature_cols))
+    nodes = entries.groupBy("tree").applyInPandas(_fit_tree_fn(feature_cols, psi, seed), NODE_SCHEMA)
     model = IsolationForestModel(nodes.toPandas(), list(feature_cols), psi, n_trees)
-    got = set(model.nodes["tree"].unique())
-    missing = [t for t in range(n_trees) if t not in got]
-    if missing:  # a tree drew no candidate (tiny inputs): give it a root leaf
-        extra = pd.DataFrame({"tree": missing, "node": 0, "feature": -1, "threshold": 0.0,
-                              "left": -1, "right": -1, "size": psi})
-        model.nodes = pd.concat([model.nodes, extra], ignore_index=True)
+    roots = model.nodes.loc[model.nodes["node"] == 0, "size"]
+    if len(roots) < n_trees:
+        raise ValueError(f"{n_trees - len(roots)} of {n_trees} trees drew no row; the rows are too much alike")
     b = score_bounds(df.select(model.raw_score(spark).alias("raw_score"))).first()
     model.score_min, model.score_max = float(b["score_min"]), float(b["score_max"])
     return model

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -49,12 +49,15 @@ class Scorer:
         PipelineModel(stages=[self.features, self.classifier]).write().overwrite() \
             .save(os.path.join(path, "pipeline"))
         IF.save(self.forest, spark, os.path.join(path, "forest"))
+        spark.createDataFrame([asdict(self.thresholds)]).coalesce(1) \
+            .write.mode("overwrite").parquet(os.path.join(path, "thresholds"))
 
     @staticmethod
     def load(spark: SparkSession, path: str, algorithm: str = "GBTClassifier") -> "Scorer":
         pm = PipelineModel.load(os.path.join(path, "pipeline"))
         forest = IF.load(spark, os.path.join(path, "forest"))
-        return Scorer(pm.stages[0], pm.stages[1], forest, algorithm)
+        bands = spark.read.parquet(os.path.join(path, "thresholds")).first().asDict()
+        return Scorer(pm.stages[0], pm.stages[1], forest, algorithm, RiskThresholds(**bands))
 
 
 def split(tx: DataFrame, seed: int = 42) -> DataFrame:
@@ -79,9 +82,9 @@ def train(spark: SparkSession, tx: DataFrame, fit_on: str = "train", algo: str =
     return Scorer(enc, clf, forest, name), parts
 
 
-def score(scorer: Scorer, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Prediction rows for every input row (response shape plus the
-    columns in ``keep``)."""
+def assessed(scorer: Scorer, df: DataFrame) -> DataFrame:
+    """``df`` with unrounded fraud_probability, anomaly_score and raw_score, risk
+    level and decision."""
     spark = df.sparkSession
     feats = scorer.features.assemble(df.withColumn("_row", F.struct(*df.columns)), keep=("_row",))
     probs = M.fraud_probability(scorer.classifier, feats)
@@ -89,9 +92,13 @@ def score(scorer: Scorer, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFram
     out = probs.withColumn("raw_score", raw) \
                .withColumn("anomaly_score", scorer.forest.anomaly_score(F.col("raw_score")))
     out = out.select("_row.*", "fraud_probability", "anomaly_score", "raw_score")
-    out = risk_ops.assess(out, scorer.thresholds)
-    out = X.with_top_reasons(out)
-    return out.select(
+    return risk_ops.assess(out, scorer.thresholds)
+
+
+def score(scorer: Scorer, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Prediction rows for every input row (response shape plus the
+    columns in ``keep``)."""
+    return X.with_top_reasons(assessed(scorer, df)).select(
         "transaction_id",
         R.rounded("fraud_probability").alias("fraud_probability"),
         R.rounded("anomaly_score").alias("anomaly_score"),
@@ -101,7 +108,7 @@ def score(scorer: Scorer, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFram
 
 
 def evaluate(scorer: Scorer, test: DataFrame) -> dict:
-    pred = score(scorer, test, keep=("is_fraud",))
+    pred = assessed(scorer, test)      # metrics need unrounded scores
     auc = Q.roc_auc(pred).first()["auc"]
     f1 = Q.f1_positive(Q.threshold_predict(pred)).first()["f1"]
     rng = pred.agg(F.min("anomaly_score").alias("lo"), F.max("anomaly_score").alias("hi")).first()
@@ -134,7 +141,9 @@ def training_summary(spark: SparkSession, tx: DataFrame, out_dir: str, dataset_p
         "numeric_columns": list(NUMERIC_COLS),
         "algorithms": {"supervised": scorer.algorithm, "anomaly": "IsolationForest"},
         "metrics": {"supervised_auc": metrics["supervised_auc"],
-                    "supervised_f1": metrics["supervised_f1"]},
+                    "supervised_f1": metrics["supervised_f1"],
+                    "anomaly_test_min": metrics["anomaly_test_min"],
+                    "anomaly_test_max": metrics["anomaly_test_max"]},
         "decisions": metrics["decisions"],
         "thresholds": {"low_max": t.low_max, "medium_max": t.medium_max,
                        "high_max": t.high_max, "alpha": t.alpha, "beta": t.beta},
