@@ -37,7 +37,7 @@ def op6_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = lattice.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
-    return lattice.encode(table(spark, sf_dir, "documents"), pieces, with_ids=False)
+    return lattice.encode_merges(table(spark, sf_dir, "documents"), pieces)
 
 
 def op8_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

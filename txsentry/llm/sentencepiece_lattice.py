@@ -17,11 +17,16 @@ to the lattice and come back as the block's dictionary of ids, which is
 co-grouped with its documents.  No vocabulary of the corpus is broadcast or
 collected.
 
-Scores: a unigram model's pieces carry log probabilities.  A merge model's
-pieces carry only their rank, so their log probability is taken from Zipf's
-law, -ln(rank + 2); the best path is then near, but not always equal to, the
-merge order's (see README).  Decoding restores the text exactly, apart from
-literal ``▁``, which stand for spaces as in the library.
+Scores: a unigram model's pieces carry log probabilities, and ``encode`` is
+for these.  A merge model's pieces carry only their rank, and no sum of scores
+gives its merge order: ``encode`` then takes Zipf's law, -ln(rank + 2), and
+its ids are NOT the model's (README has figures).  ``encode_merges``, which the
+registered query and the pipeline use, gives a merge model's own ids: it has no
+lattice, but carries out the merges on each distinct token between spaces (best
+rank first, then leftmost), remembers a bounded number of tokens in a task, and
+shuffles nothing.  Time grows with n log n of a token's length.
+Decoding restores the text exactly, apart from literal ``▁``, which stand for
+spaces as in the library.
 
 Defined cases: null and empty texts have no ids; repeated rows are all
 returned; ties go to the longer piece, then the larger id; an empty table
@@ -36,6 +41,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import count
 from operator import add
 from typing import NamedTuple
@@ -52,6 +58,8 @@ SPACE = "▁"
 BLOCK_CHARS = 8_000_000
 PACK_ROWS = 200_000
 TEXT_ROWS = 500
+CACHED_TOKENS = 500_000
+CACHED_CHARS = 64
 RUN = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -59,6 +67,7 @@ class Pieces(NamedTuple):
     """The piece table: (piece, id, score) rows and the ids of the 256 bytes."""
     rows: list[tuple[str, int, int]]      # score in millionths, so that sums are exact
     first_byte: int
+    ranks: dict[str, int] | None = None   # of a merge model: 0 is merged first, equal ranks from the left
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -69,7 +78,10 @@ class Pieces(NamedTuple):
         scores = [model.get_score(i) for i in plain]
         ranks = all(s == int(s) and s <= 0 for s in scores)      # a merge model
         rows = [(model.id_to_piece(i), i, round((-np.log(2 - s) if ranks else s) * 1e6)) for i, s in zip(plain, scores)]
-        return cls(rows, min(i for i in ids if model.is_byte(i)))
+        order = {s: k for k, s in enumerate(sorted(set(scores), reverse=True))}
+        merges = ranks and not any(map(model.is_unused, ids))      # unused pieces would be merged and split again
+        return cls(rows, min(i for i in ids if model.is_byte(i)),
+                   {model.id_to_piece(i): order[s] for i, s in zip(plain, scores)} if merges else None)
 
     @property
     def longest(self) -> int:
@@ -317,3 +329,81 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, decoded boolean" + (", ids array<int>" if with_ids else "")
     return blocks.groupBy("part").cogroup(dictionary.groupBy("block")).applyInArrow(assemble, schema)
+
+
+def merged(word: str, ranks: dict[str, int]) -> list[str]:
+    """The parts of ``word`` after all merges: always the pair of the best rank, of equal ranks the leftmost."""
+    parts, n = list(word), len(word)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    rank = ranks.get
+    queue = [r << 40 | i for i in range(n - 1) if (r := rank(word[i:i + 2])) is not None]
+    heapify(queue)
+    while queue:
+        key = heappop(queue)
+        i = key & (1 << 40) - 1
+        j = after[i]
+        if not parts[i] or j == n or rank(parts[i] + parts[j]) != key >> 40:      # merged otherwise since
+            continue
+        both = parts[i] = parts[i] + parts[j]
+        parts[j] = ""
+        h, k = before[i], after[j]
+        after[i] = k
+        if k < n:
+            before[k] = i
+            if (r := rank(both + parts[k])) is not None:
+                heappush(queue, r << 40 | i)
+        if h >= 0 and (r := rank(parts[h] + both)) is not None:
+            heappush(queue, r << 40 | h)
+    return [p for p in parts if p]
+
+
+class _Merges(dict):
+    """Token -> its ids as bytes, merged when first asked for; short tokens are remembered."""
+
+    def __init__(self, pieces: Pieces):
+        self.ranks, self.first_byte = pieces.ranks, pieces.first_byte
+        self.at = {p: np.array([i], "<i4").tobytes() for p, i, _ in pieces.rows}
+
+    def __missing__(self, token: str) -> bytes:
+        found = []
+        for p in merged(SPACE + token, self.ranks):
+            if p not in self.at:      # one character without a piece
+                self.at[p] = np.array([self.first_byte + b for b in p.encode("utf-8", "surrogatepass")], "<i4").tobytes()
+            found.append(self.at[p])
+        ids = b"".join(found)
+        if len(token) <= CACHED_CHARS:
+            if len(self) >= CACHED_TOKENS:
+                self.clear()
+            self[token] = ids
+        return ids
+
+
+def encode_merges(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_pieces, ids_crc32, decoded, ids): one row per document, with
+    the ids that a merge model's library gives."""
+    if pieces.ranks is None:
+        raise ValueError("not a merge model, or one with unused pieces")
+    pieces.pairs()      # refuses pieces that cross word starts
+    kinds = {"doc_id": pa.int64(), "n_pieces": pa.int64(), "ids_crc32": pa.int64(), "decoded": pa.bool_(), "ids": pa.list_(pa.int32())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Merges(pieces)
+        names = {i: p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for p, i, _ in pieces.rows}
+        names |= {pieces.first_byte + b: bytes([b]) for b in range(256)}
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                some = batch.slice(k, 256)
+                out = {c: [] for c in kinds}
+                for i, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    data = b"".join(map(known.__getitem__, tokens_of(text)))
+                    ids = np.frombuffer(data, "<i4")
+                    back = b"".join(map(names.__getitem__, ids.tolist()))[1:]
+                    out["doc_id"].append(i)
+                    out["n_pieces"].append(len(ids))
+                    out["ids_crc32"].append(zlib.crc32(data))
+                    out["decoded"].append(back == (text or "").replace(SPACE, " ").encode("utf-8", "surrogatepass"))
+                    out["ids"].append(ids)
+                yield pa.RecordBatch.from_pydict({c: pa.array(v, kinds[c]) for c, v in out.items()})
+
+    return (docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
+            .mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded boolean, ids array<int>"))
