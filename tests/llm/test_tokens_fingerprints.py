@@ -29,6 +29,14 @@ def test_wavelet_matrix_queries():
             assert [s.select(x, k) for k in range(0, len(where), 7)] == where[::7].tolist()
 
 
+def test_words_that_nfc_decomposes_equal_the_library():
+    t, enc = Tokenizer.from_file(PATH), W.WordEncoder(PATH)
+    stems = ["\u09b9\u09df", "\u09a8\u09df", "\u091c\u095c", "\u0917\u095d", "\u05e9\ufb2a", "İ", "na\u00efve", "e\u0301", "Word", "日本"]
+    words = [stem + end for stem in stems for end in ("", ".", ",", "...", ".,")]
+    for w, got in zip(words, enc.encode(words)):
+        assert np.frombuffer(got, enc.kind).tolist() == t.encode(w, add_special_tokens=False).ids, w
+
+
 def order(rows):
     return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
 

@@ -48,8 +48,10 @@ class WordEncoder:
     those of its words in a row; words are encoded by the library once and
     remembered (at most ``CACHED_WORDS``; of a full memory the older half
     stays, which holds the frequent words).  It also splits letters from
-    points and commas and ignores the case of A-Z, so a word of letters with
-    such an end is put together from its parts.  Words keep their other white
+    points and commas and ignores the case of A-Z, so a word of the letters A-Z
+    with such an end is put together from its parts.  All other words go whole
+    through the library: its normal form may turn a letter into letter and
+    mark, and a mark joins the point behind it.  Words keep their other white
     space, and special tokens contain none, so the result is the library's.
     """
 
@@ -72,14 +74,11 @@ class WordEncoder:
         whole, parts, ends = [], [], set()
         for w in words:
             stem = w.rstrip(".,")
-            if stem.isalpha() and (stem.isascii() or stem.lower().isalpha()):
-                key = stem.lower() if stem.isascii() else stem
+            if stem.isascii() and stem.isalpha():
+                key = stem.lower()
                 parts.append((w, key, w[len(stem):]))
                 if key not in self.stems:
-                    if stem.isascii():
-                        self.stems[key] = np.array([t.id for t in self.model.tokenize(key)], self.kind).tobytes()
-                    else:
-                        ends.add(key)
+                    self.stems[key] = np.array([t.id for t in self.model.tokenize(key)], self.kind).tobytes()
                 if parts[-1][2] not in self.stems:
                     ends.add(parts[-1][2])
             else:
