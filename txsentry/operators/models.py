@@ -4,7 +4,7 @@ Boosted trees use these settings where Spark has them: depth 6,
 learning rate 0.05, row subsample 0.8, 80% of the features, positive class
 weight 10.  Spark's feature subset is drawn per node, not per tree, so
 probabilities are not digit-for-digit those of other libraries.  300 rounds
-is the parity setting; queries and tests use fewer (``max_iter``).
+and 300 trees are the parity settings and the defaults; queries use these.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def _weighted(train: DataFrame, label: str, mode: str) -> DataFrame:
             .withColumn(label, F.col(label).cast("double")))
 
 
-def train_gbt(train: DataFrame, max_iter: int = 20, seed: int = 42,
+def train_gbt(train: DataFrame, max_iter: int = GBT_PARITY_ROUNDS, seed: int = 42,
               features: str = "features", label: str = "is_fraud"):
     data = _weighted(train, label, "scale")
     gbt = GBTClassifier(featuresCol=features, labelCol=label, weightCol="weight",
@@ -34,7 +34,7 @@ def train_gbt(train: DataFrame, max_iter: int = 20, seed: int = 42,
     return gbt.fit(data)
 
 
-def train_rf(train: DataFrame, num_trees: int = 50, seed: int = 42,
+def train_rf(train: DataFrame, num_trees: int = RF_PARITY_TREES, seed: int = 42,
              features: str = "features", label: str = "is_fraud"):
     data = _weighted(train, label, "balanced")
     rf = RandomForestClassifier(featuresCol=features, labelCol=label, weightCol="weight",

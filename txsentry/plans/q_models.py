@@ -22,10 +22,6 @@ from txsentry.session import scratch_path
 from txsentry.sources import files as S
 from txsentry.sources.tables import scored, transactions
 
-# Fewer rounds / trees than the parity settings (300) keep the check quick.
-QUERY_ROUNDS = 20
-QUERY_RF_TREES = 30
-
 
 def _split_features(spark, sf_dir):
     tx = transactions(spark, sf_dir)
@@ -38,7 +34,7 @@ def _split_features(spark, sf_dir):
 @query("train_gbt")
 def q_train_gbt(spark, sf_dir):
     enc, parts, train_rows = _split_features(spark, sf_dir)
-    clf = M.train_gbt(enc.transform(train_rows), QUERY_ROUNDS)
+    clf = M.train_gbt(enc.transform(train_rows))
     test = enc.transform(parts.filter(F.col("is_test") == 1))
     return M.fraud_probability(clf, test).select("transaction_id", "is_fraud",
                                                  "fraud_probability")
@@ -47,7 +43,7 @@ def q_train_gbt(spark, sf_dir):
 @query("train_rf")
 def q_train_rf(spark, sf_dir):
     enc, parts, train_rows = _split_features(spark, sf_dir)
-    clf = M.train_rf(enc.transform(train_rows), QUERY_RF_TREES)
+    clf = M.train_rf(enc.transform(train_rows))
     test = enc.transform(parts.filter(F.col("is_test") == 1))
     return M.fraud_probability(clf, test).select("transaction_id", "is_fraud",
                                                  "fraud_probability")
@@ -56,7 +52,7 @@ def q_train_rf(spark, sf_dir):
 @query("fraud_probability")
 def q_fraud_probability(spark, sf_dir):
     enc, parts, train_rows = _split_features(spark, sf_dir)
-    clf = M.train_gbt(enc.transform(train_rows), QUERY_ROUNDS)
+    clf = M.train_gbt(enc.transform(train_rows))
     return M.fraud_probability(clf, enc.transform(parts)).select(
         "transaction_id", "fraud_probability")
 
@@ -113,7 +109,7 @@ def q_anomaly_score(spark, sf_dir):
 @query("score_transactions")
 def q_score_transactions(spark, sf_dir):
     tx = transactions(spark, sf_dir)
-    scorer, _ = P.train(spark, tx, max_iter=QUERY_ROUNDS)
+    scorer, _ = P.train(spark, tx)
     pred = P.score(scorer, tx)
     return pred.select("transaction_id", "fraud_probability", "anomaly_score", "risk_level",
                        "decision", F.size("top_reasons").alias("n_reasons"))
@@ -123,7 +119,7 @@ def q_score_transactions(spark, sf_dir):
 def q_training_summary(spark, sf_dir):
     out = scratch_path(spark, "training")
     meta = P.training_summary(spark, transactions(spark, sf_dir), out + "/models",
-                              dataset_path=sf_dir, max_iter=QUERY_ROUNDS)
+                              dataset_path=sf_dir)
     back = S.write_metadata(spark, meta, out + "/metadata.json")
     return back.select("model_version", "dataset_rows", "fraud_ratio",
                        F.col("metrics.supervised_auc").alias("supervised_auc"),

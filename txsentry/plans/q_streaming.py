@@ -110,7 +110,7 @@ def q_stream_audit(spark, sf_dir):
 def q_stream_score(spark, sf_dir):
     from txsentry.plans import scoring as P
     from txsentry.sources.tables import transactions
-    scorer, _ = P.train(spark, transactions(spark, sf_dir), max_iter=20)
+    scorer, _ = P.train(spark, transactions(spark, sf_dir))
     pred = P.score(scorer, T.transactions_stream(spark, sf_dir))
     out = T.run_available(pred.select("transaction_id", "fraud_probability", "anomaly_score",
                                       "risk_level", "decision"),

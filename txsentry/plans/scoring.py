@@ -65,8 +65,8 @@ def split(tx: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def train(spark: SparkSession, tx: DataFrame, fit_on: str = "train", algo: str = "gbt",
-          max_iter: int = 20, rf_trees: int = 50, forest_trees: int = IF.N_TREES,
-          seed: int = 42) -> tuple[Scorer, DataFrame]:
+          max_iter: int = M.GBT_PARITY_ROUNDS, rf_trees: int = M.RF_PARITY_TREES,
+          forest_trees: int = IF.N_TREES, seed: int = 42) -> tuple[Scorer, DataFrame]:
     """Fit everything; returns the scorer and the split table (``is_test``)."""
     parts = split(tx, seed).persist()
     train_rows = parts.filter(F.col("is_test") == 0)
@@ -153,7 +153,7 @@ def training_summary(spark: SparkSession, tx: DataFrame, out_dir: str, dataset_p
     return meta
 
 
-def flagship(spark: SparkSession, sf_dir: str, max_iter: int = 10,
+def flagship(spark: SparkSession, sf_dir: str, max_iter: int = M.GBT_PARITY_ROUNDS,
              forest_trees: int = IF.N_TREES) -> DataFrame:
     """Train on the feed's training split, then score the whole feed."""
     tx = transactions(spark, sf_dir)
