@@ -37,6 +37,14 @@ def test_registered_query_returns_the_library_ids(spark, library):
     assert len(rows) == len(texts) and all(list(r.ids) == library.encode(texts[r.doc_id]) for r in rows)
 
 
+def test_a_long_run_is_one_token(library):
+    pieces = L.Pieces.load(PATH)
+    run = " " * 300_000
+    assert L.tokens_of(run) == [L.SPACE * 300_000]
+    at = {p: i for p, i, _ in pieces.rows}
+    assert [at[p] for p in L.merged(L.SPACE + L.tokens_of(run)[0], pieces.ranks)] == library.encode(run)
+
+
 def test_a_model_without_ranks_is_refused(spark, no_docs):
     with pytest.raises(ValueError):
         L.encode_merges(no_docs, L.Pieces([("a", 300, -5)], 3))
