@@ -13,7 +13,12 @@ match of ``SIMILARITY`` containment needs to collide with probability
 Templates are a bounded parameter and travel with the tasks; texts are read
 once and not shuffled.
 
-Defined cases: null or short texts match nothing; a text matches a template
+Versions and relatives of a notice share most of their words.  Of those that
+``related`` puts in one set and that are found in overlapping windows of a text,
+only the one with the most shingles held is reported (a tie: all of them).  The
+registered query scans for ``NOTICES`` with ``RELATED``.
+
+Defined cases: templates below five words are left out; null or short texts match nothing; a text matches a template
 once, with its best window (ties: the first); rows repeated with one id are
 all scanned; an empty table gives an empty result; other columns are not read.
 """
@@ -53,6 +58,30 @@ TEMPLATES = {
                 " including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,"
                 " and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
 }
+# The same with the usual headers of source files.
+NOTICES = TEMPLATES | {
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-only-header": "you can redistribute it and/or modify it under the terms of the GNU General Public License"
+                           " version 2 as published by the Free Software Foundation",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is"
+           " hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+}
+GRANT = ("you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation,"
+         " either version {} of the License, or (at your option) any later version")
+NOTICES |= {f"{name}-{version}-header": GRANT.format(title, version) for name, title, version in (
+    ("GPL", "General Public License", "2"), ("GPL", "General Public License", "3"),
+    ("LGPL", "Lesser General Public License", "2.1"), ("LGPL", "Lesser General Public License", "3"),
+    ("AGPL", "Affero General Public License", "3"))}
+BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
+       " following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list"
+       " of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright"
+       " notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided"
+       " with the distribution.")
+NOTICES |= {"BSD-2-Clause-text": BSD,
+            "BSD-3-Clause-text": BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be"
+                                       " used to endorse or promote products derived from this software without specific"
+                                       " prior written permission."}
+RELATED = [{"GPL-2.0", "GPL-3.0"}, {k for k in NOTICES if k.endswith("-header")}, {"BSD-2-Clause-text", "BSD-3-Clause-text"}]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -130,16 +159,30 @@ def find(docs: list[list[str]], known: list[Class]) -> list[tuple[int, str, int,
     return [(d, name, a, end, -share) for (d, name), (share, a, end) in sorted(best.items())]
 
 
+def without_relatives(found: list[tuple], sizes: dict[str, int], related: list[set[str]]) -> list[tuple]:
+    """``found`` without matches that a relative in an overlapping window explains better."""
+    by_doc: dict[int, list[tuple]] = {}
+    for f in found:
+        by_doc.setdefault(f[0], []).append(f)
+
+    def better(f: tuple, g: tuple) -> bool:
+        return (g[2] < f[3] and f[2] < g[3] and round(g[4] * sizes[g[1]]) > round(f[4] * sizes[f[1]])
+                and any(f[1] in r and g[1] in r for r in related))
+
+    return [f for f in found if not any(better(f, g) for g in by_doc[f[0]])]
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
+                  text_col: str = "text", related: list[set[str]] | None = None) -> DataFrame:
     """(doc_id, license, first_word, end_word, containment): one row per text and template found in it."""
     notices = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = classes(notices)
+        sizes = {k: len(s) for c in known for k, s in c.sets.items()}
 
         def done(ids, texts):
-            found = find(texts, known)
+            found = without_relatives(find(texts, known), sizes, related or [])
             return pa.RecordBatch.from_arrays(
                 [pa.array([ids[f[0]] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()),
                  pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int64()),

@@ -28,7 +28,7 @@ def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.NOTICES, related=licenses.RELATED)
 
 
 def op6_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
