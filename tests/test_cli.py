@@ -3,7 +3,7 @@
 import json
 import os
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from txsentry.__main__ import main
 from txsentry.session import scratch_path
 

@@ -2,7 +2,7 @@
 
 import statistics
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from pyspark.sql import functions as F
 
 from txsentry.operators import behaviour as B

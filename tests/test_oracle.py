@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 TABLES = ["events", "customer", "nation", "region"]
 ORACLE = E.oracle_sql()

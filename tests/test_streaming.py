@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from txsentry.operators import audit as A
 from txsentry.operators import risk as R
 from txsentry.operators import validate as V
