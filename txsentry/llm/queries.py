@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from txsentry.llm import fingerprints, host_rules, licenses, line_dedup, mixing, sharding, simhash, topk, toxicity, wavelet, whitening
+from txsentry.llm import fingerprints, host_rules, licenses, line_dedup, mixing, prefix_trie, sharding, simhash, topk, toxicity, wavelet, whitening
 from txsentry.llm import sentencepiece_lattice as lattice
 from txsentry.llm.common import table
 
@@ -62,8 +62,13 @@ def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_wavelet_tokens, op3_hash_tree_shards, op4_pivotal_mix, op5_license_scan,
     op6_one_permutation_minhash, op7_sentencepiece_lattice, op8_ordinal_toxicity, op9_simhash_pivots, op10_tiled_top_k,
-    op11_qd_whitening, op12_host_rules)}
-ORACLE = {"op1_line_dedup": line_dedup.SQL, "op10_tiled_top_k": topk.SQL, "op12_host_rules": host_rules.SQL}
+    op11_qd_whitening, op12_host_rules, op13_prefix_trie)}
+ORACLE = {"op1_line_dedup": line_dedup.SQL, "op10_tiled_top_k": topk.SQL, "op12_host_rules": host_rules.SQL,
+          "op13_prefix_trie": prefix_trie.SQL}
