@@ -6,9 +6,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from sf_paths import SF_MID
 from txsentry.llm import fingerprints as P
 from txsentry.llm import wavelet as W
 
@@ -27,14 +29,44 @@ def test_wavelet_matrix_queries():
             where = np.flatnonzero(t == x)
             assert s.rank(x) == len(where) and s.rank(x, n // 2) == (where < n // 2).sum()
             assert [s.select(x, k) for k in range(0, len(where), 7)] == where[::7].tolist()
+            assert s.places(x).tolist() == where.tolist()
+
+
+def check_texts(texts):
+    t, enc = Tokenizer.from_file(PATH), W.TextEncoder(PATH)
+    assert enc.by_piece
+    for w, got, want in zip(texts, enc.encode(pa.array(texts)), t.encode_batch_fast(texts, add_special_tokens=False)):
+        assert got.tolist() == want.ids, repr(w)
 
 
 def test_words_that_nfc_decomposes_equal_the_library():
-    t, enc = Tokenizer.from_file(PATH), W.WordEncoder(PATH)
     stems = ["\u09b9\u09df", "\u09a8\u09df", "\u091c\u095c", "\u0917\u095d", "\u05e9\ufb2a", "İ", "na\u00efve", "e\u0301", "Word", "日本"]
-    words = [stem + end for stem in stems for end in ("", ".", ",", "...", ".,")]
-    for w, got in zip(words, enc.encode(words)):
-        assert np.frombuffer(got, enc.kind).tolist() == t.encode(w, add_special_tokens=False).ids, w
+    check_texts([stem + end for stem in stems for end in ("", ".", ",", "...", ".,")])
+
+
+def test_all_latin_letters_before_marks_equal_the_library():
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    ends = ["", "x", "é", "İ", ".", ",", "...", "$$$", "<|", "'s", "’", ".'s", "!?", "9", " 's", "'LL'd", "\u0301.", "\x1f.", "\xa0a"]
+    check_texts([a + e for a in letters for e in ends] + [a + b for a in letters for b in letters][::7])
+
+
+def test_random_ascii_equals_the_library():
+    rng = random.Random(5)
+    alphabet = "abCD'  .,!<|>09\n\t\r" + "strvemld'"
+    check_texts(["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(20000)])
+
+
+def test_every_word_of_a_table_equals_the_library(spark):
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF_MID}/documents.parquet").collect()]
+    check_texts(texts)
+    check_texts(sorted({w for t in texts for w in t.split()}))
+
+
+def test_a_full_memory_is_filled_anew(monkeypatch):
+    monkeypatch.setattr(W, "CACHED_PIECES", 3)
+    t, enc = Tokenizer.from_file(PATH), W.TextEncoder(PATH)
+    for text in ["one two three four", "five six one", "日本 x y z 日本", "two one", None, "日 本 a"]:
+        assert enc.encode(pa.array([text], pa.string()))[0].tolist() == t.encode(text or "", add_special_tokens=False).ids
 
 
 def order(rows):

@@ -21,12 +21,14 @@ writes no shard and gives empty results; other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -35,90 +37,143 @@ from txsentry.session import scratch_path
 
 SHARD_TOKENS = 1 << 21
 BLOCK = 512
-CACHED_WORDS = 900_000
+BLOCK_BYTES = 4 << 20
+CACHED_PIECES = 900_000
 
 SCHEMA = ("part int, no int, n long, bits int, zeros array<long>, planes array<binary>, ranks array<binary>, "
           "doc_ids array<long>, lengths array<long>")
 
 
-class WordEncoder:
-    """Whole texts through a tokenizer that never joins across spaces.
+# Texts of these characters alone are cut into pieces here, by the tokenizer's
+# own rule: ASCII and those Latin letters whose normal form and lower case are
+# one letter each (the dotted capital I is not: it gains a mark).
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"     # the tokenizer's
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_OTHER = f"[^\\t\\n\\r -~{_LATIN}]|<[|]"
+_NO_LETTERS = f"('s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^ \\t\\n\\r0-9a-z{_LATIN}]+)"
 
-    The tokenizer drops white space and splits at it, so a text's ids are
-    those of its words in a row; words are encoded by the library once and
-    remembered (at most ``CACHED_WORDS``; of a full memory the older half
-    stays, which holds the frequent words).  It also splits letters from
-    points and commas and ignores the case of A-Z, so a word of the letters A-Z
-    with such an end is put together from its parts.  All other words go whole
-    through the library: its normal form may turn a letter into letter and
-    mark, and a mark joins the point behind it.  Words keep their other white
-    space, and special tokens contain none, so the result is the library's.
+
+class TextEncoder:
+    """Whole texts through a tokenizer that encodes piece by piece.
+
+    The tokenizer (normal form, white space, lower case; then pieces of
+    letters, single digits or marks) never joins across pieces, nor across
+    spaces.  So a text's ids are those of its pieces in a row: pieces are
+    encoded by the library once and remembered (at most ``CACHED_PIECES``,
+    then anew).  Texts of plain characters are lower-cased and cut by Arrow
+    (spaces around all that is no letter, then split at white space); their
+    distinct pieces of a block are looked up once each.  Any other texts are
+    cut at their spaces, and the words go whole through the library.  Words
+    keep other white space, special tokens contain none and plain texts no
+    ``<|``, so the result is the library's.
+
+    New pieces go to the library many at a time: each ends in the one token
+    that is an end of word.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {"": b""}
-        self.stems: dict[str, bytes] = {"": b""}
-
-    def _library(self, words: list[str], to: dict[str, bytes]) -> None:
-        for k in range(0, len(words), 4096):
-            part = words[k:k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                to[w] = np.array(e.ids, self.kind).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        whole, parts, ends = [], [], set()
-        for w in words:
-            stem = w.rstrip(".,")
-            if stem.isascii() and stem.isalpha():
-                key = stem.lower()
-                parts.append((w, key, w[len(stem):]))
-                if key not in self.stems:
-                    self.stems[key] = np.array([t.id for t in self.model.tokenize(key)], self.kind).tobytes()
-                if parts[-1][2] not in self.stems:
-                    ends.add(parts[-1][2])
-            else:
-                whole.append(w)
-        self._library(whole, self.known)
-        self._library(list(ends), self.stems)
-        for w, key, end in parts:
-            self.known[w] = self.stems[key] + self.stems[end]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        for name in ("known", "stems"):
-            if len(held := getattr(self, name)) > CACHED_WORDS:
-                setattr(self, name, dict(islice(held.items(), CACHED_WORDS // 2)))
-        self._learn({w for ws in words for w in ws if w not in self.known})
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
-
-
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def _encoder(path: str) -> WordEncoder:
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.word_end = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)])
+        self.by_piece = (bool(self.word_end.any()) and "Lowercase()" in str(self.tokenizer.normalizer)
+                         and _SPLIT in str(self.tokenizer.pre_tokenizer))
+        self.words: dict[str, bytes] = {"": b""}
+        self._forget()
+
+    def _forget(self) -> None:
+        """No pieces: their numbers, and in ``flat`` from ``starts`` on their ids."""
+        self.pieces: dict[str, int] = {"": 0}
+        self.flat, self.used = np.zeros(1 << 16, self.kind), 0
+        self.starts = np.zeros(1 << 14, np.int64)       # the end of piece k is the start of k + 1
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        for k in range(0, len(new), 4096):
+            part = new[k:k + 4096]
+            ids = np.concatenate(self._ids([" ".join(part[i:i + 256]) for i in range(0, len(part), 256)]))
+            ends = np.flatnonzero(self.word_end[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer's pieces do not end in ends of words")
+            n, used = len(self.pieces), self.used
+            while used + len(ids) > len(self.flat):
+                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+            while n + len(part) >= len(self.starts):
+                self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
+            self.flat[used:used + len(ids)] = ids
+            self.starts[n + 1:n + 1 + len(part)] = used + ends
+            self.used += len(ids)
+            self.pieces.update(zip(part, range(n, n + len(part))))
+
+    def _plain(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of every text by pieces."""
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), _NO_LETTERS, r" \1 "))
+        coded = pc.dictionary_encode(cut.flatten())
+        names = coded.dictionary.to_pylist()
+        if len(self.pieces) > CACHED_PIECES:
+            self._forget()
+        self._learn([x for x in names if x not in self.pieces])
+        # Piece numbers start at 1; 0 is the empty piece at a text's ends.
+        number = np.fromiter(map(self.pieces.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy(zero_copy_only=False)]
+        first = self.starts[number]
+        sizes = np.where(number > 0, self.starts[number + 1] - first, 0)
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        ids = self.flat[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])]
+        at = ends[np.asarray(cut.offsets) - cut.offsets[0].as_py()]
+        return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+    def _worded(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text by words."""
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.words) > CACHED_PIECES:
+            self.words = {"": b""}
+        new = list(set().union(*cut) - self.words.keys())
+        for k in range(0, len(new), 4096):
+            part = new[k:k + 4096]
+            self.words.update(zip(part, [x.tobytes() for x in self._ids(part)]))
+        return [np.frombuffer(b"".join(map(self.words.__getitem__, c)), self.kind) for c in cut]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        plain = np.zeros(len(texts), bool)
+        if self.by_piece:
+            plain = ~pc.match_substring_regex(texts, _OTHER).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [None] * len(texts)
+        for rows, run in ((np.flatnonzero(plain), self._plain), (np.flatnonzero(~plain), lambda t: self._worded(t.to_pylist()))):
+            if len(rows):
+                for k, ids in zip(rows.tolist(), run(texts if len(rows) == len(texts) else texts.take(pa.array(rows)))):
+                    out[k] = ids
+        return out
+
+
+_ENCODERS: dict[str, TextEncoder] = {}
+
+
+def _encoder(path: str) -> TextEncoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = TextEncoder(path)
     return _ENCODERS[path]
 
 
 def build(tokens: np.ndarray, bits: int) -> dict:
     """Planes, zeros and block ranks of one shard's tokens."""
     planes, ranks, zeros = [], [], []
-    now = tokens
+    now, words = tokens, BLOCK // 64
     for k in range(bits - 1, -1, -1):
-        b = (now >> k & 1).astype(bool)
-        planes.append(np.packbits(b, bitorder="little").tobytes())
-        starts = np.arange(0, len(b), BLOCK)
-        ones = np.add.reduceat(b, starts, dtype=np.uint32) if len(b) else np.zeros(0, np.uint32)
+        b = (now & tokens.dtype.type(1 << k)) != 0
+        packed = np.packbits(b, bitorder="little")
+        planes.append(packed.tobytes())
+        whole = np.concatenate((packed, np.zeros(-len(packed) % (8 * words), np.uint8)))
+        ones = np.bitwise_count(whole.view(np.uint64)).reshape(-1, words).sum(axis=1, dtype=np.uint32)
         ranks.append(np.concatenate(([0], np.cumsum(ones))).astype("<u4").tobytes())
-        now = np.concatenate((now[~b], now[b]))
-        zeros.append(int(len(b) - b.sum()))
+        up = now[b]
+        now = np.concatenate((now[~b], up))
+        zeros.append(len(b) - len(up))
     return {"n": len(tokens), "bits": bits, "zeros": zeros, "planes": planes, "ranks": ranks}
 
 
@@ -181,6 +236,16 @@ class Shard:
             at = self._select(level, bit, at - self.zeros[level] if bit else at)
         return at
 
+    def places(self, token: int) -> np.ndarray:
+        """Positions of all occurrences, by one select per plane for all of them."""
+        lo, hi = self._range(token, self.n)
+        at = np.arange(lo, hi)
+        for level in range(self.bits - 1, -1, -1) if hi > lo else ():
+            bit = token >> (self.bits - 1 - level) & 1
+            bits = np.unpackbits(self.planes[level], count=self.n, bitorder="little")
+            at = np.flatnonzero(bits == bit)[at - self.zeros[level] if bit else at]
+        return at
+
     def tokens(self) -> np.ndarray:
         """All tokens, plane by plane from the last."""
         now = np.zeros(self.n, np.uint32)
@@ -194,6 +259,15 @@ class Shard:
         return now
 
 
+def pieces(batch: pa.RecordBatch, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows of about ``most`` bytes of text (column 1)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes) // most
+    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else []
+    for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(int(a), int(b - a))
+
+
 def _shards(path: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path)
@@ -204,20 +278,19 @@ def _shards(path: str, end_id: int, shard_tokens: int):
                             ("lengths", pa.list_(pa.int64()))])
         part, no, size = TaskContext.get().partitionId(), 0, 0
         ids, parts = [], []
-        end = np.array([end_id], enc.kind).tobytes()
+        end = np.array([end_id], enc.kind)
 
         def shard():
-            row = build(np.frombuffer(b"".join(parts), enc.kind), bits)
-            row |= {"part": part, "no": no, "doc_ids": ids, "lengths": [len(p) // enc.kind.itemsize for p in parts]}
+            row = build(np.concatenate([x for p in parts for x in (p, end)]), bits)
+            row |= {"part": part, "no": no, "doc_ids": ids, "lengths": [len(p) + 1 for p in parts]}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
-                for i, e in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist())):
+            for some in pieces(batch):
+                for i, e in zip(some.column(0).to_pylist(), enc.encode(some.column(1))):
                     ids.append(i)
-                    parts.append(e + end)
-                    size += len(e) // enc.kind.itemsize + 1
+                    parts.append(e)
+                    size += len(e) + 1
                     if size >= shard_tokens:
                         yield shard()
                         ids, parts, size, no = [], [], 0, no + 1
@@ -281,8 +354,7 @@ def occurrences(shards: DataFrame, token: int) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                s = Shard(row)
-                at = [s.select(token, j) for j in range(s.rank(token))]
+                at = Shard(row).places(token)
                 yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * len(at), pa.int32()),
                                                   pa.array([row["no"]] * len(at), pa.int32()), pa.array(at, pa.int64())],
                                                  names=["part", "no", "at"])
