@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -38,6 +39,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
+
+@contextmanager
+def owned_scratch() -> Iterator[list[str]]:
+    """The paths of all tables that ``written`` makes inside, so that their
+    owner can drop them when what was computed from them has been stored."""
+    paths: list[str] = []
+    token = _owned.set(paths)
+    try:
+        yield paths
+    finally:
+        _owned.reset(token)
+
+
+def drop_scratch(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete scratch tables."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` as a Parquet table in the shared scratch folder, written with ``options``.
 
@@ -46,6 +69,8 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if (owned := _owned.get()) is not None:
+        owned.append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -21,25 +21,37 @@ from pyspark.sql import DataFrame, Window, functions as F
 from txsentry.llm.common import col, fresh, written
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3,
+                row: list[str] | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with the text deduplicated, plus
-    ``n_lines`` (before) and ``n_removed``."""
-    row, wins, ha, hb = fresh([*docs.columns, "n_lines", "n_removed"], "_row", "_wins", "_ha", "_hb")
+    ``n_lines`` (before) and ``n_removed``.
+
+    ``row``: columns that tell the rows apart and are the same at every read
+    of ``docs``; without them the rows are written with numbers.
+    """
+    at_row, wins, ha, hb = fresh([*docs.columns, "n_lines", "n_removed"], "_row", "_wins", "_ha", "_hb")
     lines = F.split(col(text_col), "\n", -1)
 
     # Hashes are columns of their own: inside a lambda an expression would be
     # evaluated anew for every element.
-    hashed = (docs.withColumn(row, F.monotonically_increasing_id()).withColumn(wins, lines)
+    named = docs.withColumn(at_row, F.struct(*[col(c) for c in row]) if row else F.monotonically_increasing_id())
+    hashed = (named.withColumn(wins, lines)
               .withColumn(ha, F.transform(wins, lambda x: F.xxhash64(x)))
               .withColumn(hb, F.transform(wins, lambda x: F.xxhash64(F.lit(1), x))))
     at = F.when(F.size(ha) >= window, F.sequence(F.lit(0), F.size(ha) - window))
     windows = F.transform(at, lambda i: F.struct(
         F.xxhash64(*[F.get(F.col(ha), i + k) for k in range(window)]).alias("a"),
         F.xxhash64(*[F.get(F.col(hb), i + k) for k in range(window)]).alias("b")))
-    # Row ids must not change between the two uses of the rows, so they are written.
-    rows = written(hashed.withColumn(wins, windows).drop(ha, hb), "line-windows")
+    hashed = hashed.withColumn(wins, windows).drop(ha, hb)
+    if row:
+        rows = named
+        slim = written(hashed.select(col(id_col).alias("id"), F.col(at_row).alias("row"), F.col(wins).alias("wins")), "line-windows")
+    else:
+        # Row ids must not change between the two uses of the rows, so they are written.
+        rows = written(hashed, "line-windows")
+        slim = rows.select(col(id_col).alias("id"), F.col(at_row).alias("row"), F.col(wins).alias("wins"))
 
-    occ = (rows.select(col(id_col).alias("id"), F.col(row).alias("row"), F.posexplode(F.col(wins)).alias("pos", "w"))
+    occ = (slim.select("id", "row", F.posexplode("wins").alias("pos", "w"))
            .select("id", "row", "pos", F.col("w.a").alias("a"), F.col("w.b").alias("b")))
     first = (occ.groupBy("a", "b")
              .agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "pos")).alias("first"))
@@ -54,14 +66,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.array_sort(F.collect_list(F.when(F.col("pos") > F.col("from"), F.struct("from", "pos")))).alias("keep"),
         (F.max("pos") + window).alias("tail"),
         F.sum(F.greatest(F.col("pos") - F.col("from"), F.lit(0))).alias("stay"))
-        .withColumnRenamed("row", row + "2"))
+        .withColumnRenamed("row", at_row + "2"))
 
     keep, tail, stay, split = fresh(rows, "_keep", "_tail", "_stay", "_split")
     cover = cover.withColumnsRenamed({"keep": keep, "tail": tail, "stay": stay})
     n_lines = F.when(col(text_col).isNull(), F.lit(0)).otherwise(F.size(split))
     kept = F.concat(F.flatten(F.transform(F.col(keep), lambda s: F.slice(F.col(split), s["from"] + 1, s["pos"] - s["from"]))),
                     F.slice(F.col(split), F.col(tail) + 1, F.greatest(F.size(split) - F.col(tail), F.lit(0))))
-    joined = rows.join(cover, F.col(row) == F.col(row + "2"), "left").withColumn(split, lines)
+    joined = rows.join(cover, F.col(at_row) == F.col(at_row + "2"), "left").withColumn(split, lines)
     gone = F.col(tail).isNotNull()
     return joined.select(
         *[(F.when(gone, F.array_join(kept, "\n")).otherwise(col(c)).alias(c) if c == text_col else col(c))

@@ -9,10 +9,11 @@ document of a source with target t and size s is taken t/s times on average:
 The fractions are rounded together.  Two fractional documents exchange words,
 in a random direction that keeps both expectations, until one of them is
 integral; sums of size x copies do not change.  Every (source, chunk) of the
-corpus is one pass that ends with at most one fractional document; these
-residuals are combined by the same pass over ever fewer chunks (a reduction
-tree), and the last one of a source is rounded by a draw.  A source's words
-therefore miss its target by less than its largest document.
+corpus is one pass, from the largest document to the smallest, that ends with
+at most one fractional document; these residuals are combined by the same pass
+over ever fewer chunks (a reduction tree), and the last one of a source is
+rounded by a draw.  A source's words therefore miss its target by less than the
+size of that last document, which is among the smallest that were open.
 
 All draws are hashes of seed and id, so reruns agree.
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from txsentry.llm.common import col, fresh, positions, shuffle_parts, written
 
@@ -36,6 +37,7 @@ WEIGHTS = (5, 2, 1)
 CHUNK_ROWS = 8192     # documents of one pass, about
 FAN_IN = 512          # chunks whose residuals meet in one pass of the next level
 SMALL_SOURCES = 100_000
+FREQUENT = 2000       # ids with this share of all rows are dealt to many chunks
 
 
 def word_count(text: Column) -> Column:
@@ -43,23 +45,35 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(rows: DataFrame, weights=WEIGHTS, share: float = 1.5, limit: float = 2.0) -> DataFrame:
-    """(source, source_size, target) from rows of (source, size)."""
+    """(source, source_size, target) from rows of (source, size).
+
+    Resharing until no source is above its limit caps the sources in the order
+    of cap / weight: one is capped if, with all before it capped, an equal
+    share by weight of what is left would still exceed its cap.  Sorted once,
+    with prefix sums over tasks and within them, this needs no rounds.
+    """
+    spark = rows.sparkSession
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = positions(sums, [F.col("source").isNull(), F.col("source")], None, "rank", "sources")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    table = written(ranked.withColumn("w", weight).withColumn("cap", F.col("source_size") * limit), "targets")
-    goal = (table.agg(F.sum("source_size")).first()[0] or 0) * share
-    level, done = 0.0, None
-    while True:  # words per unit of weight; each round caps every source above its limit
-        below = F.col("cap") <= F.col("w") * level
-        r = table.agg(F.sum(F.when(below, F.col("cap"))), F.sum(F.when(~below, F.col("w"))),
-                      F.count(F.when(below, 1)), F.count("*")).first()
-        if r[2] == done or not r[1]:
-            break
-        done = r[2]
-        level = (goal - (r[0] or 0.0)) / r[1]
-    target = F.least("cap", F.col("w") * level) if r[1] else F.col("cap")
-    return table.select("source", "source_size", target.alias("target"))
+    order = ["ratio", "rank"]
+    table = written(ranked.withColumn("w", weight).withColumn("cap", F.col("source_size") * limit)
+                    .withColumn("ratio", F.col("cap") / F.col("w"))
+                    .repartitionByRange(shuffle_parts(spark), *order).withColumn("part", F.spark_partition_id()), "targets")
+    before = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = table.groupBy(F.col("part").alias("p")).agg(F.sum("cap").alias("c"), F.sum("w").alias("v"))
+    parts = parts.select("p", *[F.coalesce(F.sum(x).over(earlier), F.lit(0.0)).alias(x + "0") for x in ("c", "v")])   # one row a task
+    total = table.agg(F.sum("source_size"), F.sum("w")).first()
+    goal, all_w = (total[0] or 0) * share, total[1] or 0.0
+    caps = F.col("c0") + F.coalesce(F.sum("cap").over(before), F.lit(0.0))
+    left = F.lit(all_w) - F.col("v0") - F.coalesce(F.sum("w").over(before), F.lit(0.0))
+    placed = (table.join(F.broadcast(parts), F.col("part") == F.col("p"))
+              .withColumn("capped", F.col("ratio") * left <= F.lit(goal) - caps))
+    placed = written(placed.select("source", "source_size", "w", "cap", "capped"), "capped")
+    r = placed.agg(F.sum(F.when(F.col("capped"), F.col("cap"))), F.sum(F.when(~F.col("capped"), F.col("w")))).first()
+    level = (goal - (r[0] or 0.0)) / r[1] if r[1] else 0.0      # words per unit of weight
+    return placed.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.least("cap", F.col("w") * level)).alias("target"))
 
 
 def _uniform(seed: int, *parts: int) -> float:
@@ -117,6 +131,14 @@ def _one_pass(seed: int, level: int):
     return run
 
 
+def _frequent(rows: DataFrame, chunk_rows: int) -> list[int]:
+    """Ids with more than ``chunk_rows`` rows, of those with at least 1/``FREQUENT`` of all rows."""
+    found = rows.stat.freqItems(["id"], 1 / FREQUENT).first()[0]      # at most FREQUENT candidates
+    found = [x for x in found if x is not None]
+    counts = rows.filter(F.col("id").isin(found)).groupBy("id").agg(F.count("*").alias("n"))
+    return sorted(r.id for r in counts.filter(F.col("n") > chunk_rows).collect())
+
+
 def copies(rows: DataFrame, seed: int = 4, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN, **shares) -> DataFrame:
     """(row, id, size, source_size, target, copies) for rows of (row, id,
     source, size); ``row`` must be unique."""
@@ -126,8 +148,11 @@ def copies(rows: DataFrame, seed: int = 4, chunk_rows: int = CHUNK_ROWS, fan_in:
     chunks = max(1, -(-n // chunk_rows))
     if n_sources <= SMALL_SOURCES:
         targets = F.broadcast(targets)
-    salt = F.when(F.col("id").isNull(), F.col("row")).otherwise(F.lit(0))
-    key = F.xxhash64(F.lit(seed), F.col("id"), salt)
+    # Rows without an id, and those of an id that fills many chunks, go by their place.
+    apart = F.col("id").isNull()
+    if chunks > 1 and (many := _frequent(rows, chunk_rows)):
+        apart = apart | F.col("id").isin(many)
+    key = F.xxhash64(F.lit(seed), F.col("id"), F.when(apart, F.xxhash64("row")).otherwise(F.lit(0)))
     s = targets.withColumnRenamed("source", "src")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     open_rows = (rows.join(s, F.col("source").eqNullSafe(F.col("src")))
@@ -140,7 +165,7 @@ def copies(rows: DataFrame, seed: int = 4, chunk_rows: int = CHUNK_ROWS, fan_in:
     while True:
         parts = min(shuffle_parts(spark), chunks)
         dealt = (open_rows.repartition(parts, "chunk")
-                 .sortWithinPartitions("chunk", "source", "key", "row"))
+                 .sortWithinPartitions("chunk", "source", F.desc("size"), "key", "row"))
         out = written(dealt.mapInArrow(_one_pass(seed, level), dealt.schema), f"mix-{level}")
         settled = out.filter("open IS NULL")
         done = settled if done is None else done.unionByName(settled)
@@ -163,13 +188,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                                           (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: every row as often as it is taken."""
-    row, n = fresh(docs, "_row", "_copies")
-    held = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
-    rows = written(held.select(F.col(row).alias("row"), col(id_col).cast("long").alias("id"),
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+          row: list[str] | None = None, **options) -> DataFrame:
+    """The mix itself: every row as often as it is taken.
+
+    ``row``: columns that tell the rows apart and are the same at every read
+    of ``docs``; without them the rows are written with numbers.
+    """
+    at_row, n = fresh(docs, "_row", "_copies")
+    held = docs.withColumn(at_row, F.struct(*[col(c) for c in row]) if row else F.monotonically_increasing_id())
+    if not row:
+        held = written(held, "mix-docs")
+    rows = written(held.select(F.col(at_row).alias("row"), col(id_col).cast("long").alias("id"),
                                col(source_col).cast("string").alias("source"), word_count(col(text_col)).alias("size")), "mix-rows")
-    taken = copies(rows, **options).filter("copies > 0").select(F.col("row").alias(row + "2"), F.col("copies").alias(n))
-    return (held.join(taken, F.col(row) == F.col(row + "2"))
+    taken = copies(rows, **options).filter("copies > 0").select(F.col("row").alias(at_row + "2"), F.col("copies").alias(n))
+    return (held.join(taken, F.col(at_row) == F.col(at_row + "2"))
             .withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))
             .select(*[col(c) for c in docs.columns]))

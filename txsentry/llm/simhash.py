@@ -155,14 +155,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
-             bucket: int = BUCKET) -> DataFrame:
+             bucket: int = BUCKET, row: list[str] | None = None) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id
-    (null ids last, repeated ids by their place in the table)."""
-    row, fp = fresh(docs, "_row", "_fp")
-    held = written(docs.withColumn(row, F.monotonically_increasing_id())
-                   .withColumn(fp, fingerprint(col(text_col), words)), "simhash-docs")
-    slim = held.select(col(id_col).alias("id"), F.col(row).alias("row"), F.col(fp).alias("fp"))
+    (null ids last, repeated ids by their place in the table).
+
+    ``row``: columns that tell the rows apart and are the same at every read
+    of ``docs``; without them the rows are written with numbers.
+    """
+    at_row, fp = fresh(docs, "_row", "_fp")
+    held = docs.withColumn(at_row, F.struct(*[col(c) for c in row]) if row else F.monotonically_increasing_id())
+    slim = [col(id_col).alias("id"), F.col(at_row).alias("row")]
+    if row:
+        slim = written(held.select(*slim, fingerprint(col(text_col), words).alias("fp")), "simhash")
+    else:
+        held = written(held.withColumn(fp, fingerprint(col(text_col), words)), "simhash-docs")
+        slim = held.select(*slim, F.col(fp).alias("fp"))
     low = slim.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("low"))
     reps = (_rooted(slim, bucket).join(low, "fp").groupBy("root").agg(F.min("low").alias("low"))
             .select(F.col("low.row").alias("_rep")))
-    return held.join(reps, F.col(row) == F.col("_rep"), "left_semi").drop(row, fp)
+    return held.join(reps, F.col(at_row) == F.col("_rep"), "left_semi").drop(at_row, fp)

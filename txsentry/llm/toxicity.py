@@ -170,10 +170,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marked = (labels.filter(col(label_col).isNotNull() & col(id_col).isNotNull())
               .groupBy(col(id_col).alias("id")).agg(F.max((col(label_col) > 0).cast("int")).alias("toxic")))
     share = min(1.0, sample_rows / max(1, marked.count()))
-    # About sample_rows rows, whatever the table's size.
+    # About sample_rows ids, whatever the table's size ...
     chosen = F.broadcast(marked.filter(F.pmod(F.xxhash64(F.lit(8), "id"), F.lit(1 << 30)) < int(share * (1 << 30))))
-    sample = (docs.select(col(id_col).alias("id"), col(text_col).alias("text")).filter("text IS NOT NULL")
-              .join(chosen, "id").select("text", "toxic").repartition(1).sortWithinPartitions("text", "toxic"))
+    found = (docs.select(col(id_col).alias("id"), col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
+             .filter("text IS NOT NULL").join(chosen, "id"))
+    # ... and about as many rows, should ids repeat.
+    rows = found.count()
+    if rows > 1.25 * sample_rows:
+        found = found.filter(F.pmod(F.xxhash64(F.lit(9), "id", "text", "place"), F.lit(1 << 30)) < int(sample_rows / rows * (1 << 30)))
+    sample = found.select("text", "toxic").repartition(1).sortWithinPartitions("text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = train((t.as_py(), y.as_py()) for b in batches for t, y in zip(b.column(0), b.column(1)))
