@@ -59,8 +59,8 @@ class TextEncoder:
     The tokenizer (normal form, white space, lower case; then pieces of
     letters, single digits or marks) never joins across pieces, nor across
     spaces.  So a text's ids are those of its pieces in a row: pieces are
-    encoded by the library once and remembered (at most ``CACHED_PIECES``,
-    then anew).  Texts of plain characters are lower-cased and cut by Arrow
+    encoded by the library once and remembered (at most ``CACHED_PIECES``; of
+    a full memory the older half stays, which holds the frequent ones).  Texts of plain characters are lower-cased and cut by Arrow
     (spaces around all that is no letter, then split at white space); their
     distinct pieces of a block are looked up once each.  Any other texts are
     cut at their spaces, and the words go whole through the library.  Words
@@ -82,10 +82,7 @@ class TextEncoder:
         self.by_piece = (bool(self.word_end.any()) and "Lowercase()" in str(self.tokenizer.normalizer)
                          and _SPLIT in str(self.tokenizer.pre_tokenizer))
         self.words: dict[str, bytes] = {"": b""}
-        self._forget()
-
-    def _forget(self) -> None:
-        """No pieces: their numbers, and in ``flat`` from ``starts`` on their ids."""
+        # Numbers of the pieces, and their ids in ``flat`` from ``starts`` on.
         self.pieces: dict[str, int] = {"": 0}
         self.flat, self.used = np.zeros(1 << 16, self.kind), 0
         self.starts = np.zeros(1 << 14, np.int64)       # the end of piece k is the start of k + 1
@@ -115,8 +112,9 @@ class TextEncoder:
         cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), _NO_LETTERS, r" \1 "))
         coded = pc.dictionary_encode(cut.flatten())
         names = coded.dictionary.to_pylist()
-        if len(self.pieces) > CACHED_PIECES:
-            self._forget()
+        if len(self.pieces) > CACHED_PIECES:      # numbers are given in order: the older half stays
+            self.pieces = dict(islice(self.pieces.items(), CACHED_PIECES // 2))
+            self.used = int(self.starts[len(self.pieces)])
         self._learn([x for x in names if x not in self.pieces])
         # Piece numbers start at 1; 0 is the empty piece at a text's ends.
         number = np.fromiter(map(self.pieces.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy(zero_copy_only=False)]
@@ -131,7 +129,7 @@ class TextEncoder:
         """Ids of every text by words."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.words) > CACHED_PIECES:
-            self.words = {"": b""}
+            self.words = dict(islice(self.words.items(), CACHED_PIECES // 2))
         new = list(set().union(*cut) - self.words.keys())
         for k in range(0, len(new), 4096):
             part = new[k:k + 4096]
@@ -248,13 +246,13 @@ class Shard:
 
     def tokens(self) -> np.ndarray:
         """All tokens, plane by plane from the last."""
-        now = np.zeros(self.n, np.uint32)
+        now = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
-            b = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            b = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             up = np.empty_like(now)
             z = self.zeros[level]
             up[~b] = now[:z]
-            up[b] = now[z:] | np.uint32(1 << (self.bits - 1 - level))
+            up[b] = now[z:] | now.dtype.type(1 << (self.bits - 1 - level))
             now = up
         return now
 
