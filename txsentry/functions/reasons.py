@@ -85,6 +85,12 @@ def top_reasons(rules: list[Column], k: int = TOP_K) -> Column:
     return F.transform(F.slice(ordered, 1, k), lambda x: x["r"])
 
 
+def risk_sum(rules: list[Column]) -> Column:
+    """Sum of the contributions that raise the risk, at most 1."""
+    raised = [F.when(r["direction"] == UP, r["contribution"]).otherwise(0.0) for r in rules]
+    return F.least(F.lit(1.0), sum((F.coalesce(x, F.lit(0.0)) for x in raised[1:]), F.coalesce(raised[0], F.lit(0.0))))
+
+
 def display_label(feature: Column) -> Column:
     """``card_not_present`` -> ``Card Not Present``."""
     return F.initcap(F.regexp_replace(feature, "_", " "))

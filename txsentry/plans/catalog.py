@@ -28,5 +28,5 @@ def load_all() -> None:
     """Import every query module so their registrations run."""
     from txsentry.plans import (  # noqa: F401
         q_audit, q_behaviour, q_evaluate, q_features, q_models, q_prepare,
-        q_reasons, q_risk, q_sources, q_streaming, q_validate,
+        q_reasons, q_requests, q_risk, q_sources, q_streaming, q_validate,
     )

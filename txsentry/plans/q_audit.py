@@ -1,8 +1,9 @@
 """Registered audit-log queries.
 
 The audit rows are the stand-in predictions of the whole feed (risk tier,
-decision and reasons from the scored view).  A1, A2, A3 and A7 write to a fresh
-table in the session's shared work folder and read it back.
+decision and reasons from the scored view).  A1-A3 and A5-A7 write to a fresh
+table in the session's shared work folder and read it back; reads of the newest
+rows go through the log's zone manifest.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from txsentry.functions import risk as R
 from txsentry.operators import audit as A
+from txsentry.operators import audit_log as L
 from txsentry.operators import reasons as X
 from txsentry.operators import risk as risk_ops
 from txsentry.plans.catalog import query
@@ -92,8 +94,8 @@ SELECT id, transaction_id, decision, strftime(created_at, {_TS}) AS created_at
 FROM recent LIMIT 20"""))
 def q_audit_recent(spark, sf_dir):
     path = scratch_path(spark, "audit-recent")
-    A.audit_append(_audit(spark, sf_dir), path)
-    r = A.recent_from_table(spark, path, 20)
+    L.append(_audit(spark, sf_dir), path, "feed")
+    r = L.newest(spark, path, 20)
     return r.select("id", "transaction_id", "decision",
                     F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
 
@@ -122,7 +124,9 @@ SELECT count(*) AS window_size, count(*) FILTER (WHERE decision = 'BLOCK') AS bl
   count(*) FILTER (WHERE decision = 'ALLOW') AS allows
 FROM (SELECT * FROM recent LIMIT 100) r"""))
 def q_audit_stats(spark, sf_dir):
-    return A.decision_window_stats(_audit(spark, sf_dir), 100)
+    path = scratch_path(spark, "audit-stats")
+    L.append(_audit(spark, sf_dir), path, "feed")
+    return A.decision_window_stats(L.newest(spark, path, 100), 100)
 
 
 @query("dashboard_stats", _sql("""
@@ -131,7 +135,9 @@ SELECT count(*) AS total, count(*) FILTER (WHERE decision = 'ALLOW') AS allowed,
   count(*) FILTER (WHERE decision = 'BLOCK') AS blocked
 FROM (SELECT * FROM recent LIMIT 15) r"""))
 def q_dashboard_stats(spark, sf_dir):
-    return A.dashboard_stats(_audit(spark, sf_dir), 15)
+    path = scratch_path(spark, "audit-dashboard")
+    L.append(_audit(spark, sf_dir), path, "feed")
+    return A.dashboard_stats(L.newest(spark, path, 15), 15)
 
 
 @query("audit_lookup", _sql("""

@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from txsentry.operators import audit_log as L
 from txsentry.operators import reasons as X
 from txsentry.operators import risk as risk_ops
 from txsentry.plans.catalog import query
@@ -103,7 +104,7 @@ def q_stream_audit(spark, sf_dir):
     pred = X.with_top_reasons(risk_ops.assess(scored_from(T.transactions_stream(spark, sf_dir))))
     path = scratch_path(spark, "audit-stream")
     T.audit_to_table(pred, path, scratch_path(spark, "ck-audit")).awaitTermination()
-    return spark.read.parquet(path).select("transaction_id", "decision")
+    return L.read(spark, path).select("transaction_id", "decision")
 
 
 @query("stream_score")

@@ -21,6 +21,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txsentry.functions import reasons as reason_rules
 from txsentry.functions import risk as R
 from txsentry.operators import evaluate as Q
 from txsentry.operators import iforest as IF
@@ -95,6 +96,27 @@ def assessed(scorer: Scorer, df: DataFrame) -> DataFrame:
     return risk_ops.assess(out, scorer.thresholds)
 
 
+def responses(scorer: Scorer, df: DataFrame) -> DataFrame:
+    """Request rows plus the response columns (rounded scores, tier, decision,
+    reasons); the request's own columns, its timestamp included, stay."""
+    return X.with_top_reasons(assessed(scorer, df)).withColumns(
+        {c: R.rounded(c) for c in ("fraud_probability", "anomaly_score")})
+
+
+AMOUNT_SCALE = 5000.0
+
+
+def rule_responses(df: DataFrame, thresholds: RiskThresholds = DEFAULT_THRESHOLDS) -> DataFrame:
+    """As ``responses`` without any trained model: the explanation rules' risk
+    contributions, summed, stand for the probability, and the amount against
+    ``AMOUNT_SCALE`` for the anomaly score."""
+    amount = F.coalesce(F.col("amount"), F.lit(0.0))
+    scored = df.withColumns({"fraud_probability": reason_rules.risk_sum(reason_rules.all_reasons()),
+                             "anomaly_score": amount / (amount + AMOUNT_SCALE)})
+    return X.with_top_reasons(risk_ops.assess(scored, thresholds)).withColumns(
+        {c: R.rounded(c) for c in ("fraud_probability", "anomaly_score")})
+
+
 def score(scorer: Scorer, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Prediction rows for every input row (response shape plus the
     columns in ``keep``)."""

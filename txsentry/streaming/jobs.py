@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txsentry.operators import audit as A
+from txsentry.operators import audit_log as L
 from txsentry.operators import validate as V
 from txsentry.sources.tables import read_table, transactions_from
 
@@ -125,16 +126,15 @@ def validate_to_tables(raw: DataFrame, accepted_path: str, quarantine_path: str,
 
 def audit_to_table(pred: DataFrame, path: str, checkpoint: str, id_col: str | None = None,
                    trigger: dict = AVAILABLE_NOW):
-    """Audit rows per micro-batch; ids hash (run, batch, transaction), and
-    the partition of this run's batch is overwritten, so a replay is idempotent
-    and a run with a new checkpoint keeps the earlier rows."""
+    """Every micro-batch is one append of the audit log (``operators.audit_log``:
+    day folders and a manifest row).  Ids hash (run, batch, transaction); a
+    replayed batch is not written again, and a run with a new checkpoint keeps
+    the earlier rows."""
     run = run_of(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = A.audit_rows(batch, id_col=id_col, batch_id=f"{run}-{batch_id}")
-        (rows.withColumns({"run_id": F.lit(run), "batch_id": F.lit(batch_id)})
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("run_id", "batch_id").parquet(path))
+        key = f"{run}-{batch_id}"
+        L.append(A.audit_rows(batch, id_col=id_col, batch_id=key), path, key)
 
     return (pred.writeStream.foreachBatch(write)
                 .option("checkpointLocation", checkpoint).trigger(**trigger).start())
