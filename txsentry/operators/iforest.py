@@ -9,8 +9,9 @@ lowest priority and grows one isolation tree on them with numpy.  Null and
 repeated ids are no special case.  A tree without any row is an error.  The
 result is a node table of at most n_trees * (2 * psi - 1) rows.
 
-Score: the node table is bounded by (n_trees, psi), so it is broadcast; a
-``pandas_udf`` walks all trees for an Arrow batch of rows at once.  The raw
+Score: the node table is bounded by (n_trees, psi), so it is broadcast, laid
+out as bit vectors (``ForestBits``); a ``pandas_udf`` finds the leaves of an
+Arrow batch of rows in all trees of a chunk at once.  The raw
 score is -2^(-E[h(x)] / c(psi)) (higher = more normal), so the normalised
 anomaly score 1 - (raw - min) / (max - min) does not depend on the
 contamination offset of other implementations.
@@ -97,6 +98,104 @@ def _fit_tree_fn(feature_cols: list[str], psi: int, seed: int):
     return fit
 
 
+class ForestBits:
+    """A forest as bit vectors, which finds the leaves of a batch of rows
+    without walking its trees.
+
+    The leaves of a tree are numbered from left to right.  For a feature, the
+    thresholds of one tree divide its values into ranks, and every rank has the
+    set of leaves that the tests on this feature leave open, as a mask of bits.
+    The sets of all features have exactly one leaf in common: the one that the
+    row reaches.  A batch costs, per feature, one search among the sorted
+    thresholds of a chunk of trees, one lookup of the ranks of all its trees and
+    one AND.  Size: at most (2 psi - 1) masks a tree, and a rank per threshold
+    and tree of the same chunk.
+    """
+
+    CHUNK = 64          # trees looked up together
+    ROWS = 256          # rows of one block, so that its masks stay in cache
+
+    def __init__(self, nodes: pd.DataFrame, n_features: int):
+        ordered = nodes.sort_values(["tree", "node"])
+        trees = [self._tree(t) for _, t in ordered.groupby("tree", sort=True)]
+        self.words = max(1, -(-max(len(t[0]) for t in trees) // 64))
+        self.chunks = [self._chunk(trees[k:k + self.CHUNK], n_features) for k in range(0, len(trees), self.CHUNK)]
+
+    @staticmethod
+    def _tree(t: pd.DataFrame):
+        """(path length of every leaf, {feature: [(threshold, left leaves, right leaves)]})."""
+        feature, threshold, left, right, size = (t[c].tolist() for c in ("feature", "threshold", "left", "right", "size"))
+        lengths: list[tuple[int, int]] = []
+        span: dict[int, tuple[int, int]] = {}
+        tests: dict[int, list[tuple[float, tuple[int, int], tuple[int, int]]]] = {}
+        stack = [(0, 0, False)]
+        while stack:                   # left to right; a node's leaves are known after both sides
+            k, depth, done = stack.pop()
+            if feature[k] < 0:
+                span[k] = (len(lengths), len(lengths) + 1)
+                lengths.append((depth, size[k]))
+            elif done:
+                span[k] = (span[left[k]][0], span[right[k]][1])
+                tests.setdefault(feature[k], []).append((threshold[k], span[left[k]], span[right[k]]))
+            else:
+                stack += [(k, depth, True), (right[k], depth + 1, False), (left[k], depth + 1, False)]
+        depth, rows = np.array(lengths, float).T
+        return depth + c_factor(rows), tests
+
+    def _mask(self, closed: tuple[int, int]) -> np.ndarray:
+        """All bits but those of the leaves in ``closed``."""
+        whole = (1 << 64 * self.words) - 1
+        bits = whole & ~((1 << closed[1]) - (1 << closed[0]))
+        return np.frombuffer(bits.to_bytes(8 * self.words, "little"), "<u8")
+
+    def _chunk(self, trees: list, n_features: int):
+        """(values, all leaves by word, per feature: sorted thresholds, each tree's mask number by rank, masks by word)."""
+        values = np.zeros((len(trees), 64 * self.words))
+        whole = np.array([~self._mask((0, len(lengths))) for lengths, _ in trees]).T[:, None, :].copy()
+        features = []
+        for f in range(n_features):
+            cuts = np.unique([t for _, tests in trees for t, _, _ in tests.get(f, ())])
+            ranks = np.zeros((len(cuts) + 1, len(trees)), np.int64)
+            first, masks = np.zeros(len(trees), np.int64), []
+            for k, (lengths, tests) in enumerate(trees):
+                values[k, :len(lengths)] = lengths
+                own = sorted(tests.get(f, ()), key=lambda x: x[0])
+                first[k] = len(masks)
+                ranks[:, k] = np.searchsorted([x[0] for x in own], np.concatenate(([-np.inf], cuts)), side="right")
+                below = [self._mask(left) for _, left, _ in own]        # value >= threshold: not to the left
+                above = [self._mask(right) for _, _, right in own]      # value < threshold: not to the right
+                open_all = self._mask((0, 0))
+                after = [open_all]
+                for m in reversed(above):
+                    after.append(after[-1] & m)
+                before = open_all
+                for r in range(len(own) + 1):
+                    masks.append(before & after[len(own) - r])
+                    before = before & below[r] if r < len(own) else before
+            if len(cuts):
+                by_word = np.ascontiguousarray(np.array(masks).T)
+                features.append((f, cuts, (ranks + first).astype(np.int32), by_word))
+        return values, whole, features
+
+    def path_lengths(self, x: np.ndarray) -> np.ndarray:
+        """Sum over all trees of the path length of each row (NaN goes right)."""
+        total = np.zeros(len(x))
+        for a in range(0, len(x), self.ROWS):
+            rows = x[a:a + self.ROWS]
+            for values, whole, features in self.chunks:
+                left = np.repeat(whole, len(rows), axis=1)
+                for f, cuts, ranks, masks in features:
+                    at = ranks.take(np.searchsorted(cuts, rows[:, f], side="right"), axis=0).astype(np.intp)
+                    for w in range(self.words):
+                        left[w] &= masks[w].take(at)
+                # One bit is left in one of the words: its place is the number of bits below it.
+                leaf = np.zeros(left.shape[1:], np.intp)
+                for w in range(self.words):
+                    leaf += np.where(left[w] != 0, 64 * w + np.bitwise_count(left[w] - np.uint64(1)), 0)
+                total[a:a + self.ROWS] += values[np.arange(len(values)), leaf].sum(axis=1)
+        return total
+
+
 @dataclass
 class IsolationForestModel:
     nodes: pd.DataFrame          # NODE_SCHEMA rows, collected (bounded size)
@@ -106,58 +205,17 @@ class IsolationForestModel:
     score_min: float = 0.0
     score_max: float = 1.0
 
-    def arrays(self):
-        """Dense (tree, node) arrays for scoring; ``value`` holds, for leaves,
-        the path length credited to a row ending there (depth + c(size))."""
-        nodes = self.nodes.sort_values(["tree", "node"])
-        width = int(nodes.groupby("tree")["node"].max().max()) + 1
-        shape = (self.n_trees, width)
-        feat = np.full(shape, -1, np.int32)
-        thr = np.zeros(shape)
-        lft = np.zeros(shape, np.int32)
-        rgt = np.zeros(shape, np.int32)
-        size = np.zeros(shape)
-        tr, nd = nodes["tree"].to_numpy(), nodes["node"].to_numpy()
-        feat[tr, nd] = nodes["feature"].to_numpy()
-        thr[tr, nd] = nodes["threshold"].to_numpy()
-        lft[tr, nd] = np.maximum(nodes["left"].to_numpy(), 0)
-        rgt[tr, nd] = np.maximum(nodes["right"].to_numpy(), 0)
-        size[tr, nd] = nodes["size"].to_numpy()
-        depth = np.zeros(shape)
-        for t in range(self.n_trees):   # children always follow their parent
-            for k in range(width):
-                if feat[t, k] >= 0:
-                    depth[t, lft[t, k]] = depth[t, rgt[t, k]] = depth[t, k] + 1
-        value = depth + c_factor(size)
-        return feat, thr, lft, rgt, value
-
     def raw_score(self, spark) -> Column:
         """Column expression: raw score of the feature columns (higher = more normal)."""
-        bc = spark.sparkContext.broadcast(self.arrays())
+        bc = spark.sparkContext.broadcast(ForestBits(self.nodes, len(self.feature_cols)))
         roots = self.nodes.loc[self.nodes["node"] == 0, "size"].to_numpy()
         c_psi = float(c_factor(roots).mean())      # of the rows the trees were grown on
         n_trees = self.n_trees
 
         @F.pandas_udf("double")
         def score(*cols: pd.Series) -> pd.Series:
-            feat, thr, lft, rgt, value = bc.value
             x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-            flat = x.ravel()                      # row-major: value (i, f) at i * F + f
-            base = np.arange(len(x)) * x.shape[1]
-            total = np.zeros(len(x))
-            for t in range(n_trees):
-                f_t, thr_t, l_t, r_t = feat[t], thr[t], lft[t], rgt[t]
-                node = np.zeros(len(x), dtype=np.int32)
-                f = f_t.take(node)
-                internal = f >= 0
-                while internal.any():
-                    go_left = flat.take(base + np.maximum(f, 0)) < thr_t.take(node)
-                    node = np.where(internal, np.where(go_left, l_t.take(node), r_t.take(node)),
-                                    node)
-                    f = f_t.take(node)
-                    internal = f >= 0
-                total += value[t].take(node)
-            return pd.Series(-np.power(2.0, -(total / n_trees) / c_psi))
+            return pd.Series(-np.power(2.0, -(bc.value.path_lengths(x) / n_trees) / c_psi))
 
         return score(*[F.col(c) for c in self.feature_cols])
 

@@ -5,13 +5,18 @@ learning rate 0.05, row subsample 0.8, 80% of the features, positive class
 weight 10.  Spark's feature subset is drawn per node, not per tree, so
 probabilities are not digit-for-digit those of other libraries.  300 rounds
 and 300 trees are the parity settings and the defaults; queries use these.
+
+Rounds and levels are jobs over all fitted rows, so these are bounded: at most
+``MAX_CLASS_ROWS`` labelled rows of each class, drawn and weighted by
+``bounded_sample`` and kept in memory while the model is fitted.  Everything
+else (encoder, scaler, forest bounds, scoring, metrics) covers all rows.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txsentry.operators.prepare import with_weights
@@ -20,26 +25,78 @@ GBT_PARITY_ROUNDS = 300
 RF_PARITY_TREES = 300
 
 
-def _weighted(train: DataFrame, label: str, mode: str) -> DataFrame:
-    return (with_weights(train, label, mode).filter(F.col("weight").isNotNull())
-            .withColumn(label, F.col(label).cast("double")))
+# The one bound on labelled rows: at most so many of each class are fitted.
+MAX_CLASS_ROWS = 100_000
+ROWS_PER_TASK = 50_000      # of the fitted sample; each round is a job per tree level
+_HASHES = 1 << 62
+
+
+def bounded_sample(df: DataFrame, label: str = "is_fraud", max_rows: int = MAX_CLASS_ROWS, seed: int = 42,
+                   key: tuple[str, ...] = ("transaction_id", "features")) -> DataFrame:
+    """At most ``max_rows`` rows of each class (0, 1) with ``sample_weight``.
+
+    A class that is larger gives its ``max_rows`` rows of lowest seeded hash of
+    ``key`` (bottom-k sampling), each weighing n / max_rows, so sums over the
+    class keep their expectation; smaller classes are whole and weigh 1.  Rows
+    of other labels are left out.  Only hashes below a bound that some more
+    than ``max_rows`` rows are expected to stay under reach the ranking.
+    """
+    counts = df.agg(*[F.count_if(F.col(label) == c).alias(f"n{c}") for c in (0, 1)]).first()
+    n = {c: counts[f"n{c}"] for c in (0, 1)}
+    if max(n.values()) <= max_rows:
+        return df.filter(F.col(label).isin(0, 1)).withColumn("sample_weight", F.lit(1.0))
+    parts = [vector_to_array(F.col(c)) if df.schema[c].dataType.typeName() == "vector" or "VectorUDT" in str(df.schema[c].dataType)
+             else F.col(c) for c in key if c in df.columns]
+    keyed = df.withColumn("_hash", F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(_HASHES)))
+    share = {c: min(1.0, 1.2 * max_rows / max(n[c], 1)) for c in n}
+    while True:
+        below = [(F.col(label) == c) & (F.col("_hash") <= int(share[c] * _HASHES)) for c in n]
+        near = keyed.filter(below[0] | below[1])
+        got = near.agg(*[F.count_if(F.col(label) == c).alias(f"n{c}") for c in n]).first()
+        short = [c for c in n if got[f"n{c}"] < min(n[c], max_rows)]
+        if not short:
+            break
+        for c in short:             # rows with one key share a hash and may lie above the bound together
+            share[c] = min(1.0, 4 * share[c])
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_hash"))
+    weight = F.when(F.col(label) == 1, n[1] / max(1, min(n[1], max_rows))).otherwise(n[0] / max(1, min(n[0], max_rows)))
+    return (near.withColumn("_rank", rank).filter(F.col("_rank") <= max_rows)
+            .withColumn("sample_weight", weight.cast("double")).drop("_hash", "_rank"))
+
+
+def _weighted(train: DataFrame, label: str, mode: str, max_rows: int, seed: int, features: str) -> DataFrame:
+    """The fitted sample: class weight times sampling weight, in few partitions."""
+    weighted = with_weights(train, label, mode).filter(F.col("weight").isNotNull())
+    rows = (bounded_sample(weighted, label, max_rows, seed, ("transaction_id", features))
+            .select(features, F.col(label).cast("double").alias(label), (F.col("weight") * F.col("sample_weight")).alias("weight")))
+    return rows.coalesce(max(1, -(-2 * max_rows // ROWS_PER_TASK)))
+
+
+def _fit(estimator, data: DataFrame):
+    data = data.persist()
+    try:
+        return estimator.fit(data)
+    finally:
+        data.unpersist()
 
 
 def train_gbt(train: DataFrame, max_iter: int = GBT_PARITY_ROUNDS, seed: int = 42,
-              features: str = "features", label: str = "is_fraud"):
-    data = _weighted(train, label, "scale")
+              features: str = "features", label: str = "is_fraud", max_rows: int = MAX_CLASS_ROWS):
+    """Boosted trees on at most ``max_rows`` rows of each class (``bounded_sample``)."""
+    data = _weighted(train, label, "scale", max_rows, seed, features)
     gbt = GBTClassifier(featuresCol=features, labelCol=label, weightCol="weight",
                         maxIter=max_iter, maxDepth=6, stepSize=0.05, subsamplingRate=0.8,
                         featureSubsetStrategy="0.8", seed=seed)
-    return gbt.fit(data)
+    return _fit(gbt, data)
 
 
 def train_rf(train: DataFrame, num_trees: int = RF_PARITY_TREES, seed: int = 42,
-             features: str = "features", label: str = "is_fraud"):
-    data = _weighted(train, label, "balanced")
+             features: str = "features", label: str = "is_fraud", max_rows: int = MAX_CLASS_ROWS):
+    """A random forest on at most ``max_rows`` rows of each class (``bounded_sample``)."""
+    data = _weighted(train, label, "balanced", max_rows, seed, features)
     rf = RandomForestClassifier(featuresCol=features, labelCol=label, weightCol="weight",
                                 numTrees=num_trees, maxDepth=12, seed=seed)
-    return rf.fit(data)
+    return _fit(rf, data)
 
 
 def fraud_probability(model, df: DataFrame, out: str = "fraud_probability") -> DataFrame:

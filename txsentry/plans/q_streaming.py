@@ -15,6 +15,7 @@ from txsentry.operators import reasons as X
 from txsentry.operators import risk as risk_ops
 from txsentry.plans.catalog import query
 from txsentry.plans.oracle import sround, with_views
+from txsentry.plans.q_models import CHECKED_SQL, checked
 from txsentry.plans.q_validate import _REJECT_SQL
 from txsentry.session import scratch_path
 from txsentry.sources.tables import raw_from, scored_from
@@ -107,13 +108,11 @@ def q_stream_audit(spark, sf_dir):
     return L.read(spark, path).select("transaction_id", "decision")
 
 
-@query("stream_score")
+@query("stream_score", CHECKED_SQL)
 def q_stream_score(spark, sf_dir):
     from txsentry.plans import scoring as P
     from txsentry.sources.tables import transactions
-    scorer, _ = P.train(spark, transactions(spark, sf_dir))
-    pred = P.score(scorer, T.transactions_stream(spark, sf_dir))
-    out = T.run_available(pred.select("transaction_id", "fraud_probability", "anomaly_score",
-                                      "risk_level", "decision"),
-                          _name("scores"), scratch_path(spark, "ck-score"))
-    return out
+    scorer, parts = P.train(spark, transactions(spark, sf_dir))
+    parts.unpersist()
+    pred = checked(P.score(scorer, T.transactions_stream(spark, sf_dir)))
+    return T.run_available(pred, _name("scores"), scratch_path(spark, "ck-score"))

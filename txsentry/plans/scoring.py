@@ -135,7 +135,9 @@ def evaluate(scorer: Scorer, test: DataFrame) -> dict:
     f1 = Q.f1_positive(Q.threshold_predict(pred)).first()["f1"]
     rng = pred.agg(F.min("anomaly_score").alias("lo"), F.max("anomaly_score").alias("hi")).first()
     counts = {r["decision"]: r["n"] for r in risk_ops.decision_counts(pred).collect()}
-    return {"supervised_auc": round(float(auc), 4), "supervised_f1": round(float(f1), 4),
+    report = {r["class"]: {k: r[k] for k in ("precision", "recall", "f1", "support")}
+              for r in Q.classification_report(Q.threshold_predict(pred)).collect()}      # five rows
+    return {"report": report,"supervised_auc": round(float(auc), 4), "supervised_f1": round(float(f1), 4),
             "anomaly_test_min": float(rng["lo"]), "anomaly_test_max": float(rng["hi"]),
             "decisions": counts}
 
@@ -167,6 +169,7 @@ def training_summary(spark: SparkSession, tx: DataFrame, out_dir: str, dataset_p
                     "anomaly_test_min": metrics["anomaly_test_min"],
                     "anomaly_test_max": metrics["anomaly_test_max"]},
         "decisions": metrics["decisions"],
+        "classification_report": metrics["report"],
         "thresholds": {"low_max": t.low_max, "medium_max": t.medium_max,
                        "high_max": t.high_max, "alpha": t.alpha, "beta": t.beta},
         "artifacts": art,
@@ -180,6 +183,7 @@ def flagship(spark: SparkSession, sf_dir: str, max_iter: int = M.GBT_PARITY_ROUN
     """Train on the feed's training split, then score the whole feed."""
     tx = transactions(spark, sf_dir)
     scorer, parts = train(spark, tx, max_iter=max_iter, forest_trees=forest_trees)
+    parts.unpersist()
     return score(scorer, tx)
 
 
