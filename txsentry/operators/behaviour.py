@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from txsentry.functions.features import event_hour, is_night
 from txsentry.operators import sequence as S
 from txsentry.operators.joins import broadcast_if_small, null_safe_join
+from txsentry.operators.scratch import stored
 from txsentry.operators.stats import exact_median
 from txsentry.schema import DEVICE_CHANNELS, DEVICE_CHANNELS_DEFAULT, FRAUD_PATTERNS
 
@@ -104,15 +105,17 @@ def device_takeover(tx: DataFrame, profile: DataFrame, factor: float = TAKEOVER_
 
 
 def unusual_merchant(tx: DataFrame, top_categories: DataFrame) -> DataFrame:
-    """Rows whose category is not among the user's top categories."""
-    keys = top_categories.select("user_id", "merchant_category")
-    return tx.join(keys, ["user_id", "merchant_category"], "left_anti")
+    """Rows whose category is not among the user's top categories.  A missing
+    category, and a missing user, is a value like any other, as in ``signals``."""
+    keys = top_categories.select(F.col("user_id").alias("_u"), F.col("merchant_category").alias("_c"))
+    known = F.col("user_id").eqNullSafe(F.col("_u")) & F.col("merchant_category").eqNullSafe(F.col("_c"))
+    return tx.join(keys, known, "left_anti")
 
 
 def impossible_travel(tx: DataFrame, hours: float = TRAVEL_HOURS,
                       bucket_seconds: int = S.DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Rows whose country differs from the user's previous row within ``hours``
-    (one shuffle: ``lag_within`` with the travel window as horizon)."""
+    (``lag_within`` with the travel window as horizon)."""
     seq = S.lag_within(tx, "user_id", "timestamp", "transaction_id", ["country"],
                        int(hours * 3600), bucket_seconds)
     gap = F.unix_micros("timestamp") - F.unix_micros("prev_timestamp")
@@ -166,14 +169,28 @@ def geo_mismatch(tx: DataFrame, geo: DataFrame) -> DataFrame:
 def profile_by_category(tx: DataFrame, k: int = TOP_CATEGORIES) -> DataFrame:
     """One row per (user, category) the user has used: the user's profile
     columns plus ``is_top`` (the category is among the user's ``k`` most
-    frequent).  Both inputs are partial aggregates; joining them here, on
-    small tables, lets the fact table meet profile and top categories in a
-    single join on (user, category)."""
-    counts = tx.groupBy("user_id", "merchant_category").agg(F.count(F.lit(1)).alias("n"))
+    frequent).
+
+    The feed is read once, into counts and sums by (user, category, country,
+    device); that table is written, and the modes, the average and the top
+    categories are rolled up from it.  So the fact table meets profile and top
+    categories in a single join on (user, category)."""
+    base = stored(tx.groupBy("user_id", "merchant_category", "country", "device_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"), F.count("amount").alias("amounts")), "profile-base")
+
+    def mode(column: str, out: str) -> DataFrame:
+        """Most frequent value per user, ties to the smallest, missing values left out."""
+        counts = base.groupBy("user_id", column).agg(F.sum("n").alias("n"))
+        best = F.min(F.when(F.col(column).isNotNull(), F.struct((-F.col("n")).alias("neg"), F.col(column).alias("v"))))
+        return counts.groupBy("user_id").agg(best["v"].alias(out))
+
+    totals = base.groupBy("user_id").agg((F.sum("total") / F.sum("amounts")).alias("avg_amount"), F.sum("n").alias("n_tx"))
+    profile = null_safe_join(null_safe_join(totals, mode("country", "home_country"), ["user_id"]),
+                             mode("device_type", "primary_device"), ["user_id"])
     w = Window.partitionBy("user_id").orderBy(F.col("n").desc(), F.col("merchant_category"))
-    ranked = counts.select("user_id", "merchant_category",
-                           (F.row_number().over(w) <= k).cast("int").alias("is_top"))
-    return null_safe_join(ranked, user_profile(tx), ["user_id"])
+    ranked = (base.groupBy("user_id", "merchant_category").agg(F.sum("n").alias("n"))
+              .select("user_id", "merchant_category", (F.row_number().over(w) <= k).cast("int").alias("is_top")))
+    return null_safe_join(ranked, profile, ["user_id"])
 
 
 def signals(tx: DataFrame, window_minutes: int = VELOCITY_WINDOW_MINUTES,

@@ -27,12 +27,18 @@ RF_PARITY_TREES = 300
 
 # The one bound on labelled rows: at most so many of each class are fitted.
 MAX_CLASS_ROWS = 100_000
-ROWS_PER_TASK = 50_000      # of the fitted sample; each round is a job per tree level
+ROWS_PER_TASK = 20_000      # of the fitted sample; each round is a job per tree level
 _HASHES = 1 << 62
 
 
+def class_counts(df: DataFrame, label: str = "is_fraud") -> dict[int, int]:
+    """Rows of class 0 and of class 1."""
+    row = df.agg(*[F.count_if(F.col(label) == c).alias(f"n{c}") for c in (0, 1)]).first()
+    return {c: row[f"n{c}"] for c in (0, 1)}
+
+
 def bounded_sample(df: DataFrame, label: str = "is_fraud", max_rows: int = MAX_CLASS_ROWS, seed: int = 42,
-                   key: tuple[str, ...] = ("transaction_id", "features")) -> DataFrame:
+                   key: tuple[str, ...] = ("transaction_id", "features"), n: dict[int, int] | None = None) -> DataFrame:
     """At most ``max_rows`` rows of each class (0, 1) with ``sample_weight``.
 
     A class that is larger gives its ``max_rows`` rows of lowest seeded hash of
@@ -41,8 +47,7 @@ def bounded_sample(df: DataFrame, label: str = "is_fraud", max_rows: int = MAX_C
     of other labels are left out.  Only hashes below a bound that some more
     than ``max_rows`` rows are expected to stay under reach the ranking.
     """
-    counts = df.agg(*[F.count_if(F.col(label) == c).alias(f"n{c}") for c in (0, 1)]).first()
-    n = {c: counts[f"n{c}"] for c in (0, 1)}
+    n = class_counts(df, label) if n is None else n
     if max(n.values()) <= max_rows:
         return df.filter(F.col(label).isin(0, 1)).withColumn("sample_weight", F.lit(1.0))
     parts = [vector_to_array(F.col(c)) if df.schema[c].dataType.typeName() == "vector" or "VectorUDT" in str(df.schema[c].dataType)
@@ -52,8 +57,8 @@ def bounded_sample(df: DataFrame, label: str = "is_fraud", max_rows: int = MAX_C
     while True:
         below = [(F.col(label) == c) & (F.col("_hash") <= int(share[c] * _HASHES)) for c in n]
         near = keyed.filter(below[0] | below[1])
-        got = near.agg(*[F.count_if(F.col(label) == c).alias(f"n{c}") for c in n]).first()
-        short = [c for c in n if got[f"n{c}"] < min(n[c], max_rows)]
+        got = class_counts(near, label)
+        short = [c for c in n if got[c] < min(n[c], max_rows)]
         if not short:
             break
         for c in short:             # rows with one key share a hash and may lie above the bound together
@@ -67,9 +72,10 @@ def bounded_sample(df: DataFrame, label: str = "is_fraud", max_rows: int = MAX_C
 def _weighted(train: DataFrame, label: str, mode: str, max_rows: int, seed: int, features: str) -> DataFrame:
     """The fitted sample: class weight times sampling weight, in few partitions."""
     weighted = with_weights(train, label, mode).filter(F.col("weight").isNotNull())
-    rows = (bounded_sample(weighted, label, max_rows, seed, ("transaction_id", features))
+    n = class_counts(train, label)
+    rows = (bounded_sample(weighted, label, max_rows, seed, ("transaction_id", features), n)
             .select(features, F.col(label).cast("double").alias(label), (F.col("weight") * F.col("sample_weight")).alias("weight")))
-    return rows.coalesce(max(1, -(-2 * max_rows // ROWS_PER_TASK)))
+    return rows.coalesce(max(1, -(-sum(min(x, max_rows) for x in n.values()) // ROWS_PER_TASK)))
 
 
 def _fit(estimator, data: DataFrame):

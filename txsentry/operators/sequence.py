@@ -8,18 +8,18 @@ over as many tasks as it has buckets, and repair the bucket edges exactly:
 * ``lag_in_sequence``  previous row per key (bucket edge: previous non-empty
   bucket's last row, from a small per-bucket summary)
 * ``lag_within``       previous row per key if it is at most a horizon earlier
-  (single pass when the horizon fits in a bucket: the bucket's last horizon
-  is copied into the next bucket; else the summary method)
+  (one shuffle when the horizon fits in a bucket: the bucket's last horizon
+  is copied into the next bucket; else two, the buckets' last rows being
+  copied into the buckets that the horizon spans)
 * ``trailing_count``   rows per key in a trailing RANGE frame (the tail of
-  each bucket is copied into the next one as context rows, at most once;
-  a bucket spans at least one window)
+  each bucket is copied into the next one as context rows; windows longer
+  than a bucket are differences of two running counts)
 * ``sessions``         gap-and-island sessions (islands crossing bucket edges
   are stitched through a per-bucket summary)
 
 Summaries hold one row per (key, non-empty bucket) and are built with
-map-side partial aggregation.  The bucket width is a parameter (at least the
-window length for ``trailing_count``) and bounds the rows of one (key,
-bucket) in a task; ``bucket_seconds="auto"`` picks the widest width whose
+map-side partial aggregation.  The bucket width is a parameter and bounds the
+rows of one (key, bucket) in a task; ``bucket_seconds="auto"`` picks the widest width whose
 fullest (key, bucket) stays under a row target, from one aggregation.
 """
 
@@ -28,12 +28,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txsentry.session import work_dir
+from txsentry.operators.scratch import stored
 
 DEFAULT_BUCKET_SECONDS = 6 * 3600
 # Candidate widths for ``choose_bucket_seconds`` (widest first).
 BUCKET_CANDIDATES = [24 * 3600, 6 * 3600, 3600, 900, 300, 60]
 TARGET_ROWS_PER_BUCKET = 2_000_000
+SUPER_BUCKETS = 4096      # buckets of one step of a prefix sum over buckets
 
 
 def choose_bucket_seconds(df: DataFrame, key: str, ts: str, min_seconds: int = 0,
@@ -110,18 +111,17 @@ def lag_within(df: DataFrame, key: str, ts: str, order_tiebreak: str, cols: list
     last ``horizon`` of each bucket is copied into the next bucket as context,
     so a predecessor inside the horizon is always in the row's window (if the
     true predecessor is older than the copied context it is outside the
-    horizon anyway).  A longer horizon does not widen the buckets — their
-    width bounds the rows of a heavy key per task — it uses the summary
-    method of ``lag_in_sequence`` instead."""
+    horizon anyway).  A longer horizon does not widen the buckets, whose width
+    bounds the rows of a heavy key per task: the predecessor of a bucket's
+    first row is the last row of one of the buckets that the horizon spans,
+    so only the last row of each bucket is copied, into each of these
+    (``_lag_over_buckets``: two shuffles, one read of the input)."""
     bucket_seconds = _resolve_bucket(df, key, ts, bucket_seconds)
     h_us = int(horizon_seconds * 1_000_000)
     bucket_us = int(bucket_seconds * 1_000_000)
     out_cols = [ts] + [c for c in cols if c != ts]
     if h_us > bucket_us:
-        seq = lag_in_sequence(df, key, ts, order_tiebreak, cols, bucket_seconds, prefix)
-        inside = (F.unix_micros(F.col(ts)) - F.unix_micros(F.col(f"{prefix}{ts}"))) <= h_us
-        return seq.withColumns({f"{prefix}{c}": F.when(inside, F.col(f"{prefix}{c}"))
-                                for c in out_cols})
+        return _lag_over_buckets(df, key, ts, order_tiebreak, out_cols, h_us, bucket_us, prefix)
     m = _micros(ts)
     b = _bucket(ts, bucket_us)
     tail = m >= (b + 1) * F.lit(bucket_us) - F.lit(h_us)
@@ -138,15 +138,75 @@ def lag_within(df: DataFrame, key: str, ts: str, order_tiebreak: str, cols: list
                   .drop("_m", "_b", "_ctx", "_prev_m", *[f"_lag_{c}" for c in out_cols]))
 
 
+def _lag_over_buckets(df: DataFrame, key: str, ts: str, tiebreak: str, out_cols: list[str], h_us: int,
+                      bucket_us: int, prefix: str) -> DataFrame:
+    """``lag_within`` for horizons longer than a bucket.  Inside a bucket every
+    row but the first has its predecessor; then the buckets' last rows meet the
+    rows of the ``horizon / bucket`` (rounded up) buckets that follow, where
+    the newest of them precedes the first row."""
+    span = -(-h_us // bucket_us)
+    carried = [ts, tiebreak] + [c for c in out_cols if c not in (ts, tiebreak)]
+    x = df.withColumns({"_m": _micros(ts), "_b": _bucket(ts, bucket_us)})
+    w = Window.partitionBy(key, "_b").orderBy(ts, tiebreak)
+    x = x.withColumns({"_before": F.lag(F.struct("_m", *carried)).over(w), "_last": F.lead(F.lit(1)).over(w).isNull()})
+    offsets = F.when(F.col("_last") & F.col("_b").isNotNull(), F.sequence(F.lit(0), F.lit(span))).otherwise(F.array(F.lit(0)))
+    x = x.withColumn("_ctx", F.explode(offsets)).withColumn("_at", F.col("_b") + F.col("_ctx"))
+    # Rows copied from earlier buckets sort before the bucket's own.
+    w2 = Window.partitionBy(key, "_at").orderBy(ts, tiebreak)
+    x = x.withColumn("_earlier", F.lag(F.struct("_m", *carried)).over(w2)).filter(F.col("_ctx") == 0)
+    prev = F.coalesce("_before", "_earlier")
+    inside = (F.col("_m") - prev["_m"]) <= h_us
+    return (x.withColumns({f"{prefix}{c}": F.when(inside, prev[c]) for c in out_cols})
+             .drop("_m", "_b", "_before", "_last", "_ctx", "_at", "_earlier"))
+
+
+def _count_by_probes(df: DataFrame, key: str, ts: str, w_us: int, bucket_us: int, out: str) -> DataFrame:
+    """``trailing_count`` for windows longer than a bucket: the rows of a key
+    up to t less its rows before t - window.  Both are counted inside the
+    bucket where t, or the probe t - window, lies, on top of the sizes of all
+    earlier buckets, which are summed in two steps; so no task holds more of a
+    key than a bucket, however long the window is."""
+    points = df.groupBy(key, _micros(ts).alias("_m")).agg(F.count(F.lit(1)).alias("_c"))
+    timed = points.filter("_m IS NOT NULL")
+    ends = (timed.select(key, F.col("_m").alias("_row"), F.explode(F.array(
+                F.struct(F.col("_m").alias("_p"), F.col("_c").alias("_n"), F.lit(1).alias("_sign")),
+                F.struct((F.col("_m") - w_us).alias("_p"), F.lit(0).cast("long").alias("_n"), F.lit(-1).alias("_sign")))).alias("_e"))
+            .select(key, "_row", "_e.*").withColumn("_b", F.floor(F.col("_p") / F.lit(bucket_us))))
+    ends = stored(ends, "trailing-ends")
+    sizes = ends.groupBy(key, "_b").agg(F.sum("_n").alias("_size")).withColumn("_s", F.floor(F.col("_b") / SUPER_BUCKETS))
+    steps = Window.partitionBy(key, "_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    supers = Window.partitionBy(key).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    above = (sizes.groupBy(key, "_s").agg(F.sum("_size").alias("_t"))
+             .select(F.col(key).alias("_k1"), F.col("_s").alias("_s1"), F.coalesce(F.sum("_t").over(supers), F.lit(0)).alias("_far")))
+    sizes = sizes.withColumn("_near", F.coalesce(F.sum("_size").over(steps), F.lit(0)))
+    base = (sizes.join(above, F.col(key).eqNullSafe(F.col("_k1")) & (F.col("_s") == F.col("_s1")))
+            .select(F.col(key).alias("_k"), F.col("_b").alias("_bb"), (F.col("_near") + F.col("_far")).alias("_base")))
+    inside = Window.partitionBy(key, "_b").orderBy("_p")
+    upto, under = (F.sum("_n").over(inside.rangeBetween(Window.unboundedPreceding, last)) for last in (0, -1))
+    counted = (ends.withColumn("_in", F.coalesce(F.when(F.col("_sign") > 0, upto).otherwise(under), F.lit(0)))
+               .join(base, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_bb")))
+               .groupBy(F.col(key).alias("_k"), F.col("_row").alias("_m"))
+               .agg(F.sum(F.col("_sign") * (F.col("_base") + F.col("_in"))).alias(out)))
+    # Rows without a time are peers of each other.
+    untimed = points.filter("_m IS NULL").select(F.col(key).alias("_k"), "_m", F.col("_c").alias(out))
+    every = counted.unionByName(untimed).withColumnRenamed("_m", "_mm")
+    rows = df.withColumn("_m", _micros(ts))
+    return (rows.join(every, F.col(key).eqNullSafe(F.col("_k")) & F.col("_m").eqNullSafe(F.col("_mm")))
+            .select(*df.columns, out))
+
+
 def trailing_count(df: DataFrame, key: str, ts: str, window_seconds: int,
                    out: str = "n_window", bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
-    """Rows of the same key with time in [ts - window, ts] (peers included)."""
-    bucket_seconds = _resolve_bucket(df, key, ts, bucket_seconds, window_seconds)
+    """Rows of the same key with time in [ts - window, ts] (peers included).
+
+    A window that fits in a bucket is one pass: the tail of each bucket is
+    copied into the next.  A longer one does not widen the buckets but goes by
+    ``_count_by_probes``."""
+    bucket_seconds = _resolve_bucket(df, key, ts, bucket_seconds)
     w_us = int(window_seconds * 1_000_000)
-    # A bucket must span at least one window; beyond that its width is the
-    # caller's bound on the rows of a heavy key per task.  The copied
-    # context is the window / bucket share of the rows.
-    bucket_us = max(int(bucket_seconds * 1_000_000), w_us)
+    bucket_us = int(bucket_seconds * 1_000_000)
+    if w_us > bucket_us:
+        return _count_by_probes(df, key, ts, w_us, bucket_us, out)
     m = _micros(ts)
     b = _bucket(ts, bucket_us)
     # Rows in the last `window` of their bucket are also context for the next.
@@ -205,9 +265,10 @@ def session_summaries(df: DataFrame, key: str, ts: str, order_tiebreak: str,
     One pass and one shuffle of the input: inside (key, bucket) windows —
     the last ``gap`` of the previous bucket copied in as context — every
     session start is exact; rows are aggregated into segments (a session's
-    part inside one bucket) on the same partitioning; segments that continue
-    an earlier session are resolved on the small segment table, and segment
-    partials are combined into sessions."""
+    part inside one bucket, by value of ``distinct_of``) on the same
+    partitioning; segments that continue an earlier session are resolved on
+    the segment table, and segment partials are combined into sessions by
+    partial aggregates, without any list of values."""
     bucket_seconds = _resolve_bucket(df, key, ts, bucket_seconds, gap_seconds)
     gap_us = int(gap_seconds * 1_000_000)
     bucket_us = max(int(bucket_seconds * 1_000_000), gap_us)
@@ -228,28 +289,25 @@ def session_summaries(df: DataFrame, key: str, ts: str, order_tiebreak: str,
         "_sstart": F.max(start_ts).over(w.rowsBetween(Window.unboundedPreceding, 0)),
         "_last_start": F.max(start_ts).over(Window.partitionBy(key, "_b")),
     }).filter(own)
-    # Segments: grouped on keys the data is already partitioned by.
-    seg = x.groupBy(key, "_b", "_sstart").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_amt"),
-        F.max("_m").alias("_end"), F.collect_set(distinct_of).alias("_set"),
-        F.max("_last_start").alias("_last_start"))
-    # The segment table (narrow, far smaller than the input) feeds two
-    # consumers below: materialise it once in the shared checkpoint folder so
-    # the input is read once (this also cuts the lineage).
-    work_dir(df.sparkSession)
-    seg = seg.checkpoint()
+    # Segments (a session's part inside one bucket) by value of ``distinct_of``,
+    # grouped on keys the data is already partitioned by; written once, as
+    # they feed two consumers below.
+    parts = stored(x.groupBy(key, "_b", "_sstart", distinct_of).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_amt"), F.max("_m").alias("_end"),
+        F.max("_last_start").alias("_last_start")), "session-parts")
     # Per bucket: the start of the session its last row belongs to.
     wb = Window.partitionBy(key).orderBy("_b")
-    buckets = seg.groupBy(key, "_b").agg(F.max("_last_start").alias("_last_start"))
+    buckets = parts.groupBy(key, "_b").agg(F.max("_last_start").alias("_last_start"))
     buckets = buckets.withColumn("_eff", F.last("_last_start", ignorenulls=True).over(
         wb.rowsBetween(Window.unboundedPreceding, 0)))
-    buckets = buckets.select(key, "_b", F.lag("_eff").over(wb).alias("_head_start"))
-    resolved = seg.join(buckets, [key, "_b"]) \
-                  .withColumn("_start", F.coalesce("_sstart", "_head_start"))
-    return (resolved.groupBy(key, "_start")
-            .agg(F.max("_end").alias("_end"), F.sum("_n").alias("n_tx"),
-                 F.size(F.array_distinct(F.flatten(F.collect_list("_set"))))
-                  .cast("bigint").alias("n_distinct"),
+    buckets = buckets.select(F.col(key).alias("_k"), F.col("_b").alias("_bb"), F.lag("_eff").over(wb).alias("_head_start"))
+    resolved = (parts.join(buckets, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_bb")))
+                .withColumn("_start", F.coalesce("_sstart", "_head_start")))
+    # One row per (session, value), then one per session: values are counted, never listed.
+    values = resolved.groupBy(key, "_start", distinct_of).agg(
+        F.sum("_n").alias("_n"), F.sum("_amt").alias("_amt"), F.max("_end").alias("_end"))
+    return (values.groupBy(key, "_start")
+            .agg(F.max("_end").alias("_end"), F.sum("_n").alias("n_tx"), F.count(distinct_of).alias("n_distinct"),
                  F.sum("_amt").alias("total"))
             .select(key, F.timestamp_micros("_start").alias("session_start"),
                     F.timestamp_micros("_end").alias("session_end"),

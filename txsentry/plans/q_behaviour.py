@@ -136,17 +136,27 @@ def q_unusual_merchant(spark, sf_dir):
 _VELOCITY_MINUTES = 360
 
 
-@query("velocity", with_views(f"""
+_VELOCITY_SQL = with_views(f"""
 SELECT transaction_id, n_window FROM (
   SELECT transaction_id, count(*) OVER (PARTITION BY user_id ORDER BY timestamp
          RANGE BETWEEN INTERVAL {_VELOCITY_MINUTES} MINUTES PRECEDING AND CURRENT ROW) AS n_window
   FROM transactions) x
-WHERE n_window >= 3"""))
+WHERE n_window >= 3""")
+
+
+@query("velocity", _VELOCITY_SQL)
 def q_velocity(spark, sf_dir):
     return B.velocity(_tx(spark, sf_dir), _VELOCITY_MINUTES, 3).select(
         "transaction_id", "n_window")
 
 
+@query("velocity_narrow_buckets", _VELOCITY_SQL)
+def q_velocity_narrow_buckets(spark, sf_dir):
+    """The same six hours over buckets of ten minutes: no task holds more of a user."""
+    return B.velocity(_tx(spark, sf_dir), _VELOCITY_MINUTES, 3, bucket_seconds=600).select(
+        "transaction_id", "n_window")
+
+
 _BURST_GAP = 120
 
 

@@ -47,7 +47,7 @@ _GAP_MIN = 120
 
 @query("stream_bursts", with_views(f"""
 SELECT user_id, strftime(min(timestamp), {_FMT_SQL} || '.%f') AS session_start, count(*) AS n_tx,
-       {sround('sum(amount)', 2)} AS total_amount
+       count(DISTINCT merchant_id) AS n_merchants, {sround('sum(amount)', 2)} AS total_amount
 FROM (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY timestamp, transaction_id
                               ROWS UNBOUNDED PRECEDING) AS sid
       FROM (SELECT *, CASE WHEN lag(timestamp) OVER w IS NULL
@@ -61,7 +61,7 @@ def q_stream_bursts(spark, sf_dir):
     out = T.run_available(T.burst_sessions(T.transactions_stream(spark, sf_dir), f"{_GAP_MIN} minutes"),
                           _name("bursts"), scratch_path(spark, "ck-bursts"))
     return out.select("user_id", F.date_format("session_start", _FMT + ".SSSSSS")
-                      .alias("session_start"), "n_tx",
+                      .alias("session_start"), "n_tx", F.col("n_merchants").cast("long").alias("n_merchants"),
                       F.round("total_amount", 2).alias("total_amount"))
 
 
