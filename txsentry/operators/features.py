@@ -1,13 +1,14 @@
 """Feature derivation (F10) and the fitted encoder/scaler.
 
 ``base_features`` is stateless and narrow.  ``FeatureEncoder`` is a Spark ML
-``Estimator``; fitting it runs two small aggregations over the training
-table (distinct labels per categorical column, mean / population std of the
-scaled columns) and keeps their results as model parameters, so the
-fitted ``FeatureModel.transform`` is a pure projection: literal maps for the
-label codes, literal arithmetic for the scaling, all inside codegen and with
-no join or shuffle.  Models persist with the standard ML writer and can sit
-in a ``PipelineModel``.
+``Estimator``; fitting it runs two aggregations over the training table: mean
+and population std of the scaled columns, kept as model parameters, and the
+dictionary of labels (``operators.labels``), a table of any size in the shared
+folder.  ``FeatureModel.transform`` is arithmetic with literals and a hash
+join per categorical column, without a shuffle of the rows as long as a
+column's dictionary is small enough to broadcast.  Models persist with the ML
+writer, the dictionary beside the parameters, and can sit in a
+``PipelineModel``.
 """
 
 from __future__ import annotations
@@ -18,19 +19,15 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable,
+                             DefaultParamsWriter)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txsentry.functions import features as FX
+from txsentry.operators import labels as L
 from txsentry.schema import CATEGORICAL_COLS, FEATURE_COLUMNS, SCALED_COLS
-
-# A label set larger than this is not a categorical column; refuse to encode
-# it as literals (distinct labels travel through the driver as model state).
-MAX_LABELS = 100_000
-# The approximate count (about 5% error) is checked against a lower bound.
-APPROX_LABEL_LIMIT = 90_000
-
+from txsentry.session import scratch_path
 
 def _types(df: DataFrame) -> dict[str, str]:
     return {f.name: f.dataType.typeName() for f in df.schema.fields}
@@ -78,12 +75,29 @@ def base_features(df: DataFrame, default_ts=None, keep: tuple[str, ...] = ()) ->
     })
 
 
+class _ModelWriter(DefaultParamsWriter):
+    """Parameters, and the dictionary beside them."""
+
+    def saveImpl(self, path: str) -> None:
+        super().saveImpl(path)
+        model = self.instance
+        L.read(self.sparkSession, model.getOrDefault(model.dictionary)).write.partitionBy("column").parquet(f"{path}/dictionary")
+
+
+class _ModelReader(DefaultParamsReader):
+    def load(self, path: str) -> "FeatureModel":
+        model = super().load(path)
+        model._set(dictionary=f"{path}/dictionary")
+        return model
+
+
 class FeatureModel(Model, DefaultParamsReadable, DefaultParamsWritable):
-    """Fitted label codes and scaling; ``transform`` yields the 12 features
+    """Fitted label dictionary and scaling; ``transform`` yields the 12 features
     (DOUBLE, fixed order) plus ``features`` as a vector."""
 
-    labels = Param(Params._dummy(), "labels", "column -> sorted labels",
-                   TypeConverters.identity)
+    dictionary = Param(Params._dummy(), "dictionary", "path of the label table", TypeConverters.toString)
+    sizes = Param(Params._dummy(), "sizes", "column -> labels, their bytes, fitted rows",
+                  TypeConverters.identity)
     means = Param(Params._dummy(), "means", "scaled column -> mean", TypeConverters.identity)
     stds = Param(Params._dummy(), "stds", "scaled column -> population std",
                  TypeConverters.identity)
@@ -92,20 +106,23 @@ class FeatureModel(Model, DefaultParamsReadable, DefaultParamsWritable):
                      TypeConverters.toListString)
 
     @keyword_only
-    def __init__(self, labels=None, means=None, stds=None, outputCol="features",
+    def __init__(self, dictionary=None, sizes=None, means=None, stds=None, outputCol="features",
                  keepCols=None):
         super().__init__()
         self._setDefault(outputCol="features", keepCols=[])
         kwargs = self._input_kwargs
         self._set(**{k: v for k, v in kwargs.items() if v is not None})
 
-    def code_expr(self, column: str) -> Column:
-        """Label -> 0..k-1 in sorted order; unseen -> -1."""
-        labels = self.getOrDefault(self.labels)[column]
-        if not labels:
-            return F.lit(-1)
-        m = F.create_map(*[x for i, v in enumerate(labels) for x in (F.lit(v), F.lit(i))])
-        return F.coalesce(m[F.col(column)], F.lit(-1))
+    def write(self):
+        return _ModelWriter(self)
+
+    @classmethod
+    def read(cls):
+        return _ModelReader(cls)
+
+    def label_table(self, spark) -> DataFrame:
+        """(label, code, n, column): label -> 0..k-1 in sorted order."""
+        return L.read(spark, self.getOrDefault(self.dictionary))
 
     def scale_expr(self, column: str) -> Column:
         mean = self.getOrDefault(self.means)[column]
@@ -117,9 +134,8 @@ class FeatureModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         keep = tuple(self.getOrDefault(self.keepCols)) + tuple(keep)
         base = base_features(df, default_ts, keep=keep)
         carry = [c for c in base.columns if c not in FEATURE_COLUMNS and c != "amount"]
-        out = {c: self.code_expr(c) for c in CATEGORICAL_COLS}
-        out.update({c: self.scale_expr(c) for c in SCALED_COLS})
-        enc = base.withColumns(out)
+        enc = base.withColumns({c: self.scale_expr(c) for c in SCALED_COLS})
+        enc = L.encode(enc, self.getOrDefault(self.dictionary), self.getOrDefault(self.sizes))
         return enc.select(*carry, *[F.col(c).cast("double").alias(c) for c in FEATURE_COLUMNS])
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -152,62 +168,18 @@ class FeatureEncoder(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         self._set(**{k: v for k, v in kwargs.items() if v is not None})
 
     def _fit(self, df: DataFrame) -> FeatureModel:
-        """Two passes over the training rows: one aggregate gives the scaler
-        statistics and approximate label counts (the size check), the second
-        collects the (checked, bounded) sorted labels."""
+        """Two passes over the training rows: scaler statistics and labels."""
         base = base_features(df)
-        r = base.agg(*_scaler_aggs(), *[F.approx_count_distinct(c).alias(f"{c}__k")
-                                        for c in CATEGORICAL_COLS]).first()
-        for c in CATEGORICAL_COLS:
-            if r[f"{c}__k"] > APPROX_LABEL_LIMIT:
-                raise ValueError(f"{c}: about {r[f'{c}__k']} distinct labels; "
-                                 "not a categorical column")
-        stats = _scaler_dict(r)
-        labels = collect_labels(base)
-        return FeatureModel(labels=labels, means=stats["mean"], stds=stats["std"],
+        stats = fit_scaler(base)
+        path = scratch_path(df.sparkSession, "label-dictionary")
+        return FeatureModel(dictionary=path, sizes=L.fit(base, CATEGORICAL_COLS, path), means=stats["mean"], stds=stats["std"],
                             outputCol=self.getOrDefault(self.outputCol),
                             keepCols=self.getOrDefault(self.keepCols))
 
 
 def label_table(base: DataFrame) -> DataFrame:
-    """(column, label, code): sorted distinct labels per categorical column.
-
-    One narrow ``stack`` then a distinct (map-side partial aggregation, so
-    only distinct labels per task are shuffled) and a rank over at most a few
-    hundred labels per column.
-    """
-    pairs = ", ".join(f"'{c}', {c}" for c in CATEGORICAL_COLS)
-    distinct = base.selectExpr(f"stack({len(CATEGORICAL_COLS)}, {pairs}) AS (column, label)") \
-                   .distinct()
-    from pyspark.sql import Window
-    w = Window.partitionBy("column").orderBy("label")
-    return distinct.withColumn("code", F.row_number().over(w) - 1)
-
-
-def _distinct_labels(base: DataFrame) -> DataFrame:
-    pairs = ", ".join(f"'{c}', {c}" for c in CATEGORICAL_COLS)
-    return base.selectExpr(f"stack({len(CATEGORICAL_COLS)}, {pairs}) AS (column, label)") \
-               .distinct()
-
-
-def collect_labels(base: DataFrame) -> dict[str, list[str]]:
-    """Sorted labels per column (call after a size check)."""
-    rows = _distinct_labels(base).groupBy("column").agg(
-        F.sort_array(F.collect_list("label")).alias("labels")).collect()
-    out = {c: [] for c in CATEGORICAL_COLS}
-    for r in rows:
-        out[r["column"]] = list(r["labels"])
-    return out
-
-
-def fit_labels(base: DataFrame) -> dict[str, list[str]]:
-    """Sorted labels per column, exactly size-checked before anything is collected."""
-    sizes = {r["column"]: r["k"] for r in _distinct_labels(base).groupBy("column")
-             .agg(F.count(F.lit(1)).alias("k")).collect()}
-    for c, k in sizes.items():
-        if k > MAX_LABELS:
-            raise ValueError(f"{c}: {k} distinct labels; not a categorical column")
-    return collect_labels(base)
+    """(column, label, code, n): sorted distinct labels per categorical column."""
+    return L.rank_labels(base, CATEGORICAL_COLS)
 
 
 def _scaler_aggs() -> list:
