@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from txsentry.operators.scratch import stored
 from txsentry.schema import REASON, TRANSACTION
 from txsentry.sources.files import TS_FORMAT
 
@@ -192,16 +193,10 @@ def keyed_latest(rows: DataFrame, key: str = "transaction_id",
 
 def keyed_store(new_rows: DataFrame, existing: DataFrame | None,
                 key: str = "transaction_id", order: str = "created_at") -> tuple[DataFrame, DataFrame]:
-    """(to_insert, duplicates): rows whose key is new (deduplicated within the
-    batch, latest wins) and the rows routed to quarantine because the key
-    already exists or lost the in-batch dedup."""
-    latest = keyed_latest(new_rows, key, order)
-    if existing is None:
-        to_insert = latest
-    else:
-        to_insert = latest.join(existing.select(key), key, "left_anti")
-    dup_in_batch = new_rows.exceptAll(latest.select(*new_rows.columns))
-    dup_existing = latest.join(existing.select(key), key, "left_semi") if existing is not None \
-        else latest.limit(0)
-    return to_insert, dup_in_batch.unionByName(dup_existing.select(*new_rows.columns))
-
+    """(to_insert, refused): rows whose key is new (deduplicated within the
+    batch, latest wins), and all others: rows without a key, rows that lost the
+    in-batch dedup and rows whose key exists already.  ``operators.keyed_table``
+    keeps the table itself."""
+    from txsentry.operators.keyed_table import judge
+    judged = stored(judge(new_rows, existing, key, order), "keyed-judged")
+    return judged.filter("reason IS NULL").drop("reason"), judged.filter("reason IS NOT NULL").drop("reason")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from txsentry.functions import risk as R
 from txsentry.operators import audit as A
 from txsentry.operators import audit_log as L
+from txsentry.operators import keyed_table as K
 from txsentry.operators import reasons as X
 from txsentry.operators import risk as risk_ops
 from txsentry.plans.catalog import query
@@ -67,26 +68,32 @@ def q_audit_append(spark, sf_dir):
                        F.json_array_length("top_reasons").alias("n_reasons"))
 
 
+def _keyed_rows(pred):
+    return pred.select("transaction_id", "user_id", "amount", F.col("combined_score").alias("risk_score"), "decision",
+                       F.to_json("top_reasons").alias("explanation"), F.col("created_at").alias("timestamp"))
+
+
 @query("keyed_store", _sql("""
-SELECT transaction_id, decision, round(combined, 6) AS risk_score FROM audit"""))
+SELECT transaction_id, decision, round(combined, 6) AS risk_score, 'stored' AS outcome FROM audit
+UNION ALL SELECT transaction_id, decision, round(combined, 6), 'stored before' FROM audit WHERE decision = 'BLOCK'
+UNION ALL SELECT transaction_id, decision, round(combined, 6), 'repeated in batch' FROM audit WHERE decision = 'BLOCK'
+UNION ALL SELECT NULL, decision, round(combined, 6), 'missing key' FROM audit WHERE decision = 'REVIEW'"""))
 def q_keyed_store(spark, sf_dir):
-    pred = _predictions(spark, sf_dir)
-    rows = pred.select("transaction_id", "user_id", "amount",
-                       F.col("combined_score").alias("risk_score"), "decision",
-                       F.to_json("top_reasons").alias("explanation"),
-                       F.col("created_at").alias("timestamp"))
+    """The store and its quarantine after the feed, then a retry of every
+    blocked transaction, twice in one batch an hour later, with the reviewed
+    ones without their key; the retry itself is sent again and adds nothing."""
+    rows = _keyed_rows(_predictions(spark, sf_dir))
     path = scratch_path(spark, "keyed")
-    first, _ = A.keyed_store(rows, None, order="timestamp")
-    first.write.mode("append").parquet(path)
-    # A retry of every blocked transaction, sent twice an hour later: all
-    # of it is a duplicate and goes to quarantine, nothing is inserted.
-    retry = rows.filter(F.col("decision") == "BLOCK") \
-                .withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 1 HOUR"))
-    insert, _dups = A.keyed_store(retry.unionByName(retry), spark.read.parquet(path),
-                                  order="timestamp")
-    insert.write.mode("append").parquet(path)
-    store = spark.read.parquet(path)
-    return store.select("transaction_id", "decision", "risk_score")
+    K.insert(rows, path, "feed", order="timestamp")
+    later = rows.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 1 HOUR"))
+    blocked = later.filter(F.col("decision") == "BLOCK")
+    nameless = later.filter(F.col("decision") == "REVIEW").withColumn("transaction_id", F.lit(None).cast("string"))
+    retry = blocked.unionByName(blocked).unionByName(nameless)
+    for _ in range(2):
+        K.insert(retry, path, "retry", order="timestamp")
+    out = ["transaction_id", "decision", "risk_score"]
+    return (K.read(spark, path, rows.schema).select(*out, F.lit("stored").alias("outcome"))
+            .unionByName(K.quarantine(spark, path, rows.schema).select(*out, F.col("reason").alias("outcome"))))
 
 
 @query("audit_recent", _sql(f"""

@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from txsentry.operators import audit_log as L
+from txsentry.operators import keyed_table as K
 from txsentry.operators import reasons as X
 from txsentry.operators import risk as risk_ops
 from txsentry.plans.catalog import query
@@ -88,6 +89,13 @@ def q_stream_dedup(spark, sf_dir):
     return out.select("transaction_id")
 
 
+@query("stream_keyed_store", with_views("SELECT transaction_id, max(amount) AS amount FROM transactions GROUP BY transaction_id"))
+def q_stream_keyed_store(spark, sf_dir):
+    tx, path = T.transactions_stream(spark, sf_dir), scratch_path(spark, "keyed-stream")
+    T.keyed_to_table(tx, path, scratch_path(spark, "ck-keyed")).awaitTermination()
+    return K.read(spark, path, tx.schema).select("transaction_id", "amount")
+
+
 @query("stream_validate", f"SELECT transaction_id, n_errors FROM ({_REJECT_SQL}) r WHERE accepted = 0")
 def q_stream_validate(spark, sf_dir):
     raw = raw_from(T.transactions_stream(spark, sf_dir))

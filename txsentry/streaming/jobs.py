@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from txsentry.operators import audit as A
 from txsentry.operators import audit_log as L
+from txsentry.operators import keyed_table as K
 from txsentry.operators import validate as V
 from txsentry.sources.tables import read_table, transactions_from
 
@@ -138,3 +139,17 @@ def audit_to_table(pred: DataFrame, path: str, checkpoint: str, id_col: str | No
 
     return (pred.writeStream.foreachBatch(write)
                 .option("checkpointLocation", checkpoint).trigger(**trigger).start())
+
+
+def keyed_to_table(rows: DataFrame, path: str, checkpoint: str, key: str = "transaction_id", order: str = "timestamp",
+                   trigger: dict = AVAILABLE_NOW):
+    """T7 beyond the watermark: every micro-batch is one insert of the keyed
+    table (``operators.keyed_table``), so a key is stored once however late its
+    copies come, and refused rows are kept with their reason."""
+    run = run_of(checkpoint)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        K.insert(batch, path, f"{run}-{batch_id}", key, order)
+
+    return (rows.writeStream.foreachBatch(write)
+                .option("checkpointLocation", checkpoint).trigger(**trigger).start())
