@@ -41,8 +41,8 @@ def user_profile(tx: DataFrame, baseline: str = "mean", normal_only: bool = Fals
     to the smallest), baseline amount and row count.
 
     ``baseline``: "mean", "median" (approximate percentile, one pass) or
-    "median_exact" (distributed sort: a heavy user is spread over value
-    buckets instead of one buffer).  ``normal_only`` computes the baseline
+    "median_exact" (ranks selected from counts of values: a heavy user is no
+    single task).  ``normal_only`` computes the baseline
     over label-0 rows only.
     """
     amount = F.col("amount")
@@ -58,7 +58,7 @@ def user_profile(tx: DataFrame, baseline: str = "mean", normal_only: bool = Fals
     profile = tx.groupBy("user_id").agg(*aggs)
     if baseline == "median_exact":
         rows = tx if not normal_only else tx.filter(F.col("is_fraud") == 0)
-        med = exact_median(rows, ["user_id"], "amount", few_groups=False)
+        med = exact_median(rows, ["user_id"], "amount")
         profile = null_safe_join(profile, med.withColumnRenamed("median", "avg_amount"),
                                  ["user_id"], "left")
     return profile

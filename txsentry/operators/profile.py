@@ -1,6 +1,6 @@
 """Dataset profiling aggregations (P1-P5).  All are partial (map-side)
-aggregations except the exact median, which uses the distributed sort of
-``txsentry.operators.stats``."""
+aggregations except the exact median, which selects ranks by narrowing
+intervals (``txsentry.operators.stats``)."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txsentry.functions.features import event_hour, is_night
-from txsentry.operators.joins import null_safe_join
 from txsentry.operators.stats import exact_median
 
 
@@ -25,16 +24,15 @@ def dataset_overview(df: DataFrame, approx_users: bool = False) -> DataFrame:
 
 
 def amount_by_label(df: DataFrame, approx_median: bool = False) -> DataFrame:
-    stats = df.groupBy("is_fraud").agg(
-        F.round(F.min("amount"), 2).alias("min_amount"),
-        F.round(F.avg("amount"), 2).alias("mean_amount"),
-        F.round(F.max("amount"), 2).alias("max_amount"),
-        *([F.percentile_approx("amount", 0.5, 100000).alias("median")] if approx_median else []))
-    if not approx_median:
-        med = exact_median(df, ["is_fraud"], "amount")
-        stats = null_safe_join(stats, med, ["is_fraud"], "left")
-    return stats.withColumn("median_amount", F.round(F.col("median").cast("double"), 2)) \
-                .drop("median")
+    """Extremes, mean and median of the amount per label: two reads of ``df``
+    for the exact median (``stats.exact_median``), one for the approximate one."""
+    stats = (F.round(F.min("amount"), 2).alias("min_amount"), F.round(F.avg("amount"), 2).alias("mean_amount"),
+             F.round(F.max("amount"), 2).alias("max_amount"))
+    if approx_median:
+        out = df.groupBy("is_fraud").agg(*stats, F.percentile_approx("amount", 0.5, 100000).alias("median"))
+    else:
+        out = exact_median(df, ["is_fraud"], "amount", stats)
+    return out.withColumn("median_amount", F.round(F.col("median").cast("double"), 2)).drop("median")
 
 
 def night_rate_by_label(df: DataFrame) -> DataFrame:
