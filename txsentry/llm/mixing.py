@@ -13,7 +13,8 @@ corpus is one pass, from the largest document to the smallest, that ends with
 at most one fractional document; these residuals are combined by the same pass
 over ever fewer chunks (a reduction tree), and the last one of a source is
 rounded by a draw.  A source's words therefore miss its target by less than the
-size of that last document, which is among the smallest that were open.
+size of that last document: a large one that is still open is settled by the
+smaller ones that follow, if these are enough.
 
 All draws are hashes of seed and id, so reruns agree.
 

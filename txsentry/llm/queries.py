@@ -70,5 +70,5 @@ QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_wavelet_tokens, op3_hash_tree_shards, op4_pivotal_mix, op5_license_scan,
     op6_one_permutation_minhash, op7_sentencepiece_lattice, op8_ordinal_toxicity, op9_simhash_pivots, op10_tiled_top_k,
     op11_qd_whitening, op12_host_rules, op13_prefix_trie)}
-ORACLE = {"op1_line_dedup": line_dedup.SQL, "op10_tiled_top_k": topk.SQL, "op12_host_rules": host_rules.SQL,
+ORACLE = {"op1_line_dedup": line_dedup.SQL, "op3_hash_tree_shards": sharding.SQL, "op10_tiled_top_k": topk.SQL, "op12_host_rules": host_rules.SQL,
           "op13_prefix_trie": prefix_trie.SQL}

@@ -65,7 +65,8 @@ def _best(score, ids, rows, k):
 def _partition_lists(slab, dim: int, peak: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q_rows, q = slab.value
-        kind = np.float64 if dim * peak * peak < 1 << 53 else np.int64
+        # Exact in doubles, in longs, or in Python's integers; a score beyond a long is an error.
+        kind = np.float64 if dim * peak * peak < 1 << 53 else np.int64 if dim * peak * peak < 1 << 63 else object
         q = q.astype(kind)
         held: list = [None] * (-(-len(q) // QUERY_TILE))
         for batch in batches:
@@ -77,7 +78,10 @@ def _partition_lists(slab, dim: int, peak: int, k: int):
                 at = order[a:a + TILE]
                 c, i, r = m[at].astype(kind), ids[at], rows[at]
                 for t, b in enumerate(range(0, len(q), QUERY_TILE)):
-                    s = (q[b:b + QUERY_TILE] @ c.T).astype(np.int64)
+                    s = q[b:b + QUERY_TILE] @ c.T
+                    if kind is object:      # a row with itself is no result, so its product may be any size
+                        s[q_rows[b:b + QUERY_TILE, None] == r[None, :]] = 0
+                    s = s.astype(np.int64)
                     n = min(k, len(at))
                     if n < len(at):
                         # The tile is sorted by id: of equal scores at the cut
