@@ -35,3 +35,33 @@ def test_cli_validate(spark, tx_small):
     from txsentry.operators.validate import split
     _, rej = split(raw_from(tx_small))
     assert spark.read.parquet(quar).count() == rej.count()
+
+
+def test_cli_keeps_audit_rows_of_named_batches_once(spark, tx_small):
+    models = scratch_path(spark, "cli-models")
+    assert main(["train", "--data", SF_SMALL, "--out", models, "--rounds", "2"]) == 0
+    from txsentry.operators import audit as A
+    from txsentry.operators import audit_log as L
+    out, audit, root = (scratch_path(spark, n) for n in ("cli-scores", "cli-audit", "cli-requests"))
+    for batch in ([], ["--batch", "b1"], ["--batch", "b1"]):
+        assert main(["score", "--models", models, "--input", SF_SMALL, "--out", out, "--audit", audit, *batch]) == 0
+    rows = A.parse_json(L.read(spark, audit))
+    assert rows.count() == 2000 and rows.select("id").distinct().count() == 2000
+    times = {r.transaction_id: r.timestamp for r in tx_small.collect()}
+    assert all(r.payload.timestamp == times[r.transaction_id] for r in rows.select("transaction_id", "payload").collect())
+
+
+def test_cli_requests_from_csv_text(spark, tx_small):
+    """Malformed text in a CSV file reaches the rules by its own reason."""
+    from txsentry.operators import audit_log as L
+    from txsentry.operators.validate import reject_summary
+    from txsentry.sources.tables import raw_from
+    from txsentry.streaming import requests as Q
+    models, src, root = (scratch_path(spark, n) for n in ("cli-models", "cli-csv", "cli-root"))
+    raw = raw_from(tx_small)
+    raw.write.option("header", "true").csv(src)
+    assert main(["train", "--data", SF_SMALL, "--out", models, "--rounds", "2"]) == 0
+    for _ in range(2):
+        assert main(["requests", "--models", models, "--input", src, "--root", root, "--batch", "1"]) == 0
+    assert {r.error: r.n for r in Q.error_counts(spark, root).collect()} == {r.error: r.n for r in reject_summary(raw).collect()}
+    assert Q.predictions(spark, root).count() == Q.accepted(spark, root).count() == L.read(spark, Q.audit_path(root)).count() > 0

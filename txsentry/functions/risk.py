@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from txsentry.schema import DEFAULT_THRESHOLDS, LEVEL_DECISION, RiskThresholds
+from txsentry.schema import BANDS, DEFAULT_THRESHOLDS, RiskThresholds
 
 
 def _col(c) -> Column:
@@ -20,17 +20,17 @@ def combined_score(p, a, t: RiskThresholds = DEFAULT_THRESHOLDS) -> Column:
 
 def risk_level(score, t: RiskThresholds = DEFAULT_THRESHOLDS) -> Column:
     """Band of the unrounded score; bounds are inclusive upper limits."""
-    s = _col(score)
-    return (F.when(s <= t.low_max, "low").when(s <= t.medium_max, "medium")
-            .when(s <= t.high_max, "high").otherwise("critical"))
+    s, level = _col(score), F.lit(BANDS[-1].level)
+    for band in reversed(BANDS[:-1]):
+        level = F.when(s <= getattr(t, band.bound), band.level).otherwise(level)
+    return level
 
 
 def decision(level) -> Column:
-    lv = _col(level)
-    expr = None
-    for name, dec in LEVEL_DECISION.items():
-        expr = (F.when(lv == name, dec) if expr is None else expr.when(lv == name, dec))
-    return expr
+    lv, out = _col(level), F.lit(None).cast("string")
+    for band in BANDS:
+        out = F.when(lv == band.level, band.decision).otherwise(out)
+    return out
 
 
 def rounded(x, digits: int = 6, then: int | None = 4) -> Column:

@@ -121,7 +121,7 @@ def score(scorer: Scorer, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFram
     """Prediction rows for every input row (response shape plus the
     columns in ``keep``)."""
     return X.with_top_reasons(assessed(scorer, df)).select(
-        "transaction_id",
+        F.coalesce("transaction_id", F.lit("unknown")).alias("transaction_id"),
         R.rounded("fraud_probability").alias("fraud_probability"),
         R.rounded("anomaly_score").alias("anomaly_score"),
         "risk_level", "decision", "top_reasons",

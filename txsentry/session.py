@@ -10,6 +10,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Settings every job relies on: event time is read as UTC, AQE may re-plan
@@ -30,19 +31,21 @@ SESSION_DEFAULTS = {
 }
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = 8,
                   app_name: str = "txsentry") -> SparkSession:
-    """Local session for tests and the bench (UI off, UTC, AQE on)."""
+    """Session for tests, the bench and the command line (UI off, UTC, AQE on).
+    What a submitted job was given with ``--conf`` is kept."""
     builder = SparkSession.builder.appName(app_name)
+    settings = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"} | SESSION_DEFAULTS
     if master:
         builder = builder.master(master)
-    builder = (builder
-               .config("spark.ui.enabled", "false")
-               .config("spark.ui.showConsoleProgress", "false")
-               .config("spark.driver.memory", "16g")
-               .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
-    for k, v in SESSION_DEFAULTS.items():
-        builder = builder.config(k, v)
+        settings["spark.driver.memory"] = "16g"
+    if shuffle_partitions:
+        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    given = SparkConf()
+    for k, v in settings.items():
+        if not given.contains(k):
+            builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_session_defaults(spark)

@@ -51,6 +51,33 @@ def write_labelled_csv(df: DataFrame, path: str, mode: str = "overwrite") -> Non
     df.select(*LABELLED_ORDER).write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
+def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Request rows from CSV as text, by the header's names: malformed values
+    reach the validation rules instead of becoming null."""
+    df = spark.read.option("header", "true").csv(path)
+    return df.select(*[c for c in df.columns if c in RAW_TRANSACTION.names])
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One small text file at ``path``, on whatever store it names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of one small file, None where there is none."""
+    try:
+        return spark.read.text(path, wholetext=True).first()[0]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+
+
 def read_transactions_json(spark: SparkSession, path: str, multi_line: bool = False,
                            labelled: bool = False, raw: bool = False) -> DataFrame:
     """Transaction documents (JSON lines, or whole-file documents with
@@ -97,8 +124,3 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
-
-
-def labelled_text(df: DataFrame) -> DataFrame:
-    """All columns as text (what a CSV reader without a schema sees)."""
-    return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
