@@ -10,8 +10,11 @@ import pytest
 
 import __spark_entry__ as E
 from sf_paths import SF_SMALL
+from txsentry.operators import models as M
+from txsentry.plans import scoring as P
 
-TABLES = ["events", "customer", "nation", "region"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+          "embeddings", "pages", "benchmark", "labels", "conversations"]
 ORACLE = E.oracle_sql()
 QUERIES = E.queries()
 
@@ -38,8 +41,19 @@ def test_every_query_registered_with_callable():
     assert set(ORACLE) <= set(QUERIES)
 
 
+@pytest.fixture
+def few_rounds(monkeypatch):
+    """What the model queries return holds for any number of rounds; the full
+    number (``test_full_rounds``) takes minutes a query."""
+    for fit, rounds in ((M.train_gbt, 12), (M.train_rf, 20)):
+        monkeypatch.setattr(fit, "__defaults__", (rounds, *fit.__defaults__[1:]))
+    args = list(P.train.__defaults__)
+    args[2] = 12
+    monkeypatch.setattr(P.train, "__defaults__", tuple(args))
+
+
 @pytest.mark.parametrize("key", sorted(ORACLE))
-def test_query_matches_oracle(spark, con, key):
+def test_query_matches_oracle(spark, con, few_rounds, key):
     sdf = QUERIES[key](spark, SF_SMALL)
     cols = sorted(sdf.columns)
     srows = Counter(tuple(_norm(r[c]) for c in cols) for r in sdf.collect())
