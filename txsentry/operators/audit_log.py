@@ -56,8 +56,9 @@ def zones(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stage(rows: DataFrame, path: str, append: str) -> None:
-    """Write the rows of an append; nothing of it is visible yet."""
-    (rows.write.mode("overwrite").options(**BLOOM_OPTIONS).partitionBy("created_date")
+    """Write the rows of an append; nothing of it is visible yet.  Rows are dealt
+    by day, large days to several tasks, so that a day is few files."""
+    (rows.hint("rebalance", "created_date").write.mode("overwrite").options(**BLOOM_OPTIONS).partitionBy("created_date")
      .parquet(f"{path}/append={append}"))
 
 
