@@ -79,3 +79,37 @@ def test_stored_null_keys_are_not_inserted_again(spark):
     insert, refused = A.keyed_store(new, spark.createDataFrame([(None,), ("b",)], "transaction_id string"))
     assert [(r.transaction_id, r.created_at) for r in insert.collect()] == [("a", 2)]
     assert Counter((r.transaction_id, r.created_at) for r in refused.collect()) == Counter([(None, 1), ("a", 1), ("b", 1)])
+
+
+def test_a_batch_is_computed_once(spark):
+    path, seen = scratch_path(spark, "keyed"), spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    first = rows(spark, ("a", 1, 1), ("b", 2, 2))
+    K.insert(first, path, "one", "k", "t", buckets=4)
+    K.insert(rows(spark, ("a", 9, 9), ("c", 3, 3), (None, 4, 4)).withColumn("v", counted("v")), path, "two", "k", "t", buckets=4)
+    assert seen.value == 3
+    assert state(spark, path, first.schema) == ([("a", 1), ("b", 2), ("c", 3)], Counter({("a", 9, K.STORED): 1, (None, 4, K.MISSING): 1}))
+
+
+def test_the_keyed_query_predicts_the_feed_once(spark, monkeypatch):
+    from txsentry.plans import q_audit
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    n = 40
+    feed = spark.range(n).select(
+        F.concat(F.lit("tx_"), "id").alias("transaction_id"), F.lit("u").alias("user_id"), F.col("id").cast("double").alias("amount"),
+        F.lit(0.5).alias("combined_score"), F.element_at(F.array(*map(F.lit, ("ALLOW", "REVIEW", "BLOCK"))), (F.col("id") % 3 + 1).cast("int")).alias("decision"),
+        F.array(F.lit("r")).alias("top_reasons"), F.timestamp_seconds("id").alias("created_at")).withColumn("user_id", counted("user_id"))
+    monkeypatch.setattr(q_audit, "_predictions", lambda spark, sf_dir: feed)
+    got = Counter(r.outcome for r in q_audit.q_keyed_store(spark, "unused").collect())
+    assert got == {"stored": 40, K.STORED: 13, K.REPEATED: 13, K.MISSING: 13} and seen.value == n

@@ -16,6 +16,7 @@ from txsentry.operators import audit_log as L
 from txsentry.operators import keyed_table as K
 from txsentry.operators import reasons as X
 from txsentry.operators import risk as risk_ops
+from txsentry.operators.scratch import stored
 from txsentry.plans.catalog import query
 from txsentry.plans.oracle import with_views
 from txsentry.plans.q_reasons import _RULES_SQL
@@ -82,7 +83,7 @@ def q_keyed_store(spark, sf_dir):
     """The store and its quarantine after the feed, then a retry of every
     blocked transaction, twice in one batch an hour later, with the reviewed
     ones without their key; the retry itself is sent again and adds nothing."""
-    rows = _keyed_rows(_predictions(spark, sf_dir))
+    rows = stored(_keyed_rows(_predictions(spark, sf_dir)), "keyed-feed")      # the retries send these rows again
     path = scratch_path(spark, "keyed")
     K.insert(rows, path, "feed", order="timestamp")
     later = rows.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 1 HOUR"))
