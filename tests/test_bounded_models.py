@@ -81,3 +81,42 @@ def test_fit_on_the_sample_ranks_like_the_full_fit(spark, tx_mid):
         auc[rows] = Q.roc_auc(M.fraud_probability(model, test)).first()["auc"]
     parts.unpersist()
     assert auc[M.MAX_CLASS_ROWS] > 0.95 and abs(auc[M.MAX_CLASS_ROWS] - auc[1500]) < 0.03
+
+
+@pytest.mark.parametrize("max_rows,tasks", [(400, 7), (5000, 53)])
+def test_the_fitted_sample_is_dealt_evenly(spark, monkeypatch, max_rows, tasks):
+    monkeypatch.setattr(M, "ROWS_PER_TASK", 100)
+    data = M._weighted(labelled(spark, 5000, 300).repartition(1), "is_fraud", "scale", max_rows, 42, "features").persist()
+    sizes = data.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    data.unpersist()
+    assert len(sizes) == tasks and sum(sizes) == min(5000, max_rows) + 300 and max(sizes) - min(sizes) <= 2 * 4
+
+
+@pytest.mark.parametrize("name", ["evaluate", "tested", "all"])
+def test_rows_are_scored_once(spark, monkeypatch, name):
+    from txsentry.plans import q_models
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(p):
+        seen.add(1)
+        return p
+
+    n = 60
+    df = labelled(spark, 50, 10).withColumn("is_test", F.lit(1))
+    given = df.withColumn("fraud_probability", counted(0.2 + 0.6 * F.col("is_fraud") + F.col("id") / 1000))
+    if name == "evaluate":
+        whole = given.withColumns({"anomaly_score": F.col("fraud_probability"), "decision": F.lit("ALLOW")})
+        monkeypatch.setattr(P, "assessed", lambda scorer, test: whole)
+        got = P.evaluate(None, df)
+        assert got["supervised_auc"] == 1.0 and got["decisions"]["ALLOW"] == n and got["report"]["fraud"]["support"] == 10
+    else:
+        class Encoder:
+            def transform(self, df):
+                return df
+        monkeypatch.setattr(q_models, "_split_features", lambda spark, sf_dir: (Encoder(), df.persist(), df))
+        monkeypatch.setattr(M, "train_gbt", lambda train: None)
+        monkeypatch.setattr(M, "fraud_probability", lambda model, rows: given)
+        got = q_models.q_fraud_probability(spark, "") if name == "all" else q_models._tested(spark, "", M.train_gbt)
+        assert got.count() == n and got.filter("in_range = 1").count() == n
+    assert seen.value == n

@@ -70,12 +70,13 @@ def bounded_sample(df: DataFrame, label: str = "is_fraud", max_rows: int = MAX_C
 
 
 def _weighted(train: DataFrame, label: str, mode: str, max_rows: int, seed: int, features: str) -> DataFrame:
-    """The fitted sample: class weight times sampling weight, in few partitions."""
+    """The fitted sample: class weight times sampling weight, dealt evenly to tasks
+    of ``ROWS_PER_TASK`` rows (the ranking of the sample leaves it in a task per class)."""
     weighted = with_weights(train, label, mode).filter(F.col("weight").isNotNull())
     n = class_counts(train, label)
     rows = (bounded_sample(weighted, label, max_rows, seed, ("transaction_id", features), n)
             .select(features, F.col(label).cast("double").alias(label), (F.col("weight") * F.col("sample_weight")).alias("weight")))
-    return rows.coalesce(max(1, -(-sum(min(x, max_rows) for x in n.values()) // ROWS_PER_TASK)))
+    return rows.repartition(max(1, -(-sum(min(x, max_rows) for x in n.values()) // ROWS_PER_TASK)))
 
 
 def _fit(estimator, data: DataFrame):

@@ -18,6 +18,7 @@ from txsentry.operators import evaluate as Q
 from txsentry.operators import iforest as IF
 from txsentry.operators.features import FeatureEncoder
 from txsentry.operators import models as M
+from txsentry.operators.scratch import stored
 from txsentry.plans import scoring as P
 from txsentry.plans.catalog import query
 from txsentry.plans.oracle import sround, with_views
@@ -55,8 +56,9 @@ def _tested(spark, sf_dir, fit):
     enc, parts, train_rows = _split_features(spark, sf_dir)
     clf = fit(enc.transform(train_rows))
     pred = M.fraud_probability(clf, enc.transform(parts.filter(F.col("is_test") == 1)))
-    auc = Q.roc_auc(pred).first()["auc"]
+    pred = stored(pred.select("transaction_id", "is_fraud", "fraud_probability"), "tested")     # scored once, read twice
     parts.unpersist()
+    auc = Q.roc_auc(pred).first()["auc"]
     return pred.select("transaction_id", "is_fraud", _in_range("fraud_probability").alias("in_range"),
                        F.lit(int(auc >= MIN_AUC)).alias("ranks_well"))
 
@@ -79,9 +81,9 @@ def q_fraud_probability(spark, sf_dir):
     """Every row scored, training and test rows alike."""
     enc, parts, train_rows = _split_features(spark, sf_dir)
     clf = M.train_gbt(enc.transform(train_rows))
-    parts.unpersist()
-    return M.fraud_probability(clf, enc.transform(parts)).select(
-        "transaction_id", "is_test", _in_range("fraud_probability").alias("in_range"))
+    pred = stored(M.fraud_probability(clf, enc.transform(parts)).select("transaction_id", "is_test", "fraud_probability"), "probabilities")
+    parts.unpersist()       # after its last use: the split is not made again
+    return pred.select("transaction_id", "is_test", _in_range("fraud_probability").alias("in_range"))
 
 
 @query("train_iforest", with_views(f"""

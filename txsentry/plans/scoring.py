@@ -30,6 +30,7 @@ from txsentry.operators import reasons as X
 from txsentry.operators import risk as risk_ops
 from txsentry.operators.features import FeatureEncoder, FeatureModel
 from txsentry.operators.prepare import stratified_split
+from txsentry.operators.scratch import stored
 from txsentry.schema import (CATEGORICAL_COLS, DEFAULT_THRESHOLDS, FEATURE_COLUMNS,
                              NUMERIC_COLS, RiskThresholds)
 from txsentry.sources.tables import transactions, tx_number
@@ -130,7 +131,8 @@ def score(scorer: Scorer, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFram
 
 
 def evaluate(scorer: Scorer, test: DataFrame) -> dict:
-    pred = assessed(scorer, test)      # metrics need unrounded scores
+    # Metrics need unrounded scores; scored once, every metric reads the table.
+    pred = stored(assessed(scorer, test).select("is_fraud", "fraud_probability", "anomaly_score", "decision"), "test-scores")
     auc = Q.roc_auc(pred).first()["auc"]
     f1 = Q.f1_positive(Q.threshold_predict(pred)).first()["f1"]
     rng = pred.agg(F.min("anomaly_score").alias("lo"), F.max("anomaly_score").alias("hi")).first()
