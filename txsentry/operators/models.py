@@ -6,10 +6,12 @@ weight 10.  Spark's feature subset is drawn per node, not per tree, so
 probabilities are not digit-for-digit those of other libraries.  300 rounds
 and 300 trees are the parity settings and the defaults; queries use these.
 
-Rounds and levels are jobs over all fitted rows, so these are bounded: at most
-``MAX_CLASS_ROWS`` labelled rows of each class, drawn and weighted by
-``bounded_sample`` and kept in memory while the model is fitted.  Everything
-else (encoder, scaler, forest bounds, scoring, metrics) covers all rows.
+Every labelled row is fitted: rounds and levels are jobs over all of them, kept
+in memory or on disk while the model is fitted.  Only a caller that passes
+``max_rows`` gets a fit on a weighted sample (``bounded_sample``); no query does.
+Spark's learners choose the values a split may test (31 a feature) from about
+10,000 of the rows they are given; which of these is taken, and every leaf,
+comes from all rows.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ GBT_PARITY_ROUNDS = 300
 RF_PARITY_TREES = 300
 
 
-# The one bound on labelled rows: at most so many of each class are fitted.
-MAX_CLASS_ROWS = 100_000
-ROWS_PER_TASK = 20_000      # of the fitted sample; each round is a job per tree level
+MAX_CLASS_ROWS = 100_000    # of each class in a sample; a fit takes all rows unless it is told otherwise
+# Each round is a job per tree level, so tasks are few: fitted rows of a task, and the least it gets while cores are free.
+ROWS_PER_TASK = 200_000
+LEAST_ROWS_PER_TASK = 20_000
 _HASHES = 1 << 62
 
 
@@ -69,14 +72,22 @@ def bounded_sample(df: DataFrame, label: str = "is_fraud", max_rows: int = MAX_C
             .withColumn("sample_weight", weight.cast("double")).drop("_hash", "_rank"))
 
 
-def _weighted(train: DataFrame, label: str, mode: str, max_rows: int, seed: int, features: str) -> DataFrame:
-    """The fitted sample: class weight times sampling weight, dealt evenly to tasks
-    of ``ROWS_PER_TASK`` rows (the ranking of the sample leaves it in a task per class)."""
-    weighted = with_weights(train, label, mode).filter(F.col("weight").isNotNull())
+def _tasks(rows: int, cores: int) -> int:
+    """Tasks that ``rows`` fitted rows are dealt to."""
+    return max(1, -(-rows // ROWS_PER_TASK), min(cores, -(-rows // LEAST_ROWS_PER_TASK)))
+
+
+def _weighted(train: DataFrame, label: str, mode: str, max_rows: int | None, seed: int, features: str) -> DataFrame:
+    """The fitted rows, all of class 0 and 1 with their class weight, dealt evenly to
+    tasks.  With ``max_rows``, a ``bounded_sample`` of them, weighted by both."""
+    rows = with_weights(train, label, mode).filter(F.col("weight").isNotNull())
     n = class_counts(train, label)
-    rows = (bounded_sample(weighted, label, max_rows, seed, ("transaction_id", features), n)
-            .select(features, F.col(label).cast("double").alias(label), (F.col("weight") * F.col("sample_weight")).alias("weight")))
-    return rows.repartition(max(1, -(-sum(min(x, max_rows) for x in n.values()) // ROWS_PER_TASK)))
+    if max_rows is not None:
+        rows = (bounded_sample(rows, label, max_rows, seed, ("transaction_id", features), n)
+                .withColumn("weight", F.col("weight") * F.col("sample_weight")))
+        n = {c: min(x, max_rows) for c, x in n.items()}
+    rows = rows.select(features, F.col(label).cast("double").alias(label), "weight")
+    return rows.repartition(_tasks(sum(n.values()), train.sparkSession.sparkContext.defaultParallelism))
 
 
 def _fit(estimator, data: DataFrame):
@@ -88,8 +99,8 @@ def _fit(estimator, data: DataFrame):
 
 
 def train_gbt(train: DataFrame, max_iter: int = GBT_PARITY_ROUNDS, seed: int = 42,
-              features: str = "features", label: str = "is_fraud", max_rows: int = MAX_CLASS_ROWS):
-    """Boosted trees on at most ``max_rows`` rows of each class (``bounded_sample``)."""
+              features: str = "features", label: str = "is_fraud", max_rows: int | None = None):
+    """Boosted trees on all labelled rows (with ``max_rows``: a ``bounded_sample``)."""
     data = _weighted(train, label, "scale", max_rows, seed, features)
     gbt = GBTClassifier(featuresCol=features, labelCol=label, weightCol="weight",
                         maxIter=max_iter, maxDepth=6, stepSize=0.05, subsamplingRate=0.8,
