@@ -1,6 +1,8 @@
 """Classifiers are fitted on every labelled row, however many there are."""
 
 import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -37,7 +39,8 @@ def tables(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name,weight", [("train_gbt", {0: 1.0, 1: POSITIVE_WEIGHT})])
+@pytest.mark.parametrize("name,weight", [("train_gbt", {0: 1.0, 1: POSITIVE_WEIGHT}),
+                                         ("train_rf", {c: sum(TRAIN.values()) / (2 * n) for c, n in TRAIN.items()})])
 def test_the_query_fits_all_training_rows(spark, monkeypatch, tables, name, weight):
     assert max(TRAIN.values()) > M.MAX_CLASS_ROWS
     monkeypatch.setattr(M, "GBTClassifier", Estimator)
@@ -47,6 +50,16 @@ def test_the_query_fits_all_training_rows(spark, monkeypatch, tables, name, weig
     assert given.value.args[0] == {c: (n, round(n * weight[c], 3)) for c, n in TRAIN.items()}
 
 
+def test_a_forest_scores_after_a_query_was_observed(spark):
+    seen = Observation()
+    df = (spark.range(200).withColumn("is_fraud", (F.col("id") % 4 == 0).cast("int"))
+          .withColumn("features", array_to_vector(F.array(F.col("id") % 4 + F.lit(0.0), F.col("id") % 7 + F.lit(0.0)))))
+    df.observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get["n"] == 200
+    model = M.train_rf(df, num_trees=3)
+    assert model.getNumTrees == 3 and M.fraud_probability(model, df).filter("fraud_probability BETWEEN 0 AND 1").count() == 200
+
+
 def test_tasks_grow_with_the_rows():
     assert [M._tasks(n, 8) for n in (0, 1, 20_001, 1_000_000, 5_000_000, 10**9)] == [1, 1, 2, 8, 25, 5000]
     assert M._tasks(5_000_000, 1000) == 250

@@ -109,12 +109,13 @@ def train_gbt(train: DataFrame, max_iter: int = GBT_PARITY_ROUNDS, seed: int = 4
 
 
 def train_rf(train: DataFrame, num_trees: int = RF_PARITY_TREES, seed: int = 42,
-             features: str = "features", label: str = "is_fraud", max_rows: int = MAX_CLASS_ROWS):
-    """A random forest on at most ``max_rows`` rows of each class (``bounded_sample``)."""
+             features: str = "features", label: str = "is_fraud", max_rows: int | None = None):
+    """A random forest on all labelled rows (with ``max_rows``: a ``bounded_sample``)."""
     data = _weighted(train, label, "balanced", max_rows, seed, features)
     rf = RandomForestClassifier(featuresCol=features, labelCol=label, weightCol="weight",
                                 numTrees=num_trees, maxDepth=12, seed=seed)
-    return _fit(rf, data)
+    # The copy is without the training summary, which holds the session: tasks cannot be sent it once a query was observed.
+    return _fit(rf, data).copy()
 
 
 def fraud_probability(model, df: DataFrame, out: str = "fraud_probability") -> DataFrame:
