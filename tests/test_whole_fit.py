@@ -40,6 +40,7 @@ def tables(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize("name,weight", [("train_gbt", {0: 1.0, 1: POSITIVE_WEIGHT}),
+                                         ("training_summary", {0: 1.0, 1: POSITIVE_WEIGHT}),
                                          ("train_rf", {c: sum(TRAIN.values()) / (2 * n) for c, n in TRAIN.items()})])
 def test_the_query_fits_all_training_rows(spark, monkeypatch, tables, name, weight):
     assert max(TRAIN.values()) > M.MAX_CLASS_ROWS
